@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_encoding
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
-    return {"op4_bpe_encoding": op4_bpe_encoding}
+    return {
+        "op4_bpe_encoding": op4_bpe_encoding,
+        "op7_toxicity": op7_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
