@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_encoding
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op7_toxicity": op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
