@@ -28,11 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bitmap, marked, materialise, slot_of, table
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 14
-BITMAP_BITS = 1 << 24
 LEAST_SIZE = 4
 
 
@@ -71,22 +70,6 @@ def bits_of(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))))
 
 
-def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """keys: column slot, distinct. (word_at, mask): at most bits / 64 rows."""
-    return keys.groupBy(F.expr("slot div 64").alias("word_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("mask"))
-
-
-def marked(df: DataFrame, slot: Column, marks: DataFrame) -> DataFrame:
-    """Rows of df whose slot is set in the bitmap."""
-    own = df.withColumn("slot_", slot)
-    hit = F.expr("shiftright(mask, CAST(slot_ % 64 AS INT)) & 1L") == 1
-    return own.join(F.broadcast(marks), F.expr("slot_ div 64") == F.col("word_at")).filter(hit).select(*df.columns)
-
-
-def slot_of(c: str, bits: int = BITMAP_BITS) -> Column:
-    return F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
-
-
 def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
     """h, place, own (size, bits, prefix) of every line with words."""
     lines = lines_of(docs).withColumn("s", coded(word_list(F.col("line")), levels)).filter(F.size("s") > 0)
