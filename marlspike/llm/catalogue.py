@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_encoding
+from .decontamination import op10_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op5_ngram_jaccard
 from .toxicity import op7_toxicity
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_toxicity": op7_toxicity,
+        "op10_decontamination": op10_decontamination,
     }
 
 
