@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe_encoding
 from .decontamination import op10_decontamination
+from .language_id import op3_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op5_ngram_jaccard
 from .toxicity import op7_toxicity
@@ -12,6 +13,7 @@ from .toxicity import op7_toxicity
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_language_id": op3_language_id,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_toxicity": op7_toxicity,
