@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe_encoding
 from .decontamination import op10_decontamination
 from .language_id import op3_language_id
+from .license_scan import op8_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op5_ngram_jaccard
 from .toxicity import op7_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op7_toxicity": op7_toxicity,
+        "op8_license_scan": op8_license_scan,
         "op10_decontamination": op10_decontamination,
     }
 
