@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,23 +60,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet under the checkpoint folder and read it back: lineage ends in shared files."""
+#: Paths of the tables written inside each open scratch(), the innermost last.
+_scratch: list[list[str]] = []
+
+
+def materialise(df: DataFrame, stays: bool = False) -> DataFrame:
+    """Write df as Parquet under the checkpoint folder and read it back: lineage ends in shared files.
+
+    Inside scratch() the table goes with the scratch, or with the one around it if it stays.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if len(_scratch) > stays:
+        _scratch[-1 - stays].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside are deleted at the end; what is needed longer has to be told to stay."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scratch.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def is_split(key: str, modulus: int, remainder: int):
     """True for rows whose crc32 of the id as text has this remainder."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder)
 
 
-def collect_column(df: DataFrame, names: Sequence[str]) -> list[tuple]:
-    return [tuple(r[n] for n in names) for r in df.select(*names).collect()]
-
-
 def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """keys: column slot, distinct. (word_at, mask): at most bits / 64 rows."""
     return keys.groupBy(F.expr("slot div 64").alias("word_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("mask"))

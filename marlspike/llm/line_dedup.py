@@ -8,16 +8,16 @@ with need not be kept itself. Lines without a word always stay.
    numbers, level first, so that sorting puts the rarest first and alike everywhere.
 2. Equal sets are grouped to their first place with partial aggregation. Sets of fewer than four
    words can equal, but not resemble, another one and go no further.
-3. The prefix, the |s| - ceil(t |s|) + 1 rarest words, makes postings. Words that no other prefix
-   has are pruned by a bitmap of fixed size; what it cannot tell apart stays.
-4. Each posting is joined to the first of its word, so that large groups of near copies need as many
-   comparisons as they have lines. Only lines that this leaves undecided are then joined with all
-   earlier lines of their words. Length, positional and parity-bitmap filters hold inside the joins.
+3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Sets that agree in some words of their
+   prefixes are compared with the first of them only: that settles groups of near copies with as many
+   comparisons as they have lines.
+4. Sets still undecided are joined with all earlier ones that share a word of the prefixes. Length,
+   positional and parity-bitmap filters hold inside the joins. Both sides are one exchange.
 5. Candidates are verified on their word sets, read again from the documents concerned.
 
 Joins are equi-joins that adaptive execution can split; nothing is collected but the word levels
-(BUCKETS bytes). Broadcast are bitmaps of at most BITMAP_BITS / 64 rows.
-Words are compared by 56 bits of their hashes.
+(BUCKETS numbers). Broadcast is a bitmap of at most BITMAP_BITS / 64 rows.
+Words are compared by 56 bits of their hashes; words of prefixes by 32, which can only add candidates.
 
 Null and empty texts have no lines to remove. Rows that repeat a doc_id are one place: equal places
 are not earlier than each other. A null doc_id comes first. Only doc_id and text are read.
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, slot_of, table
+from .common import bitmap, marked, materialise, scratch, slot_of, table
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 14
@@ -36,7 +36,8 @@ LEAST_SIZE = 4
 
 
 def word_list(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    plain = F.when(F.regexp_like(line, F.lit(r"[\t\x0B\f\r]")), F.regexp_replace(line, r"\s", " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -44,89 +45,84 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.filter(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length(F.trim("line")) > 0)
 
 
-def word_levels(docs: DataFrame) -> bytes:
-    """A byte for each bucket of word hashes: four times the logarithm of the count."""
-    words = docs.filter(F.length("text") > 0).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w != ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    levels = bytearray(BUCKETS)
+def word_levels(docs: DataFrame) -> list[int]:
+    """For each bucket of word hashes four times the logarithm of the count."""
+    words = docs.filter(F.length("text") > 0).select(F.explode(word_list(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    levels = [0] * BUCKETS
     for b, n in counts.collect():
         levels[b] = min(127, 4 * n.bit_length() + (n * 4 >> n.bit_length() - 1) % 4)
-    return bytes(levels)
+    return levels
 
 
-def coded(words: Column, levels: bytes) -> Column:
+def coded(words: Column, levels: list[int]) -> Column:
     """Distinct words as sorted numbers, the rarest first."""
-
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(F.lit(levels), (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.array_sort(F.array_distinct(F.transform(words, number)))
+    high = F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(high, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def bits_of(numbers: Column) -> Column:
     """The parity of the words in each of 64 buckets."""
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))))
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
+def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
     """h, place, own (size, bits, prefix) of every line with words."""
     lines = lines_of(docs).withColumn("s", coded(word_list(F.col("line")), levels)).filter(F.size("s") > 0)
     size = F.size("s")
-    prefix = F.when(size >= LEAST_SIZE, F.slice("s", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1))
+    prefix = F.slice("s", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
+    folded = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    long = size >= LEAST_SIZE
     return lines.select(
         F.xxhash64("s").alias("h"),
         F.struct("doc_id", "line_no").alias("place"),
-        F.struct(size.alias("size"), F.when(size >= LEAST_SIZE, bits_of(F.col("s"))).alias("bits"), prefix.alias("prefix")).alias("own"),
+        F.struct(size.alias("size"), F.when(long, bits_of(F.col("s"))).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
     )
 
 
-def postings(sets: DataFrame) -> DataFrame:
-    """w, h, place, size, pos, bits for words in the prefixes of several sets."""
-    own = sets.filter(F.col("prefix").isNotNull()).select("h", "place", "size", "bits", F.posexplode("prefix").alias("pos", "w"))
-    often = own.groupBy(slot_of("w").alias("slot")).count().filter("count > 1").select("slot")
-    return marked(own, slot_of("w"), materialise(bitmap(often)))
-
-
-def may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters for postings a and b of one word."""
-    t = SIMILARITY
-    return F.expr(f"""{a}.size >= {t} * {b}.size - 1e-9 AND {b}.size >= {t} * {a}.size - 1e-9
-        AND 1 + least({a}.size - {a}.pos, {b}.size - {b}.pos) - 1 >= {t / (1 + t)!r} * ({a}.size + {b}.size) - 1e-9
-        AND ({a}.size + {b}.size - bit_count({a}.bits ^ {b}.bits)) / 2 >= {t / (1 + t)!r} * ({a}.size + {b}.size) - 1e-9""")
+FILTERS = f"""a.size >= {SIMILARITY} * b.size - 1e-9 AND b.size >= {SIMILARITY} * a.size - 1e-9
+    AND (a.size + b.size - bit_count(a.bits ^ b.bits)) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"""
+POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
+EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id IS NULL AND a.doc_id IS NOT NULL) OR (b.doc_id <=> a.doc_id AND b.line_no < a.line_no))"
+PAIR = ["a.doc_id AS x_doc", "a.line_no AS x_line", "b.doc_id AS y_doc", "b.line_no AS y_line"]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, levels: bytes) -> DataFrame:
-    """Of (x, x_place, y, y_place) the x whose sets resemble y's."""
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, levels: list[int]) -> DataFrame:
+    """The h of the sets of those places x that resemble their y."""
     pairs = materialise(pairs)
-    places = pairs.select(F.col("x").alias("h"), F.col("x_place").alias("place")).union(pairs.select("y", "y_place")).distinct()
-    places = places.select("h", "place.doc_id", "place.line_no")
+    places = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line")).distinct()
     marks = materialise(bitmap(places.select(slot_of("doc_id").alias("slot")).distinct()))
     lines = lines_of(marked(docs, slot_of("doc_id"), marks))
     same = lines["doc_id"].eqNullSafe(places["doc_id"]) & (lines["line_no"] == places["line_no"])
-    sets = lines.join(places, same).select("h", coded(word_list(F.col("line")), levels).alias("s")).filter(F.xxhash64("s") == F.col("h")).dropDuplicates(["h"])
-    sets = materialise(sets)
-    both = pairs.join(sets.select(F.col("h").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("b")), "y")
+    read = lines.join(places, same).select(lines["doc_id"], lines["line_no"], coded(word_list(F.col("line")), levels).alias("s"))
+    read = materialise(read.withColumn("h", F.xxhash64("s")))
+    # rows that repeat a doc_id have several sets at a place: the one that stands there is that of the sets
+    firsts = sets.select(F.col("h").alias("own_h"), "place.doc_id", "place.line_no")
+    at = read["doc_id"].eqNullSafe(firsts["doc_id"]) & (read["line_no"] == firsts["line_no"]) & (read["h"] == firsts["own_h"])
+    read = materialise(read.join(firsts, at, "left_semi").dropDuplicates(["doc_id", "line_no", "h"]))
+    a = read.select(F.col("doc_id").alias("ad"), F.col("line_no").alias("al"), F.col("h").alias("h"), F.col("s").alias("a"))
+    b = read.select(F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("s").alias("b"))
+    both = pairs.join(a, F.col("x_doc").eqNullSafe(F.col("ad")) & (F.col("x_line") == F.col("al"))).join(b, F.col("y_doc").eqNullSafe(F.col("bd")) & (F.col("y_line") == F.col("bl")))
     shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared) - 1e-9).select("x").distinct()
+    return both.filter(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared) - 1e-9).select("h").distinct()
 
 
-def resembling(sets: DataFrame, docs: DataFrame, levels: bytes) -> DataFrame:
+def resembling(sets: DataFrame, docs: DataFrame, levels: list[int]) -> DataFrame:
     """The h of sets that resemble a set whose first place is earlier."""
-    own = materialise(postings(sets))
-    columns = ["h", "place", "size", "pos", "bits"]
-    first = own.groupBy("w").agg(F.min(F.struct("place", "h", "size", "pos", "bits")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = materialise(first)
-    a, b = own.alias("a"), first.select("w", *[F.col(f"f.{c}").alias(c) for c in columns]).alias("b")
-    pair = [F.col("a.h").alias("x"), F.col("a.place").alias("x_place"), F.col("b.h").alias("y"), F.col("b.place").alias("y_place")]
-    stars = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("b.place") < F.col("a.place")) & may_match("a", "b")).select(*pair).distinct()
-    found = materialise(verified(stars, docs, levels))
-    several = own.join(first.filter("n > 2").select("w"), "w", "left_semi")
-    rest = several.join(found.withColumnRenamed("x", "h"), "h", "left_anti").alias("a")
-    b = several.alias("b")
-    pairs = rest.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("b.place") < F.col("a.place")) & may_match("a", "b")).select(*pair).distinct()
-    return found.union(verified(pairs, docs, levels)).select(F.col("x").alias("h"))
+    own = sets.filter(F.col("prefix").isNotNull()).select("h", "place.doc_id", "place.line_no", "size", "bits", "prefix")
+    by_value = F.sort_array("prefix")
+    keys = F.array(F.xxhash64(F.lit(1), F.slice("prefix", 1, 3)), F.xxhash64(F.lit(2), F.slice(by_value, 1, 4)), F.xxhash64(F.lit(3), F.reverse(F.slice(F.reverse(by_value), 1, 4))))
+    keyed = own.select(F.explode(keys).alias("k"), "doc_id", "line_no", "size", "bits")
+    first = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "line_no", "size", "bits")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f.*")
+    stars = keyed.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND {EARLIER} AND {FILTERS}")).selectExpr(*PAIR).distinct()
+    found = materialise(verified(stars, docs, sets, levels))
+    marked_own = own.join(found.withColumn("settled", F.lit(True)), "h", "left")
+    posted = marked_own.select("doc_id", "line_no", F.col("settled").isNull().alias("open"), "size", "bits", F.posexplode("prefix").alias("pos", "w"))
+    # the condition on a's state names b as well: pushed below the exchange, it would make a second one
+    open_ = "((a.open AND b.w IS NOT NULL) OR (b.w IS NULL AND a.open))"
+    pairs = posted.alias("a").join(posted.alias("b"), F.expr(f"a.w = b.w AND {open_} AND {EARLIER} AND {POSITIONS} AND {FILTERS}")).selectExpr(*PAIR).distinct()
+    return found.union(verified(pairs, docs, sets, levels))
 
 
 def kept_places(docs: DataFrame) -> DataFrame:
@@ -134,14 +130,18 @@ def kept_places(docs: DataFrame) -> DataFrame:
 
     One row for each doc_id that has such lines.
     """
-    docs = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession):
+        return materialise(find_kept_places(docs.select("doc_id", "text")), stays=True)
+
+
+def find_kept_places(docs: DataFrame) -> DataFrame:
     levels = word_levels(docs)
     sets = line_sets(docs, levels).groupBy("h").agg(F.min_by("own", "place").alias("own"), F.min("place").alias("place")).select("h", "place", "own.*")
     sets = materialise(sets)
     near = resembling(sets, docs, levels)
     firsts = sets.select("h", "place").join(near, "h", "left_anti").select("place.doc_id", "place.line_no")
-    total = lines_of(docs).filter(F.regexp_like("line", F.lit(r"\S"))).groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"))
-    kept = firsts.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+    total = lines_of(docs).filter(F.regexp_like("line", F.lit(r"\S"))).groupBy("doc_id").agg(F.size(F.collect_set("line_no")).cast("bigint").alias("n_lines"))
+    kept = firsts.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
     joined = total.alias("t").join(kept.alias("k"), F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")), "left")
     return joined.select("t.doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("bigint").alias("n_kept"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
@@ -153,8 +153,8 @@ def remove_later_lines(docs: DataFrame) -> DataFrame:
     """
     kept = kept_places(docs).withColumnRenamed("doc_id", "doc_id_")
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id_"]), "left").filter(F.col("n_lines").isNull() | (F.col("n_kept") > 0))
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains("kept", i))
-    text = F.when(F.col("n_kept") < F.col("n_lines"), F.array_join(lines, "\n")).otherwise(F.col("text"))
+    lines = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains("kept", i))
+    text = F.when(F.col("n_kept") < F.col("n_lines"), F.array_join(lines, "\n")).otherwise(docs["text"])
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

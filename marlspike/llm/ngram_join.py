@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 SIMILARITY = 0.8
 WORDS_EACH = 5
@@ -316,7 +316,11 @@ def count_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, links: bool = True) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), n_copies (documents of
     an equal set, itself included; 1 without words) and, with links, n_links (other sets that are similar)."""
-    docs = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession):
+        return materialise(find_duplicates(docs.select("doc_id", "text"), links), stays=True)
+
+
+def find_duplicates(docs: DataFrame, links: bool) -> DataFrame:
     every = materialise(signatures(docs))
     worded = every.filter(F.col("sid").isNotNull())
     sets = worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "deep", "short")])

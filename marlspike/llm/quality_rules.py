@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 SAMPLE_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +162,12 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, ridge: float =
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """docs: (doc_id, text); labels: (doc_id, quality), quality 0 or 1; other labels are left out."""
+    with scratch(docs.sparkSession):
+        x, y = labelled_statistics(docs, labels, sample_rows)
+    return fit_forest(x, y)
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = materialise(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     marks = materialise(bitmap(sample.select(slot_of("doc_id").alias("slot")).distinct()))
@@ -173,7 +179,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             yield pa.RecordBatch.from_arrays([pa.array([statistics(t)[1] for t in texts], pa.list_(pa.float64())), part.column(1).cast(pa.int32())], names=["x", "y"])
 
     found = read.mapInArrow(run, "x array<double>, y int").toArrow()
-    return fit_forest(np.array(found.column(0).to_pylist(), float).reshape(-1, len(FEATURES)), np.array(found.column(1).to_pylist(), float))
+    return np.array(found.column(0).to_pylist(), float).reshape(-1, len(FEATURES)), np.array(found.column(1).to_pylist(), float)
 
 
 def judge_quality(docs: DataFrame, forest: Forest, keep: float = KEEP) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import is_split, smaller_batches, table, text_chunks
+from .common import bitmap, is_split, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 ORDER = 6
 BITS = 6
@@ -244,8 +244,6 @@ def count_ngrams(train: DataFrame) -> DataFrame:
 
 def collect_counts(counts: DataFrame, most: int = MAX_NGRAMS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes and their counts. If there are more than most, those below the smallest sufficient count stay out."""
-    from .common import materialise
-
     counts = materialise(counts)
     total = sum(F.col(c) for c in COUNTS)
     if counts.count() > most:
@@ -261,13 +259,24 @@ def collect_counts(counts: DataFrame, most: int = MAX_NGRAMS) -> tuple[np.ndarra
     return codes[order], np.stack([found.column(1 + k).to_numpy()[order] for k in range(4)])
 
 
-def train_toxicity(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
-    """train: (doc_id, text, toxic) with toxic 0 or 1; rows with another label are left out. Without rows of
-    both classes every score is that of the base rate, or 0.5 without any row."""
-    spark = train.sparkSession
-    key = F.crc32(F.concat(F.lit("half:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    train = train.filter(F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), (key % 2).cast("int").alias("half"), key.alias("key"))
-    codes, (t0, t1, o0, o1) = collect_counts(count_ngrams(train))
+def train_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
+    """docs: (doc_id, text); labels: (doc_id, toxic) with toxic 0 or 1, other labels are left out.
+
+    Texts of labelled rows alone are shuffled; the calibration sample is small enough to be broadcast.
+    Without rows of both classes every score is that of the base rate, or 0.5 without any row.
+    """
+    with scratch(docs.sparkSession):
+        return find_toxicity_model(docs.select("doc_id", "text"), labels, calibration_rows)
+
+
+def find_toxicity_model(docs: DataFrame, labels: DataFrame, calibration_rows: int) -> ToxicityModel:
+    spark = docs.sparkSession
+    smaller_batches(spark)
+    key = F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string")).cast("binary"))
+    labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("half", (key % 2).cast("int"))
+    labels = materialise(labels.filter("doc_id is not null"))
+    marks = materialise(bitmap(labels.select(slot_of("doc_id").alias("slot")).distinct()))
+    codes, (t0, t1, o0, o1) = collect_counts(count_ngrams(marked(docs, slot_of("doc_id"), marks).join(labels.hint("merge"), "doc_id")))
     halves = spark.sparkContext.broadcast((fit_model(codes, t1, o1), fit_model(codes, t0, o0)))
 
     def calibrate(batches):
@@ -277,10 +286,9 @@ def train_toxicity(train: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -
             found = np.where(half[:, None] == 0, scorers[0].features(texts), scorers[1].features(texts))
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(found), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    # every row while they are few; else the rows whose hashes are the smallest, about as many as asked for
-    rows = train.count()
-    sample = train.filter(F.xxhash64("key") % 1_000_000 < int(1e6 * calibration_rows / rows)) if rows > calibration_rows else train
-    found = sample.select("text", "toxic", "half").mapInArrow(calibrate, "toxic int, x array<double>").toArrow()
+    # the rows whose hashes are the smallest
+    sample = F.broadcast(materialise(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)))
+    found = docs.join(sample, "doc_id").select("text", "toxic", "half").mapInArrow(calibrate, "toxic int, x array<double>").toArrow()
     halves.unpersist()
     x, y = np.array(found.column("x").to_pylist(), float).reshape(-1, 2 + len(WINDOWS)), np.array(found.column("toxic").to_pylist(), float)
     model = fit_model(codes, t0 + t1, o0 + o1)
@@ -309,17 +317,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     return own.mapInArrow(run, schema)
 
 
-def labelled(spark, docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows that may be learnt from."""
-    if held_out is not None:
-        labels = labels.filter(~held_out)
-    own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
-
-
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = is_split("doc_id", 3, 1)
-    model = train_toxicity(labelled(spark, docs, table(spark, sf_dir, "labels"), held_out))
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
