@@ -19,12 +19,26 @@ BLOCK_ROWS = 100_000
 SAMPLE_EACH = 40
 
 
+SMALL_ROWS = 100_000
+#: Estimates from here on mean that the optimiser does not know, as for local records.
+UNKNOWN = 1 << 60
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """By the optimiser's statistics; by a count of rows where there are none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN:
+        return size
+    row = 8 + sum(f.dataType.jsonValue() == "string" and 32 or 12 for f in df.schema)
+    return row * df.count()
 
 
 def is_small(df: DataFrame, small_bytes: int = SMALL_BYTES) -> bool:
-    return estimated_bytes(df) <= small_bytes
+    """Whether a window over all rows may run in one task."""
+    if small_bytes <= 0:
+        return False
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= small_bytes if size < UNKNOWN else df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
 def key_of(order_by) -> list[Column]:
