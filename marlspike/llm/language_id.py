@@ -105,7 +105,7 @@ class LanguageModel:
         uni /= uni.sum(1, keepdims=True)
         two = n.sum(1)
         two = (two + 5 * uni[:, None, :]) / (two.sum(2, keepdims=True) + 5)
-        self.logs = np.log((n + 5 * two[:, None]) / (n.sum(3, keepdims=True) + 5)).astype(np.float32).reshape(len(languages), -1).T.copy()
+        self.logs = np.log((n + 5 * two[:, None]) / (n.sum(3, keepdims=True) + 5)).astype(np.float32).reshape(len(languages), 1 << 18).T.copy()
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
 
     def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
