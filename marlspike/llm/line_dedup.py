@@ -151,10 +151,12 @@ def remove_later_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose every line with a word go; those that had none stay as they are.
     """
-    kept = kept_places(docs).withColumnRenamed("doc_id", "doc_id_")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id_"]), "left").filter(F.col("n_lines").isNull() | (F.col("n_kept") > 0))
-    lines = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains("kept", i))
-    text = F.when(F.col("n_kept") < F.col("n_lines"), F.array_join(lines, "\n")).otherwise(docs["text"])
+    found = kept_places(docs)
+    found = found.select(*[F.col(c).alias(f"{c} of line dedup") for c in found.columns])  # no column of docs has such a name
+    own, total, n, kept = (found[f"{c} of line dedup"] for c in ("doc_id", "n_lines", "n_kept", "kept"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(own), "left").filter(total.isNull() | (n > 0))
+    lines = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains(kept, i))
+    text = F.when(n < total, F.array_join(lines, "\n")).otherwise(docs["text"])
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

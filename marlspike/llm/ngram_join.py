@@ -6,15 +6,16 @@ shingle, an empty one has none). Documents of equal sets are copies and are join
 1. TREES prefix trees hold a signature of DEPTH minimum hashes each. A prefix of length d is shared
    with probability J ** d, so a pair is met with 1 - (1 - J ** d) ** TREES. Matching starts at whole
    signatures; prefixes are shortened until that estimate for SIMILARITY reaches the target recall.
-2. At full length every set is compared with the first one of its prefix only. At the shorter
-   lengths, prefixes whose members are still in several classes compare those outside the prefix's
-   main class with all others of another class. No group is expanded into all of its pairs.
-3. A pair is verified on whole texts. A one-bit sketch of the signatures, four to five standard
-   deviations wide, keeps hopeless ones out.
+2. Sets that share a prefix and whose one-bit sketches agree within four to five standard deviations
+   fall into one candidate class. At full length every set is compared with the first one of its
+   prefix only; at the shorter length only prefixes whose members are still in several classes count:
+   those outside the main class are compared with one member of it, and at last, where classes still
+   differ, with the others. No group is expanded into all of its pairs.
+3. Candidate classes are verified exactly on whole texts, in blocks of at most BLOCK members: a task
+   compares one block, or two blocks of a class, and returns for every member its number of links and one
+   chain of links. Members lie in blocks by their distance to the class's pivot; blocks so close to it
+   that all their pairs must be similar are counted without being compared.
 4. Classes are the connected components of the verified links.
-5. Links are counted inside classes. Members lie in blocks by their distance to the class's pivot: if
-   two blocks are so close to it that all their pairs must be similar, they count without being
-   compared; the other pairs of blocks are compared exactly, within one task each.
 
 Every table that is reused lies in the shared checkpoint folder. Nothing is collected but counts.
 
@@ -132,11 +133,6 @@ def sketch_agrees(a: str, b: str) -> str:
     return f"{TREES * DEPTH} - bit_count({a}.b0 ^ {b}.b0) - bit_count({a}.b1 ^ {b}.b1) >= {SKETCH_LEAST} AND {a}.n >= {SIMILARITY} * {b}.n AND {b}.n >= {SIMILARITY} * {a}.n"
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
 def texts_of(sids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """sid, text for these sids, from the document that stands for the set."""
     own = materialise(sets.join(sids.distinct(), "sid", "left_semi").select("sid", "doc_id"))
@@ -155,30 +151,6 @@ def texts_of(sids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return read.select("t.sid", "t.text").groupBy("sid").agg(F.min("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of (x, y) those whose similarity is SIMILARITY or more."""
-    smaller_batches(pairs.sparkSession)
-
-    def run(batches):
-        held = {}
-
-        def own(sid, text):
-            if sid not in held:
-                if len(held) >= 500:
-                    held.clear()
-                held[sid] = shingles(text)
-            return held[sid]
-
-        for part, left in text_chunks(batches, 2):
-            xs, ys, right = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
-            keep = [jaccard(shingles(a), own(y, b)) >= SIMILARITY for a, y, b in zip(left, ys, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(xs, keep, strict=True) if k], pa.int64()), pa.array([v for v, k in zip(ys, keep, strict=True) if k], pa.int64())], names=["x", "y"])
-
-    a = texts.select(F.col("sid").alias("x"), F.col("text").alias("a"))
-    b = texts.select(F.col("sid").alias("y"), F.col("text").alias("b"))
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(run, "x bigint, y bigint")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """sid, class: the smallest sid that a chain of edges (x, y) reaches, for every sid with an edge."""
     both = materialise(edges.select("x", "y").union(edges.select("y", "x")).distinct())
@@ -194,29 +166,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("sid", "class")
 
 
-def found_links(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes of sets with links, texts of all sets compared)."""
+def candidate_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sid, class) of sets that have candidates, and all pairs (x, y) that were found on the way."""
     deep = sets.select("sid", "n", "b0", "b1", F.explode("deep").alias("k"))
     first = deep.groupBy("k").agg(F.min(F.struct("sid", "n", "b0", "b1")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("k", "f.*")
-    a, b = deep.alias("a"), first.alias("b")
-    stars = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.sid") != F.col("b.sid")) & F.expr(sketch_agrees("a", "b"))).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct()
-    stars = materialise(stars)
-    texts = materialise(texts_of(stars.select(F.col("x").alias("sid")).union(stars.select("y")), docs, sets))
-    links = materialise(verified(stars, texts))
-    classes = components(links)
-
-    short = sets.join(classes, "sid", "left").select("sid", "n", "b0", "b1", F.coalesce("class", "sid").alias("class"), F.explode("short").alias("k"))
-    several = short.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).filter("low < high").select("k", "main")
-    short = materialise(short.join(several, "k"))
-    a, b = short.filter("class != main").alias("a"), short.alias("b")
-    other = (F.col("a.k") == F.col("b.k")) & (F.col("a.class") != F.col("b.class")) & ((F.col("b.class") == F.col("b.main")) | (F.col("a.sid") < F.col("b.sid")))
-    rest = materialise(a.join(b, other & F.expr(sketch_agrees("a", "b"))).select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct())
-    lack = rest.select(F.col("x").alias("sid")).union(rest.select("y")).distinct().join(texts, "sid", "left_anti")
-    texts = materialise(texts.union(texts_of(lack, docs, sets)))
-    more = materialise(verified(rest, texts))
-    if more.isEmpty():
-        return classes, texts
-    return components(links.union(more)), texts
+    pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y")]
+    stars = deep.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.sid != b.sid AND {sketch_agrees('a', 'b')}")).select(*pair).distinct()
+    pairs = materialise(stars)
+    classes = materialise(components(pairs))
+    for step in ("main", "all"):
+        short = sets.join(classes, "sid", "left").select("sid", "n", "b0", "b1", F.coalesce("class", "sid").alias("class"), F.explode("short").alias("k"))
+        several = short.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).filter("low < high").select("k", "main")
+        short = materialise(short.join(several, "k"))
+        others = short.filter("class != main").alias("a")
+        if step == "main":
+            members = short.filter("class = main").groupBy("k").agg(F.min(F.struct("sid", "class", "main", "n", "b0", "b1")).alias("f")).select("k", "f.*").alias("b")
+        else:
+            members = short.alias("b")
+        once = "(b.class = b.main OR a.sid < b.sid)"
+        found = others.join(members, F.expr(f"a.k = b.k AND a.class != b.class AND {once} AND {sketch_agrees('a', 'b')}")).select(*pair).distinct()
+        pairs = materialise(pairs.union(found))
+        classes = materialise(components(pairs))
+    return classes, pairs
 
 
 def distances(members: DataFrame) -> DataFrame:
@@ -243,102 +214,125 @@ def distances(members: DataFrame) -> DataFrame:
     return members.select("sid", "class", "text", "pivot_text").mapInArrow(run, "sid bigint, class bigint, text string, far double")
 
 
-def compared(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set of left and of right; within left where right is None."""
-    every = left + (right or [])
+def compared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of left are similar to which of right; a set is not similar to itself where right is left."""
+    every = left if right is left else left + right
     kinds, at = np.unique(np.concatenate(every), return_inverse=True)
     row = np.repeat(np.arange(len(every)), [len(s) for s in every])
     sizes = np.array([len(s) for s in every])
-    m = len(left)
-    shared = np.zeros((m, len(every) - m if right else m), np.float32)
-    for a in range(0, len(kinds), 8192):
-        inside = (at >= a) & (at < a + 8192)
-        dense = np.zeros((len(every), 8192), np.float32)
-        dense[row[inside], at[inside] - a] = 1
-        shared += dense[:m] @ (dense[m:] if right else dense[:m]).T
-    sizes_r = sizes[m:] if right else sizes
-    similar = shared >= SIMILARITY * (sizes[:m, None] + sizes_r[None, :] - shared) - 1e-6
-    if not right:
+    m, other = len(left), slice(None) if right is left else slice(len(left), None)
+    shared = np.zeros((m, len(right)), np.float32)
+    # columns of one set alone add nothing
+    often = np.flatnonzero(np.bincount(at) > 1)
+    new = np.full(len(kinds), -1)
+    new[often] = np.arange(len(often))
+    at = new[at]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for a in range(0, len(often), 8192):
+        i, j = np.searchsorted(at, [a, a + 8192])
+        dense = np.zeros((len(every), min(8192, len(often) - a)), np.float32)
+        dense[row[i:j], at[i:j] - a] = 1
+        shared += dense[:m] @ dense[other].T
+    similar = shared >= SIMILARITY * (sizes[:m, None] + sizes[other][None, :] - shared) - 1e-6
+    if right is left:
         np.fill_diagonal(similar, False)
-    return similar.sum(1), similar.sum(0)
+    return similar
+
+
+def linked(sids: np.ndarray, similar: np.ndarray) -> np.ndarray:
+    """For each member the smallest sid that its links lead to. similar: symmetric."""
+    label = sids.copy()
+    while True:
+        low = np.where(similar, label[None, :], label[:, None]).min(1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            return label
+        label = low
+
+
+VERIFIED = "sid bigint, links bigint, root bigint"
 
 
-def count_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """sid, links: in how many other sets of its class a set has a similar one."""
-    members = classes.join(texts, "sid")
-    size = members.groupBy("class").agg(F.count("*").alias("m"))
-    members = members.join(size, "class")
+def compare_classes(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """sid, links (similar sets), root (a similar set, or one that links lead to): one row or more for each set."""
+    size = classes.groupBy("class").agg(F.count("*").alias("m"))
+    members = classes.join(size, "class").join(texts, "sid")
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        links, _ = compared([shingles(t) for t in frame["text"]], None)
-        return pd.DataFrame({"sid": frame["sid"], "links": links})
+        own = [shingles(t) for t in frame["text"]]
+        similar, sids = compared(own, own), frame["sid"].to_numpy()
+        return pd.DataFrame({"sid": sids, "links": similar.sum(1), "root": linked(sids, similar)})
 
-    small = members.filter(F.col("m") <= BLOCK).select("sid", "class", "text").groupBy("class").applyInPandas(whole, "sid bigint, links bigint")
-    large = members.filter(F.col("m") > BLOCK)
+    small = members.filter(F.col("m") <= BLOCK).select("sid", "class", "text").groupBy("class").applyInPandas(whole, VERIFIED)
+    large = classes.join(size.filter(F.col("m") > BLOCK), "class")
     if large.isEmpty():
         return small
-    pivots = large.groupBy("class").agg(F.min_by("text", F.xxhash64("sid")).alias("pivot_text"))
-    own = materialise(distances(large.join(pivots, "class")))
+    # the pivot is the member that most candidate pairs name
+    degree = pairs.groupBy("y").agg(F.count("*").alias("degree"))
+    pivots = large.join(degree, large["sid"] == degree["y"], "left").groupBy("class").agg(F.max_by("sid", F.struct(F.coalesce("degree", F.lit(0)), "sid")).alias("pivot"))
+    pivots = materialise(pivots.join(texts, pivots["pivot"] == texts["sid"]).select("class", "pivot", F.col("text").alias("pivot_text")))
+    own = materialise(distances(large.join(texts, "sid").join(pivots, "class")))
     own = own.withColumn("ring", F.floor(F.col("far") * 50).cast("int"))
-    rings = own.groupBy("class", "ring").agg(F.count("*").alias("m"), F.max("far").alias("most")).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = materialise(own.join(rings.select("class", "ring", "parts"), ["class", "ring"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")))
-    blocks = own.groupBy("class", "ring", "part").agg(F.count("*").alias("m"), F.max("far").alias("most"))
+    rings = materialise(own.groupBy("class", "ring").agg(F.count("*").alias("m"), F.max("far").alias("most")).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")))
     sure = 1 - SIMILARITY - 1e-9
-    # rings whose members must all be similar to each other are counted, not compared
-    by_ring = own.groupBy("class", "ring").agg(F.count("*").alias("m"), F.max("far").alias("most"))
-    counted = by_ring.alias("a").join(by_ring.alias("b"), (F.col("a.class") == F.col("b.class")) & (F.col("a.most") + F.col("b.most") <= sure))
-    counted = counted.groupBy(F.col("a.class").alias("class"), F.col("a.ring").alias("ring")).agg(F.sum("b.m").alias("c"))
-    itself = by_ring.filter(2 * F.col("most") <= sure).select("class", "ring", F.lit(1).alias("one"))
-    certain = own.join(counted, ["class", "ring"]).join(itself, ["class", "ring"], "left").select("sid", (F.col("c") - F.coalesce("one", F.lit(0))).alias("links"))
-
-    ring_most = by_ring.select("class", "ring", F.col("most").alias("ring_most"))
-    blocks = blocks.join(ring_most, ["class", "ring"]).withColumn("block", F.struct("ring", "part"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    tasks = a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.ring_most") + F.col("b.ring_most") > sure))
-    tasks = tasks.select(F.col("a.class").alias("class"), F.col("a.block").alias("p"), F.col("b.block").alias("q"))
-    tasks = materialise(tasks)
-    rows = own.select("class", F.struct("ring", "part").alias("block"), "sid", "text")
+    own = own.join(rings.select("class", "ring", "parts"), ["class", "ring"]).withColumn("block", F.struct("ring", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")))
+    own = materialise(own.select("sid", "class", "ring", "far", "block", "text"))
+    # rings whose members must all be similar to each other are counted, and linked through the pivot
+    near = rings.alias("a").join(rings.alias("b"), F.expr(f"a.class = b.class AND a.most + b.most <= {sure!r}"))
+    near = near.groupBy(F.col("a.class").alias("class"), F.col("a.ring").alias("ring")).agg((F.sum("b.m") - F.max(F.when(F.col("a.most") * 2 <= sure, 1).otherwise(0))).alias("links"))
+    certain = own.join(near, ["class", "ring"]).join(pivots.select("class", "pivot"), "class").select("sid", "links", F.when(F.col("far") <= sure, F.col("pivot")).otherwise(F.col("sid")).alias("root"))
+    blocks = own.groupBy("class", "block").agg(F.first("ring").alias("ring")).join(rings.select("class", "ring", "most"), ["class", "ring"])
+    tasks = blocks.alias("a").join(blocks.alias("b"), F.expr(f"a.class = b.class AND a.block <= b.block AND a.most + b.most > {sure!r}"))
+    tasks = materialise(tasks.select(F.col("a.class").alias("class"), F.col("a.block").alias("p"), F.col("b.block").alias("q")))
+    rows = own.select("class", "block", "sid", "text")
     left = rows.join(tasks.withColumn("block", F.col("p")), ["class", "block"]).withColumn("side", F.lit(0))
     right = rows.join(tasks.filter("p != q").withColumn("block", F.col("q")), ["class", "block"]).withColumn("side", F.lit(1))
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if len(b):
-            x, y = compared([shingles(t) for t in a["text"]], [shingles(t) for t in b["text"]])
-            return pd.DataFrame({"sid": [*a["sid"], *b["sid"]], "links": [*x, *y]})
-        x, _ = compared([shingles(t) for t in a["text"]], None)
-        return pd.DataFrame({"sid": a["sid"], "links": x})
+        left = [shingles(t) for t in a["text"]]
+        if not len(b):
+            similar, sids = compared(left, left), a["sid"].to_numpy()
+        else:
+            cross = compared(left, [shingles(t) for t in b["text"]])
+            sids = np.concatenate([a["sid"].to_numpy(), b["sid"].to_numpy()])
+            similar = np.zeros((len(sids), len(sids)), bool)
+            similar[: len(a), len(a) :], similar[len(a) :, : len(a)] = cross, cross.T
+        return pd.DataFrame({"sid": sids, "links": similar.sum(1), "root": linked(sids, similar)})
 
-    compared_rows = left.unionByName(right).select("class", "p", "q", "sid", "text", "side").groupBy("class", "p", "q").applyInPandas(pair, "sid bigint, links bigint")
-    return small.unionByName(compared_rows.unionByName(certain).groupBy("sid").agg(F.sum("links").alias("links")))
+    blockwise = left.unionByName(right).select("class", "p", "q", "sid", "text", "side").groupBy("class", "p", "q").applyInPandas(pair, VERIFIED)
+    return small.unionByName(blockwise).unionByName(certain)
 
 
-def near_duplicates(docs: DataFrame, links: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), n_copies (documents of
-    an equal set, itself included; 1 without words) and, with links, n_links (other sets that are similar)."""
+    an equal set, itself included; 1 without words) and n_links (other sets that are similar)."""
     with scratch(docs.sparkSession):
-        return materialise(find_duplicates(docs.select("doc_id", "text"), links), stays=True)
+        return materialise(find_duplicates(docs.select("doc_id", "text")), stays=True)
 
 
-def find_duplicates(docs: DataFrame, links: bool) -> DataFrame:
+def find_duplicates(docs: DataFrame) -> DataFrame:
     every = materialise(signatures(docs))
     worded = every.filter(F.col("sid").isNotNull())
     sets = worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "deep", "short")])
     sets = materialise(sets)
-    classes, texts = found_links(sets, docs)
-    classes = materialise(classes)
+    candidates, pairs = candidate_classes(sets)
+    texts = materialise(texts_of(candidates.select("sid"), docs, sets))
+    found = materialise(compare_classes(candidates, pairs, texts))
+    classes = components(found.filter("sid != root").select(F.col("sid").alias("x"), F.col("root").alias("y")))
     own = sets.select("sid", "doc_id", "n_copies").join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
     ids = own.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    own = own.join(ids, "class").select("sid", "class_id", "n_copies")
-    if links:
-        own = own.join(count_links(classes, texts), "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)).cast("bigint")).drop("links")
+    links = found.groupBy("sid").agg(F.sum("links").alias("n_links"))
+    own = own.join(ids, "class").join(links, "sid", "left").select("sid", "class_id", "n_copies", "n_links")
     out = every.select("doc_id", "sid").join(own, "sid", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *([F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if links else []))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those of a class but its smallest doc_id; all columns stay. Rows with a null id stay."""
-    found = near_duplicates(docs, links=False).filter("doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = near_duplicates(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["gone"], "left_anti").select(*docs.columns)
 
 
