@@ -148,7 +148,7 @@ for _m, _f in (("corr", "corr"), ("cov", "covar_pop")):
 register("corr_with", lambda s, d: table(s, d, "lineitem").agg(F.round(stats.correlation("l_quantity", "l_extendedprice"), 4).alias("r")), "SELECT round(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem")
 register("corr_constant", lambda s, d: table(s, d, "lineitem").withColumn("one", F.lit(1.0)).agg(stats.correlation("l_quantity", "one").alias("r")), "SELECT CAST(0 AS DOUBLE) AS r")
 register("cov_with", lambda s, d: table(s, d, "lineitem").agg(F.round(stats.covariance("l_quantity", "l_extendedprice"), 3).alias("r")), "SELECT round(covar_pop(l_quantity, l_extendedprice), 3) AS r FROM lineitem")
-register("skew", lambda s, d: table(s, d, "part").agg(F.round(stats.skewness("p_retailprice"), 5).alias("r")), "SELECT round(avg(power(p_retailprice - m, 3)) / power(max(sd), 3), 5) AS r FROM part, (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS sd FROM part)")
+register("skew", lambda s, d: table(s, d, "lineitem").agg(F.round(stats.skewness("l_extendedprice"), 5).alias("r")), "SELECT round(avg(power(l_extendedprice - m, 3)) / power(max(sd), 3), 5) AS r FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd FROM lineitem)")
 register("kurtosis", lambda s, d: table(s, d, "part").agg(F.round(stats.excess_kurtosis("p_retailprice"), 5).alias("r")), "SELECT round(kurtosis_pop(p_retailprice), 5) AS r FROM part")
 register("quantile", lambda s, d: table(s, d, "orders").agg(F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("q")), "SELECT round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders")
 register("mode", lambda s, d: stats.modes(table(s, d, "events"), "event_type", ["event_id"]), "SELECT event_type AS mode FROM events GROUP BY 1 ORDER BY count(*) DESC, max(event_id) LIMIT 1")

@@ -31,7 +31,7 @@ def compare():
     import duckdb
 
     def rows(columns, found):
-        return sorted(repr([None if v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in (r[c] for c in columns)]) for r in found)
+        return sorted(repr([None if v != v else float(v) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in (r[c] for c in columns)]) for r in found)
 
     def check(df, sql, sf_dir):
         db = duckdb.connect()
