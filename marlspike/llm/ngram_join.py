@@ -152,22 +152,39 @@ def texts_of(sids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """sid, class: the smallest sid that a chain of edges (x, y) reaches, for every sid with an edge."""
-    both = materialise(edges.select("x", "y").union(edges.select("y", "x")).distinct())
-    labels = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("class")).withColumnRenamed("x", "sid"))
-    while True:
-        near = both.join(labels.select(F.col("sid").alias("y"), F.col("class").alias("c")), "y").groupBy("x").agg(F.min("c").alias("c"))
-        stepped = labels.join(near, labels["sid"] == near["x"]).select("sid", F.least("class", "c").alias("next"), "class")
-        # a label is itself a set with a label: jump to it
-        jump = labels.select(F.col("sid").alias("at"), F.col("class").alias("j"))
-        new = materialise(stepped.join(jump, stepped["next"] == jump["at"], "left").select("sid", F.least("next", F.coalesce("j", "next")).alias("class"), F.col("class").alias("was")))
-        if new.filter("class < was").isEmpty():
-            return new.select("sid", "class")
-        labels = new.select("sid", "class")
+    """sid, class: the smallest number that a chain of edges (x, y) reaches, for every number with an edge.
+
+    Each round sends every node to its smallest neighbour, follows that once more, and goes on with the edges
+    between what is left: they become fewer each time.
+    """
+    edges = materialise(edges.filter("x != y").select("x", "y").union(edges.filter("x != y").select("y", "x")).distinct())
+    classes = None
+    while classes is None or not edges.isEmpty():
+        low = materialise(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")))
+        onward = low.select(F.col("x").alias("at"), F.col("to").alias("next"))
+        low = materialise(low.join(onward, low["to"] == onward["at"]).select("x", F.col("next").alias("to")))
+        if classes is None:
+            classes = low.select(F.col("x").alias("sid"), F.col("to").alias("class"))
+        else:
+            classes = classes.join(low, classes["class"] == low["x"], "left").select("sid", F.coalesce("to", "class").alias("class"))
+        classes = materialise(classes)
+        left = edges.join(low.withColumnRenamed("to", "p"), "x").select("y", "p")
+        edges = left.join(low.select(F.col("x").alias("y"), F.col("to").alias("q")), "y").filter("p != q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct()
+        edges = materialise(edges)
+    return classes
+
+
+def merged(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes (sid, class) after the links (x, y) between classes; a set without a class is its own."""
+    groups = materialise(components(found))
+    alone = groups.select("sid").join(classes.select("class").distinct(), groups["sid"] == F.col("class"), "left_anti").select("sid", F.col("sid").alias("class"))
+    moved = groups.select(F.col("sid").alias("at"), F.col("class").alias("to"))
+    every = classes.union(alone)
+    return every.join(moved, every["class"] == moved["at"], "left").select("sid", F.coalesce("to", "class").alias("class"))
 
 
 def candidate_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, class) of sets that have candidates, and all pairs (x, y) that were found on the way."""
+    """(sid, class) of sets that have candidates, and pairs (x, y) of sets with the first of their prefixes."""
     deep = sets.select("sid", "n", "b0", "b1", F.explode("deep").alias("k"))
     first = deep.groupBy("k").agg(F.min(F.struct("sid", "n", "b0", "b1")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("k", "f.*")
     pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y")]
@@ -184,9 +201,10 @@ def candidate_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             members = short.alias("b")
         once = "(b.class = b.main OR a.sid < b.sid)"
-        found = others.join(members, F.expr(f"a.k = b.k AND a.class != b.class AND {once} AND {sketch_agrees('a', 'b')}")).select(*pair).distinct()
-        pairs = materialise(pairs.union(found))
-        classes = materialise(components(pairs))
+        found = others.join(members, F.expr(f"a.k = b.k AND a.class != b.class AND {once} AND {sketch_agrees('a', 'b')}"))
+        found = materialise(found.select(F.col("a.class").alias("x"), F.col("b.class").alias("y")).distinct())
+        if not found.isEmpty():
+            classes = materialise(merged(classes, found))
     return classes, pairs
 
 

@@ -36,8 +36,8 @@ def documents(prose_of):
     random.seed(9)
     docs = []
     for i in range(150):
-        words = prose_of(random.choice([80, 120, 160]), random.randrange(6)).split()
-        for _ in range(random.choice([0, 0, 1, 2, 3, 4])):
+        words = prose_of(random.choice([120, 200]), random.randrange(3)).split()
+        for _ in range(random.choice([0, 0, 1, 1, 2, 2, 3])):
             words[random.randrange(len(words))] = f"w{random.randrange(1000)}"
         docs.append((i, " ".join(words)))
     return [*docs, (150, ""), (151, "short text"), (152, "Short  text"), (153, "a b c d")]
