@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import bitmap, marked, materialise, scratch, slot_of, table
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
+#: Added to the positions of settled sets, which fails them in the positional filter.
+SETTLED = 1 << 24
 LEAST_SIZE = 4
 
 
@@ -57,9 +59,9 @@ def word_levels(docs: DataFrame) -> list[int]:
 
 def coded(words: Column, levels: list[int]) -> Column:
     """Distinct words as sorted numbers, the rarest first."""
-    high = F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")
+    high = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(high, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(high, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def bits_of(numbers: Column) -> Column:
@@ -83,7 +85,7 @@ def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
 
 FILTERS = f"""a.size >= {SIMILARITY} * b.size - 1e-9 AND b.size >= {SIMILARITY} * a.size - 1e-9
     AND (a.size + b.size - bit_count(a.bits ^ b.bits)) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"""
-POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
+POSITIONS = f"least(a.size - a.pos, b.size - b.pos % {SETTLED}) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
 EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id IS NULL AND a.doc_id IS NOT NULL) OR (b.doc_id <=> a.doc_id AND b.line_no < a.line_no))"
 PAIR = ["a.doc_id AS x_doc", "a.line_no AS x_line", "b.doc_id AS y_doc", "b.line_no AS y_line"]
 
@@ -118,10 +120,10 @@ def resembling(sets: DataFrame, docs: DataFrame, levels: list[int]) -> DataFrame
     stars = keyed.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND {EARLIER} AND {FILTERS}")).selectExpr(*PAIR).distinct()
     found = materialise(verified(stars, docs, sets, levels))
     marked_own = own.join(found.withColumn("settled", F.lit(True)), "h", "left")
-    posted = marked_own.select("doc_id", "line_no", F.col("settled").isNull().alias("open"), "size", "bits", F.posexplode("prefix").alias("pos", "w"))
-    # the condition on a's state names b as well: pushed below the exchange, it would make a second one
-    open_ = "((a.open AND b.w IS NOT NULL) OR (b.w IS NULL AND a.open))"
-    pairs = posted.alias("a").join(posted.alias("b"), F.expr(f"a.w = b.w AND {open_} AND {EARLIER} AND {POSITIONS} AND {FILTERS}")).selectExpr(*PAIR).distinct()
+    posted = marked_own.select("doc_id", "line_no", F.when(F.col("settled"), SETTLED).otherwise(0).alias("off"), "size", "bits", F.posexplode("prefix").alias("pos", "w"))
+    posted = posted.select("w", "doc_id", "line_no", "size", "bits", (F.col("pos") + F.col("off")).alias("pos"))
+    # no condition is on one side alone, so that both sides are one exchange
+    pairs = posted.alias("a").join(posted.alias("b"), F.expr(f"a.w = b.w AND {EARLIER} AND {POSITIONS} AND {FILTERS}")).selectExpr(*PAIR).distinct()
     return found.union(verified(pairs, docs, sets, levels))
 
 
