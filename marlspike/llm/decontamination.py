@@ -33,9 +33,11 @@ RANK = 128
 EXTRA = 16
 POWERS = 3
 STEP = 8
+#: Runs between the starts of two windows.
+STRIDE = 2
 ITEM_BLOCK = 2000
 SAMPLE_PASSAGES = 2000
-SAMPLE_WEIGHT = 0.2
+SAMPLE_WEIGHT = 0.05
 COSINE = 0.4
 VERBATIM = 0.7
 PARAPHRASE = 0.5
@@ -181,17 +183,19 @@ class Searcher:
         self.items = [i for i in (Item(*x) for x in items) if i.words]
         self.projected = space * idf[:, None]
         self.by_width: dict[int, tuple[list[int], np.ndarray]] = {}
-        width = lambda i: -(-len(self.items[i].words) // (2 * STEP)) * 2 + 1
+        width = lambda i: -(-len(self.items[i].words) // (2 * STEP)) * 2 + STRIDE
         for w in sorted({width(i) for i in range(len(self.items))}):
             own = [i for i in range(len(self.items)) if width(i) == w]
             rows = np.zeros((len(own), space.shape[1]), np.float32)
             for k, i in enumerate(own):
                 at = [term_of(x) for x in self.items[i].words]
-                rows[k] = self.projected[at].sum(0) / np.sqrt(self.square[at].sum())
+                rows[k] = self.projected[at].sum(0)
+                rows[k] /= max(np.linalg.norm(rows[k]), 1e-9)  # the item as the space has it
             self.by_width[w] = own, rows
 
-    def scan(self, texts: list[str | None], cosine: float = COSINE):
+    def scan(self, texts: list[str | None], cosine: float | None = None):
         """(text number, item number, cosine) of candidates, with the words around them."""
+        cosine = COSINE if cosine is None else cosine
         cut = [t.lower().split() if t else [] for t in texts]
         runs = np.array([-(-len(c) // STEP) for c in cut], np.int64)
         ends = np.cumsum(runs)
@@ -206,24 +210,23 @@ class Searcher:
             part = self.projected[ids[a * STEP : (a + 4096) * STEP]]
             vectors[a : a + 4096] = part.reshape(-1, STEP, part.shape[1]).sum(1)
         norms = np.concatenate([[0], np.cumsum(self.square[ids].reshape(-1, STEP).sum(1, dtype=np.float64))])
-        sums, width = None, 0
+        # sums of the runs from each start on, for one width after the other
+        starts = np.arange(0, total, STRIDE)
+        padded = np.concatenate([vectors, np.zeros((max(self.by_width) + STRIDE, vectors.shape[1]), np.float32)])
+        sums, width = np.zeros((len(starts), vectors.shape[1]), np.float32), 0
         for w, (own, rows) in self.by_width.items():
-            if sums is None:
-                sums = vectors.copy()
-                width = 1
-            while width < w:  # the sums of the runs that follow come on top
-                if width < total:
-                    sums[: total - width] += vectors[width:]
+            while width < w:
+                sums += padded[width : width + total : STRIDE][: len(starts)]
                 width += 1
-            stop = np.minimum(np.arange(total) + w, total)
-            size = np.sqrt(np.maximum(norms[stop] - norms[:-1], 1e-9)).astype(np.float32)
-            for a in range(0, total, 8192):
-                near = sums[a : a + 8192] @ rows.T
-                at, k = np.nonzero(near >= cosine * size[a : a + 8192, None])
-                if len(at):
-                    near = near[at, k] / size[a + at]
-                    doc = np.searchsorted(ends, a + at, side="right")
-                    for r, i, d, c in zip((a + at).tolist(), k.tolist(), doc.tolist(), near.tolist(), strict=True):
+            size = np.sqrt(np.maximum(norms[np.minimum(starts + w, total)] - norms[starts], 1e-9)).astype(np.float32) * np.float32(cosine)
+            for a in range(0, len(starts), 4096):
+                near = (sums[a : a + 4096] / size[a : a + 4096, None]) @ rows.T
+                hit = near >= 1
+                if hit.any():
+                    at, k = np.nonzero(hit)
+                    run = starts[a + at]
+                    doc = np.searchsorted(ends, run, side="right")
+                    for r, i, d, c in zip(run.tolist(), k.tolist(), doc.tolist(), (near[at, k] * cosine).tolist(), strict=True):
                         yield d, own[i], c, cut[d], r - int(ends[d] - runs[d]), w
 
     def search(self, texts: list[str | None]):
@@ -234,7 +237,8 @@ class Searcher:
                 continue
             item = self.items[i]
             words = list(map(self.bare.__getitem__, tokens[max(0, (run - 1) * STEP) : (run + w + 1) * STEP]))
-            if sum(map(item.masks.__contains__, words)) < PARAPHRASE * len(item.words):
+            # no more words than these can be common, in whatever order
+            if sum([item.masks[x].bit_count() for x in item.masks.keys() & set(words)]) < PARAPHRASE * len(item.words):
                 continue
             covered, answered = item.check(words)
             if contained(covered, answered) and (not known or covered > known[1]):
