@@ -3,14 +3,15 @@
 1. Document frequencies of hashed words are counted over all documents (TERMS buckets).
 2. A distributed randomised SVD (power iterations of A'A on a random basis, partial products summed by
    Spark) of TF-IDF passages spans the latent space: all benchmark items of a block, and passages of a
-   sample of documents that SAMPLE_PASSAGES bounds.
+   sample of documents that SAMPLE_PASSAGES bounds. The space then grows by what it lacks of items, until
+   each keeps KEEP of its length in it.
 3. Documents are read once for each block of ITEM_BLOCK items: runs of STEP words are summed in the latent
    space, windows of runs that fit the items' lengths are compared with all items by cosine (the
    passage's length is that of its full TF-IDF vector), and candidates over COSINE are checked.
 4. An item is contained if the longest common subsequence of words covers VERBATIM of it, or covers
    PARAPHRASE of it and the answer, its last quarter, is covered to ANSWER.
 
-Broadcast are the space (TERMS x RANK floats) and one block of items, both of fixed size. Documents are
+Broadcast are the space (TERMS x (RANK + ITEM_BLOCK) floats at most) and one block of items. Documents are
 not shuffled. Null and empty texts, and items without words, match nothing; repeated rows repeat their
 pairs in the scan and give one row each time (doc_id, item_id) differs. Null ids are kept as ids.
 """
@@ -35,7 +36,9 @@ POWERS = 3
 STEP = 8
 #: Runs between the starts of two windows.
 STRIDE = 2
-ITEM_BLOCK = 2000
+ITEM_BLOCK = 500
+#: Share of its TF-IDF length that each item keeps in the space.
+KEEP = 0.95
 SAMPLE_PASSAGES = 2000
 SAMPLE_WEIGHT = 0.05
 COSINE = 0.4
@@ -133,6 +136,22 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
     return np.concatenate([space, np.zeros((1, rank), np.float32)]).astype(np.float32)
 
 
+def covering(space: np.ndarray, idf: np.ndarray, texts: list[str]) -> np.ndarray:
+    """The space with more directions, so that each of the texts keeps KEEP of its length."""
+    rows = np.zeros((len(texts), TERMS + 1), np.float32)
+    for row, text in zip(rows, texts, strict=True):
+        np.add.at(row, [term_of(w) for w in words_of(text)], 1)
+    rows *= idf
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rest = rows - (rows @ space) @ space.T
+    rest = rest[np.linalg.norm(rest, axis=1) > np.sqrt(1 - KEEP**2)]
+    if not len(rest):
+        return space
+    _, s, more = np.linalg.svd(rest, full_matrices=False)
+    # what is left of copies of an item has no direction of its own
+    return np.concatenate([space, more[s > 1e-3 * s[0]].T], axis=1)
+
+
 def lcs(masks: dict[str, int], n: int, words: list[str]) -> int:
     """Length of the longest common subsequence of words and the n words whose positions masks has, by bit-parallel rows."""
     full = (1 << n) - 1
@@ -266,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items.filter(F.col("block") == block)
         rows = [tuple(r) for r in own.select("item_id", "text").collect()]
         passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(8)
-        space = latent_space(passages, idf)
+        space = covering(latent_space(passages, idf), idf, [text for _, text in rows])
         held = spark.sparkContext.broadcast((rows, idf, space))
 
         def run(batches, held=held):

@@ -1,5 +1,6 @@
 """Decontamination, license scans and quotation linking."""
 
+import random
 import re
 
 import pytest
@@ -28,6 +29,15 @@ def test_finds_passages_and_paraphrases(spark, prose_of, benchmark):
     assert all(d >= 100 for d, _ in got)
 
 
+def test_finds_more_items_than_the_space_has_directions(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=6)) for _ in range(4000)]
+    items = [" ".join(rng.choices(vocabulary, k=30)) for _ in range(600)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=48)) + " " + t + " " + " ".join(rng.choices(vocabulary, k=50))) for i, t in enumerate(items)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(600)}
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
