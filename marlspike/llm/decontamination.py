@@ -6,7 +6,7 @@
    sample of documents that SAMPLE_PASSAGES bounds. The space then grows by what it lacks of items, until
    each keeps KEEP of its length in it.
 3. Documents are read once for each block of ITEM_BLOCK items: runs of STEP words are summed in the latent
-   space, windows of runs that fit the items' lengths are compared with all items by cosine (the
+   space, windows of runs that fit the items' lengths, within one document, are compared with all items by cosine (the
    passage's length is that of its full TF-IDF vector), and candidates over COSINE are checked.
 4. An item is contained if the longest common subsequence of words covers VERBATIM of it, or covers
    PARAPHRASE of it and the answer, its last quarter, is covered to ANSWER.
@@ -34,7 +34,7 @@ RANK = 128
 EXTRA = 16
 POWERS = 3
 STEP = 8
-#: Runs between the starts of two windows.
+#: Runs between the starts of two windows of a document.
 STRIDE = 2
 ITEM_BLOCK = 500
 #: Share of its TF-IDF length that each item keeps in the space.
@@ -200,20 +200,23 @@ class Searcher:
     def __init__(self, items: list[tuple], idf: np.ndarray, space: np.ndarray):
         self.idf, self.square, self.terms, self.bare = idf, idf**2, Terms(), Bare()
         self.items = [i for i in (Item(*x) for x in items) if i.words]
-        self.projected = space * idf[:, None]
-        self.by_width: dict[int, tuple[list[int], np.ndarray]] = {}
         width = lambda i: -(-len(self.items[i].words) // (2 * STEP)) * 2 + STRIDE
-        for w in sorted({width(i) for i in range(len(self.items))}):
-            own = [i for i in range(len(self.items)) if width(i) == w]
-            rows = np.zeros((len(own), space.shape[1]), np.float32)
-            for k, i in enumerate(own):
-                at = [term_of(x) for x in self.items[i].words]
-                rows[k] = self.projected[at].sum(0)
-                rows[k] /= max(np.linalg.norm(rows[k]), 1e-9)  # the item as the space has it
-            self.by_width[w] = own, rows
+        #: Number of items of each width, which stand one behind the other.
+        self.by_width: dict[int, int] = {}
+        self.items.sort(key=lambda i: len(i.words))
+        projected, rows = space * idf[:, None], np.zeros((len(self.items), space.shape[1]), np.float32)
+        for k, item in enumerate(self.items):
+            rows[k] = projected[[term_of(x) for x in item.words]].sum(0)
+            rows[k] /= max(np.linalg.norm(rows[k]), 1e-9)  # the item as the space has it
+            self.by_width[width(k)] = self.by_width.get(width(k), 0) + 1
+        # what a word adds to the product with each item
+        self.near = projected @ rows.T
 
     def scan(self, texts: list[str | None], cosine: float | None = None):
-        """(text number, item number, cosine) of candidates, with the words around them."""
+        """(text number, item number, cosine) of candidates, with the words around them.
+
+        Windows start at the first run of a text and at every STRIDE-th behind it, and end with the text.
+        """
         cosine = COSINE if cosine is None else cosine
         cut = [t.lower().split() if t else [] for t in texts]
         runs = np.array([-(-len(c) // STEP) for c in cut], np.int64)
@@ -224,29 +227,25 @@ class Searcher:
         ids = np.full(total * STEP, TERMS, np.int64)
         for c, start in zip(cut, (ends - runs) * STEP, strict=True):
             ids[start : start + len(c)] = np.fromiter(map(self.terms.__getitem__, c), np.int64, len(c))
-        vectors = np.empty((total, self.projected.shape[1]), np.float32)
-        for a in range(0, total, 4096):
-            part = self.projected[ids[a * STEP : (a + 4096) * STEP]]
-            vectors[a : a + 4096] = part.reshape(-1, STEP, part.shape[1]).sum(1)
         norms = np.concatenate([[0], np.cumsum(self.square[ids].reshape(-1, STEP).sum(1, dtype=np.float64))])
-        # sums of the runs from each start on, for one width after the other
-        starts = np.arange(0, total, STRIDE)
-        padded = np.concatenate([vectors, np.zeros((max(self.by_width) + STRIDE, vectors.shape[1]), np.float32)])
-        sums, width = np.zeros((len(starts), vectors.shape[1]), np.float32), 0
-        for w, (own, rows) in self.by_width.items():
-            while width < w:
-                sums += padded[width : width + total : STRIDE][: len(starts)]
-                width += 1
-            size = np.sqrt(np.maximum(norms[np.minimum(starts + w, total)] - norms[starts], 1e-9)).astype(np.float32) * np.float32(cosine)
-            for a in range(0, len(starts), 4096):
-                near = (sums[a : a + 4096] / size[a : a + 4096, None]) @ rows.T
-                hit = near >= 1
-                if hit.any():
-                    at, k = np.nonzero(hit)
-                    run = starts[a + at]
-                    doc = np.searchsorted(ends, run, side="right")
-                    for r, i, d, c in zip(run.tolist(), k.tolist(), doc.tolist(), (near[at, k] * cosine).tolist(), strict=True):
-                        yield d, own[i], c, cut[d], r - int(ends[d] - runs[d]), w
+        of = np.repeat(np.arange(len(cut)), runs)
+        starts = np.flatnonzero((np.arange(total) - (ends - runs)[of]) % STRIDE == 0)
+        most = max(self.by_width)
+        for a in range(0, len(starts), 512):
+            run = starts[a : a + 512]
+            first, last, doc = int(run[0]), min(int(run[-1]) + most, total), of[run]
+            part = self.near[ids[first * STEP : last * STEP]].reshape(-1, STEP, len(self.items)).sum(1)
+            sums = np.zeros((last - first + 1, len(self.items)))
+            np.cumsum(part, axis=0, out=sums[1:])
+            k = 0
+            for w, n in self.by_width.items():
+                stop = np.minimum(run + w, ends[doc])
+                size = np.sqrt(np.maximum(norms[stop] - norms[run], 1e-9)) * cosine
+                near = (sums[stop - first, k : k + n] - sums[run - first, k : k + n]) / size[:, None]
+                for x, i in zip(*(found.tolist() for found in np.nonzero(near >= 1)), strict=True):
+                    d = int(doc[x])
+                    yield d, k + i, float(near[x, i]) * cosine, cut[d], int(run[x] - ends[d] + runs[d]), w
+                k += n
 
     def search(self, texts: list[str | None]):
         """(text number, item, cosine, covered, answered) of the best passage of every item that a text contains."""

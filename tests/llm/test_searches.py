@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from marlspike.llm import decontamination, license_scan, quotations
@@ -38,6 +39,22 @@ def test_finds_more_items_than_the_space_has_directions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i in range(600)}
 
 
+def test_windows_do_not_depend_on_the_documents_around():
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=6)) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, prose(12)) for i in range(40)]
+    docs = [f"{t} {prose(30)}" for _, t in items]
+    idf = decontamination.weights(np.zeros(decontamination.TERMS), 100)
+    searcher = decontamination.Searcher(items, idf, decontamination.covering(np.zeros((decontamination.TERMS + 1, 0), np.float32), idf, [t for _, t in items]))
+    alone = [(f[1], *f[4:]) + (round(f[2], 4),) for d in docs for f in searcher.scan([d])]
+    assert {(f[0], f[1]) for i, d in enumerate(docs) for f in searcher.search([d]) if f[1] == i} == {(0, i) for i in range(40)}
+    for before in (1, 9, 17, 25):
+        texts = [x for d in docs for x in (prose(before), d)]
+        among = [(f[1], *f[4:]) + (round(f[2], 4),) for f in searcher.scan(texts) if f[0] % 2]
+        assert sorted(among) == sorted(alone)
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
