@@ -11,8 +11,8 @@ maps them to a score.
 
 Counts are taken over all training rows: words are counted where they are read, summed by word, and
 turned into n-grams once for each distinct word. Characters are folded to 6 bits, so an n-gram is one
-integer. The driver gets one row for each n-gram, MAX_NGRAMS at most: beyond that the rarest fall
-back to the shared model. CALIBRATION_ROWS bounds the sample for the logistic curve.
+integer. The driver gets one row for each n-gram, however rare and however many, so the model grows with
+the distinct n-grams. CALIBRATION_ROWS bounds the sample for the logistic curve.
 
 Null and empty texts, and texts without a letter, get the score of no evidence.
 """
@@ -33,7 +33,6 @@ from .common import bitmap, is_split, marked, materialise, scratch, slot_of, sma
 
 ORDER = 6
 BITS = 6
-MAX_NGRAMS = 3_000_000
 CALIBRATION_ROWS = 20_000
 WINDOWS = (1, 8, 40)
 DISCOUNT = 0.75
@@ -242,18 +241,9 @@ def count_ngrams(train: DataFrame) -> DataFrame:
     return by_word.mapInArrow(grams, f"code bigint, {counts}").groupBy("code").agg(*sums)
 
 
-def collect_counts(counts: DataFrame, most: int = MAX_NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and their counts. If there are more than most, those below the smallest sufficient count stay out."""
-    counts = materialise(counts)
-    total = sum(F.col(c) for c in COUNTS)
-    if counts.count() > most:
-        least, held = 1, 0
-        for row in counts.groupBy(F.least(total, F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
-            if (held := held + row["count"]) > most:
-                least = row["n"] + 1
-                break
-        counts = counts.filter(total >= least)
-    found = counts.select("code", *COUNTS).toArrow()
+def collect_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their counts, of every n-gram."""
+    found = materialise(counts).select("code", *COUNTS).toArrow()
     codes = found.column(0).to_numpy()
     order = np.argsort(codes)
     return codes[order], np.stack([found.column(1 + k).to_numpy()[order] for k in range(4)])

@@ -43,6 +43,12 @@ def test_kneser_ney_sums_to_one():
     assert 0 < toxicity.shared_probability(np.union1d(kinds, seen)).max() <= 1
 
 
+def test_rare_ngrams_stay_however_many(spark):
+    n = 3_000_001
+    codes, counts = toxicity.collect_counts(spark.range(n).selectExpr("id AS code", "id % 2 AS t0", "0L AS t1", "1 - id % 2 AS o0", "0L AS o1"))
+    assert len(codes) == n and counts.sum() == n
+
+
 def test_toxicity_awkward(awkward, empty, labelled):
     model = toxicity.train_toxicity(*labelled)
     got = toxicity.score_toxicity(awkward, model)
