@@ -109,8 +109,8 @@ OTHERS = [
     ("cc", r"cc by nc nd(?: [1-4] 0)?", "cc-by-nc-nd", 2, 0.9),
     ("cc0", r"cc0(?: 1 0)?", "cc0-1.0", 2, 0.9),
     ("general public", r"gnu general public license", "gpl", 1, 0.8),
-    ("permission", r"permission is hereby granted free of charge to any person obtaining a copy.{0,400}?warrant(?:y|ies)", "mit", 3, 1.0),
-    ("permission", r"permission to use copy modify and or distribute this software.{0,400}?warrant(?:y|ies)", "isc", 3, 1.0),
+    ("permission", r"permission is hereby granted free of charge to any person obtaining a copy.{0,2000}?warrant(?:y|ies)", "mit", 3, 1.0),
+    ("permission", r"permission to use copy modify and or distribute this software.{0,2000}?warrant(?:y|ies)", "isc", 3, 1.0),
     ("redistribution", r"redistribution and use in source and binary forms.{0,900}?copyright", "bsd", 3, 1.0),
     ("warrant", r"(?:provided|distributed) (?:on an )?as is(?: basis)? without warrant(?:y|ies)", "as-is", 1, 0.5),
     ("warrant", r"without warranties or conditions of any kind", "apache-2.0", 2, 0.9),
