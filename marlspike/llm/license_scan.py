@@ -2,7 +2,7 @@
 
 A text is lower-cased in A-Z and becomes its words, joined by single blanks. Rules are regular
 expressions over that form. A text without any gate keyword is not scanned further; in others a rule
-runs if the text contains the rule's keyword. Of the places found, one that lies within another of the
+runs if the text contains one of the rule's keywords. Of the places found, one that lies within another of the
 same or a higher priority is suppressed: places are sorted by start, the longer first, and swept once
 with the furthest end so far of each priority.
 
@@ -26,7 +26,7 @@ from .common import table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Every rule's matches, and every base phrase, contain one of these.
+#: Every rule's matches, and every base phrase, contain one of these, but those of the forms without a keyword (see NAMED).
 GATES = ["licen", "copyright", "copyleft", "reserved", "spdx", "warrant", "public domain", "general public", "creative commons", "cc by", "cc-by", "cc0"]
 
 # Names of licenses as regular expressions over the scanned form, and the labels that they lead to.
@@ -91,11 +91,11 @@ NAMES = [
     ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)"),
     ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|noderivs|no derivatives)"),
 ]
-#: How a name is met: keyword, pattern around it, priority, and how sure the rule is.
+#: How a name is met: keyword (None: the first words of the name), pattern around it, priority, and how sure the rule is.
 FORMS = [
     ("spdx", "spdx license identifier {name}", 3, 1.0),
-    ("licen", "(?:licensed|released|distributed|published|provided|available|covered|made available) (?:under|by|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: license| licence)?", 2, 0.95),
-    ("licen", "(?:subject to|under|accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: license| licence)?", 2, 0.9),
+    (None, "(?:licensed|released|distributed|published|provided|available|covered|made available) (?:under|by|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: license| licence)?", 2, 0.95),
+    (None, "(?:subject to|under|accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: license| licence)?", 2, 0.9),
     ("licen", "{name} licen[cs]e[ds]?", 1, 0.7),
     ("licen", "licen[cs]es? (?:is |type )?{name}", 1, 0.7),
 ]
@@ -128,14 +128,45 @@ OTHERS = [
 ]
 
 
+def spelled(pattern: str, at: int = 0) -> tuple[set[str], int]:
+    """(all texts that a name's pattern can match, where its group ends)."""
+    out, done = {""}, set()
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            done, out, at = done | out, {""}, at + 1
+            continue
+        if pattern.startswith("(?:", at):
+            part, at = spelled(pattern, at + 3)
+            at += 1
+        elif pattern[at] == "[":
+            part, at = set(pattern[at + 1 : pattern.index("]", at)]), pattern.index("]", at) + 1
+        else:
+            part, at = {pattern[at]}, at + 1
+        if pattern[at : at + 1] == "?":
+            part, at = part | {""}, at + 1
+        out = {a + b for a in out for b in part}
+    return done | out, at
+
+
+def first_words(name: str) -> list[str]:
+    """What a name's matches begin with, without those that begin like another."""
+    words = {w.split()[0] for w in spelled(name)[0]}
+    return sorted(w for w in words if not any(w != x and w.startswith(x) for x in words))
+
+
 def rules() -> list[dict]:
-    """The rules in their order: keyword, pattern, label, priority, sure."""
-    named = [(k, form.format(name=name), label, priority, sure) for label, name in NAMES for k, form, priority, sure in FORMS]
-    keys = ("keyword", "pattern", "label", "priority", "sure")
-    return [dict(zip(keys, (k, f"(?<= )(?:{p})(?= )", *rest), strict=True)) | {"place": i} for i, (k, p, *rest) in enumerate([*named, *OTHERS])]
+    """The rules in their order: keywords, pattern, label, priority, sure."""
+    named = [([k] if k else [f" {w}" for w in first_words(name)], form.format(name=name), label, priority, sure) for label, name in NAMES for k, form, priority, sure in FORMS]
+    keys = ("keywords", "pattern", "label", "priority", "sure")
+    others = [([k], *rest) for k, *rest in OTHERS]
+    return [dict(zip(keys, (k, f"(?<= )(?:{p})(?= )", *rest), strict=True)) | {"place": i} for i, (k, p, *rest) in enumerate([*named, *others])]
+
 
+#: Over the text: what the matches of the forms without a keyword contain.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NAMED = "(?:under|by|(?:according|subject) to|accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})".format("|".join(sorted({w for _, name in NAMES for w in first_words(name)}))).replace(" ", GAP)
 
-RULE_TYPE = "array<struct<keyword:string,pattern:string,label:string,priority:int,sure:double,place:int>>"
+RULE_TYPE = "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,sure:double,place:int>>"
 PLACES = """
 aggregate(regexp_extract_all(norm, r.pattern, 0),
   named_struct('rest', split(norm, r.pattern), 'at', 0, 'k', 1, 'out', CAST(array() AS array<struct<start:int,back:int,rank:int,place:int,label:string,sure:double>>)),
@@ -167,7 +198,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for word in GATES:
         gate = gate | F.contains(lowered, F.lit(word)) if " " not in word else gate
     # blanks of the scanned form can be any other marks in the text
-    gate = gate | (F.contains(lowered, F.lit("cc")) & F.contains(lowered, F.lit("by"))) | F.contains(lowered, F.lit("commons")) | (F.contains(lowered, F.lit("public")) & (F.contains(lowered, F.lit("domain")) | F.contains(lowered, F.lit("general"))))
+    gate = gate | (F.contains(lowered, F.lit("cc")) & F.contains(lowered, F.lit("by"))) | F.contains(lowered, F.lit("commons")) | (F.contains(lowered, F.lit("public")) & (F.contains(lowered, F.lit("domain")) | F.contains(lowered, F.lit("general")))) | lowered.rlike(NAMED)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", "text").select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("bigint").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
@@ -187,7 +218,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     df = df.withColumns({"n_base": count.cast("bigint"), "first_word": F.least(*firsts).cast("bigint"), "last_word": F.greatest(*lasts).cast("bigint"), "base": F.array_compact(F.array(*labels))})
     table_of_rules = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
     df = df.withColumn("rules_", F.when(F.col("norm").isNotNull(), table_of_rules))
-    df = df.withColumn("found", F.expr(f"CASE WHEN norm IS NOT NULL THEN array_sort(flatten(transform(filter(rules_, r -> contains(norm, r.keyword)), r -> {PLACES}))) END")).drop("rules_")
+    df = df.withColumn("found", F.expr(f"CASE WHEN norm IS NOT NULL THEN array_sort(flatten(transform(filter(rules_, r -> exists(r.keywords, k -> contains(norm, k))), r -> {PLACES}))) END")).drop("rules_")
     df = df.withColumn("places", F.coalesce(F.expr(SWEEP), F.expr("CAST(array() AS array<struct<start:int,stop:int,label:string,sure:double>>)")))
     every = F.array_sort(F.array_distinct(F.concat("base", F.col("places.label"))))
     score = F.greatest(F.coalesce(F.array_max("places.sure"), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.8).otherwise(0.0))

@@ -122,6 +122,15 @@ def test_whole_license_texts(spark):
     assert all(label in got[label] for label in texts)
 
 
+def test_names_without_the_word_license_against_brute_force(spark):
+    texts = ["Distributed under the GPL version 2", "released under the MIT.", "under the terms of the GPLv3", "covered by the MPL 2.0", "Copyright 2020 me. Published under\nthe-BSD 2-clause", "subject to Expat", "made in\taccordance with: the terms and conditions of the ZLIB", "understood by limits"]
+    texts += [f"{verb} the {min(license_scan.spelled(name)[0])}" for verb in ("Available under", "covered by") for _, name in license_scan.NAMES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in license_scan.scan_licenses(df).drop("places").collect()]
+    assert [r[1:] for r in sorted(got)] == [license_brute(t) for t in texts]
+    assert sorted(got)[1][6:] == ("mit", 0.95)
+
+
 def test_license_scan_is_native(awkward):
     plan = license_scan.scan_licenses(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
