@@ -107,5 +107,12 @@ def marked(df: DataFrame, slot: Column, marks: DataFrame) -> DataFrame:
     return own.join(F.broadcast(marks), F.expr("slot_ div 64") == F.col("word_at")).filter(hit).select(*df.columns)
 
 
+def unmarked(df: DataFrame, slot: Column, marks: DataFrame) -> DataFrame:
+    """The other rows of df than those of marked()."""
+    own = df.withColumn("slot_", slot)
+    hit = F.expr("shiftright(mask, CAST(slot_ % 64 AS INT)) & 1L") == 0
+    return own.join(F.broadcast(marks), F.expr("slot_ div 64") == F.col("word_at"), "left").filter(F.col("mask").isNull() | hit).select(*df.columns)
+
+
 def slot_of(c: str, bits: int = BITMAP_BITS) -> Column:
     return F.pmod(F.xxhash64(F.col(c)), F.lit(bits))

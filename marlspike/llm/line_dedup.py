@@ -5,19 +5,22 @@ earlier line has the same set or one of Jaccard similarity SIMILARITY or more; w
 with need not be kept itself. Lines without a word always stay.
 
 1. Word rarity: counts of all words in hashed buckets give every word a level; words are 64-bit
-   numbers, level first, so that sorting puts the rarest first and alike everywhere.
+   numbers, level first, so that sorting puts the rarest first and alike everywhere. The levels are a
+   table of one row with BUCKETS numbers, read by a scalar subquery.
 2. Equal sets are grouped to their first place with partial aggregation. Sets of fewer than four
    words can equal, but not resemble, another one and go no further.
-3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Sets that agree in some words of their
-   prefixes are compared with the first of them only: that settles groups of near copies with as many
+3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Slices of it that HOT sets or more have in
+   common lead each of these sets to the first of them: that settles large groups of near copies with as many
    comparisons as they have lines.
-4. Sets still undecided are joined with all earlier ones that share a word of the prefixes. Length,
-   positional and parity-bitmap filters hold inside the joins. Both sides are one exchange.
-5. Candidates are verified on their word sets, read again from the documents concerned.
+4. Of two similar sets the smaller one has a common word among its |s| - ceil(2t / (1 + t) |s|) + 1 rarest
+   ones, which are posted, and the larger one in its prefix, which is looked up. Words of a high level are
+   posted by classes of sizes besides, so that the length filter holds in the key. Two settled sets never meet.
+   Length, positional and parity-bitmap filters hold inside the join.
+5. Candidates are verified on their word sets, read again from the lines concerned.
 
-Joins are equi-joins that adaptive execution can split; nothing is collected but the word levels
-(BUCKETS numbers). Broadcast is a bitmap of at most BITMAP_BITS / 64 rows.
-Words are compared by 56 bits of their hashes; words of prefixes by 32, which can only add candidates.
+Joins are equi-joins that adaptive execution can split; nothing is collected. Broadcast are bitmaps of at most
+BITMAP_BITS / 64 rows. Words are compared by 56 bits of their hashes; words of prefixes by 26, which can only add
+candidates.
 
 Null and empty texts have no lines to remove. Rows that repeat a doc_id are one place: equal places
 are not earlier than each other. A null doc_id comes first. Only doc_id and text are read.
@@ -25,106 +28,149 @@ are not earlier than each other. A null doc_id comes first. Only doc_id and text
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, scratch, slot_of, table
+from .common import BITMAP_BITS, bitmap, marked, materialise, scratch, slot_of, table, unmarked
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 18
-#: Added to the positions of settled sets, which fails them in the positional filter.
-SETTLED = 1 << 24
+BUCKETS = 1 << 20
+#: Rows of levels that are gathered to one array at a time.
+CHUNK = 1 << 10
 LEAST_SIZE = 4
+#: Sets with a common slice of the prefix from which they are compared with the first of them.
+HOT = 12
+#: Level (four times the logarithm of the count) from which words are posted by classes of sizes.
+CLASSED = 24
+#: Ratio of sizes within a class.
+CLASS_RATIO = 1.5
+#: What separates words besides blanks and line ends.
+BLANKS = "\t\x0B\f\r"
 
 
-def word_list(line: Column) -> Column:
-    plain = F.when(F.regexp_like(line, F.lit(r"[\t\x0B\f\r]")), F.regexp_replace(line, r"\s", " ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(plain), " "), "")
+def cleaned(text: Column) -> Column:
+    """Lower-cased text whose words are separated by blanks and line ends alone."""
+    odd = F.lit(False)
+    for c in BLANKS:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.lower(F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line."""
-    return docs.filter(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length(F.trim("line")) > 0)
-
-
-def word_levels(docs: DataFrame) -> list[int]:
-    """For each bucket of word hashes four times the logarithm of the count."""
-    words = docs.filter(F.length("text") > 0).select(F.explode(word_list(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
-    levels = [0] * BUCKETS
-    for b, n in counts.collect():
-        levels[b] = min(127, 4 * n.bit_length() + (n * 4 >> n.bit_length() - 1) % 4)
-    return levels
-
-
-def coded(words: Column, levels: list[int]) -> Column:
-    """Distinct words as sorted numbers, the rarest first."""
-    high = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(high, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
-
-
-def bits_of(numbers: Column) -> Column:
-    """The parity of the words in each of 64 buckets."""
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int"))))
-
-
-def line_sets(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """h, place, own (size, bits, prefix) of every line with words."""
-    lines = lines_of(docs).withColumn("s", coded(word_list(F.col("line")), levels)).filter(F.size("s") > 0)
+    """doc_id, line_no, line (lower-cased) of the lines with a word."""
+    lines = docs.filter(F.length("text") > 0).select("doc_id", F.posexplode(F.split(cleaned(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.filter(F.length(F.trim("line")) > 0)
+
+
+def word_levels(docs: DataFrame) -> DataFrame:
+    """One row, levels: for each bucket of word hashes four times the logarithm of the count."""
+    words = docs.filter(F.length("text") > 0).select(F.explode(F.split(F.replace(cleaned(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(F.log2("n") * 4 + 1e-9), F.lit(63)).cast("int")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).alias("level")).union(counts.select("b", level))
+    numbers = lambda key, value, name: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[name])
+    single = every.groupBy("b").agg(F.max("level").alias("level"))
+    chunks = single.groupBy(F.expr(f"b div {CHUNK}").alias("c")).agg(numbers("b", "level", "level").alias("part"))
+    return materialise(chunks.agg(F.flatten(numbers("c", "part", "part")).alias("levels")))
+
+
+def with_words(lines: DataFrame, levels: DataFrame) -> DataFrame:
+    """line becomes s: distinct words as sorted numbers, the rarest first."""
+    rest = [c for c in lines.columns if c != "line"]
+    # analysis forbids a subquery in a lambda; the optimiser puts it there, as long as each column is used once
+    beside = lines.withColumn("levels of all", levels.scalar())
+    level = lambda h: F.coalesce(F.get("levels of all", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
+    hashes = F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w))
+    coded = F.transform(hashes, lambda h: F.shiftleft(level(h).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    return beside.select(*rest, F.array_distinct(F.sort_array(coded)).alias("s"))
+
+
+def line_sets(docs: DataFrame, levels: DataFrame) -> DataFrame:
+    """h, place, own (size, bits, prefix) of every line with words. A prefix holds 6 bits of level and 26 of the hash."""
     size = F.size("s")
+    parity = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("s", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
-    folded = F.transform(prefix, lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    folded = F.transform(prefix, lambda w: (F.shiftleft(F.shiftright(w, 56), 26).bitwiseOR(w.bitwiseAND(F.lit((1 << 26) - 1))) - (1 << 31)).cast("int"))
     long = size >= LEAST_SIZE
-    return lines.select(
+    return with_words(lines_of(docs), levels).select(
         F.xxhash64("s").alias("h"),
         F.struct("doc_id", "line_no").alias("place"),
-        F.struct(size.alias("size"), F.when(long, bits_of(F.col("s"))).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
+        F.struct(size.alias("size"), F.when(long, parity).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
     )
 
 
 FILTERS = f"""a.size >= {SIMILARITY} * b.size - 1e-9 AND b.size >= {SIMILARITY} * a.size - 1e-9
     AND (a.size + b.size - bit_count(a.bits ^ b.bits)) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"""
-POSITIONS = f"least(a.size - a.pos, b.size - b.pos % {SETTLED}) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
-EARLIER = "(b.doc_id < a.doc_id OR (b.doc_id IS NULL AND a.doc_id IS NOT NULL) OR (b.doc_id <=> a.doc_id AND b.line_no < a.line_no))"
-PAIR = ["a.doc_id AS x_doc", "a.line_no AS x_line", "b.doc_id AS y_doc", "b.line_no AS y_line"]
+POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
+EARLIER = "(y_doc < x_doc OR (y_doc IS NULL AND x_doc IS NOT NULL) OR (y_doc <=> x_doc AND y_line < x_line))"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, levels: list[int]) -> DataFrame:
-    """The h of the sets of those places x that resemble their y."""
+def later_of_similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
+    """id of the sets that resemble an earlier one of their pairs (a, b)."""
     pairs = materialise(pairs)
-    places = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).union(pairs.select("y_doc", "y_line")).distinct()
-    marks = materialise(bitmap(places.select(slot_of("doc_id").alias("slot")).distinct()))
-    lines = lines_of(marked(docs, slot_of("doc_id"), marks))
-    same = lines["doc_id"].eqNullSafe(places["doc_id"]) & (lines["line_no"] == places["line_no"])
-    read = lines.join(places, same).select(lines["doc_id"], lines["line_no"], coded(word_list(F.col("line")), levels).alias("s"))
-    read = materialise(read.withColumn("h", F.xxhash64("s")))
-    # rows that repeat a doc_id have several sets at a place: the one that stands there is that of the sets
-    firsts = sets.select(F.col("h").alias("own_h"), "place.doc_id", "place.line_no")
-    at = read["doc_id"].eqNullSafe(firsts["doc_id"]) & (read["line_no"] == firsts["line_no"]) & (read["h"] == firsts["own_h"])
-    read = materialise(read.join(firsts, at, "left_semi").dropDuplicates(["doc_id", "line_no", "h"]))
-    a = read.select(F.col("doc_id").alias("ad"), F.col("line_no").alias("al"), F.col("h").alias("h"), F.col("s").alias("a"))
-    b = read.select(F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("s").alias("b"))
-    both = pairs.join(a, F.col("x_doc").eqNullSafe(F.col("ad")) & (F.col("x_line") == F.col("al"))).join(b, F.col("y_doc").eqNullSafe(F.col("bd")) & (F.col("y_line") == F.col("bl")))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared) - 1e-9).select("h").distinct()
-
-
-def resembling(sets: DataFrame, docs: DataFrame, levels: list[int]) -> DataFrame:
-    """The h of sets that resemble a set whose first place is earlier."""
-    own = sets.filter(F.col("prefix").isNotNull()).select("h", "place.doc_id", "place.line_no", "size", "bits", "prefix")
+    ids = pairs.select("a").union(pairs.select("b")).distinct()
+    own = marked(sets.select("id", "h", "place"), slot_of("id"), bitmap(ids.select(slot_of("a").alias("slot")).distinct()))
+    own = materialise(own.join(ids, own["id"] == ids["a"], "left_semi").select("id", "h", "place.doc_id", "place.line_no"))
+    at_place = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(BITMAP_BITS))
+    lines = marked(docs, slot_of("doc_id"), bitmap(own.select(slot_of("doc_id").alias("slot")).distinct()))
+    lines = marked(lines_of(lines), at_place, bitmap(own.select(at_place.alias("slot")).distinct()))
+    # another line of an equal set is as good as the first one
+    read = with_words(lines, levels).select(F.xxhash64("s").alias("h"), "s").dropDuplicates(["h"])
+    read = materialise(own.join(read, "h"))
+    side = lambda x, key: read.select(F.col("id").alias(key), F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("s").alias(x + "_s"))
+    both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    shared = F.size(F.array_intersect("x_s", "y_s"))
+    similar = both.filter(shared >= SIMILARITY * (F.size("x_s") + F.size("y_s") - shared) - 1e-9)
+    swapped = EARLIER.replace("y_", "z_").replace("x_", "y_").replace("z_", "x_")
+    return similar.select(F.expr(f"CASE WHEN {EARLIER} THEN a WHEN {swapped} THEN b END").alias("id")).filter("id IS NOT NULL").distinct()
+
+
+def near_groups(own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set with the first one of a slice of its prefix that HOT sets or more have."""
     by_value = F.sort_array("prefix")
     keys = F.array(F.xxhash64(F.lit(1), F.slice("prefix", 1, 3)), F.xxhash64(F.lit(2), F.slice(by_value, 1, 4)), F.xxhash64(F.lit(3), F.reverse(F.slice(F.reverse(by_value), 1, 4))))
-    keyed = own.select(F.explode(keys).alias("k"), "doc_id", "line_no", "size", "bits")
-    first = keyed.groupBy("k").agg(F.min(F.struct("doc_id", "line_no", "size", "bits")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f.*")
-    stars = keyed.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND {EARLIER} AND {FILTERS}")).selectExpr(*PAIR).distinct()
-    found = materialise(verified(stars, docs, sets, levels))
-    marked_own = own.join(found.withColumn("settled", F.lit(True)), "h", "left")
-    posted = marked_own.select("doc_id", "line_no", F.when(F.col("settled"), SETTLED).otherwise(0).alias("off"), "size", "bits", F.posexplode("prefix").alias("pos", "w"))
-    posted = posted.select("w", "doc_id", "line_no", "size", "bits", (F.col("pos") + F.col("off")).alias("pos"))
-    # no condition is on one side alone, so that both sides are one exchange
-    pairs = posted.alias("a").join(posted.alias("b"), F.expr(f"a.w = b.w AND {EARLIER} AND {POSITIONS} AND {FILTERS}")).selectExpr(*PAIR).distinct()
-    return found.union(verified(pairs, docs, sets, levels))
+    keyed = own.withColumn("k", F.explode(keys))
+    hot = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT).select(slot_of("k").alias("slot")).distinct()))
+    keyed = marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), hot)
+    first = keyed.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f")).select("k", "f.*")
+    return keyed.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
+
+
+def posting_pairs(unsettled: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of which one is not settled, that share a word within their prefixes and pass the filters."""
+    posted = F.col("size") - F.ceil(F.col("size") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
+    rest = ["id", "size", "bits", "pos"]
+    of_size = lambda n: F.floor(F.log(n) / F.lit(math.log(CLASS_RATIO))).cast("int")
+    own_class = F.array(of_size(F.col("size")))
+    classes = F.sequence(of_size(F.ceil(F.col("size") * SIMILARITY - 1e-9)), of_size(F.col("size")))
+    words = lambda df: df.select("id", "size", "bits", F.posexplode("prefix").alias("pos", "w"))
+
+    def keyed(df: DataFrame, kind: int, classes: Column) -> DataFrame:
+        classed = F.shiftright(F.col("w").cast("bigint") + (1 << 31), 26) >= CLASSED
+        return df.withColumn("of", F.explode(F.when(classed, classes).otherwise(F.array(F.lit(-1))))).select(F.xxhash64(F.lit(kind), "w", "of").alias("k"), *rest)
+
+    looked_up, hidden = words(unsettled), words(settled)
+    every = words(unsettled.unionByName(settled))
+    # settled sets look up words of unsettled ones too, of which only such words are posted again
+    theirs = materialise(bitmap(hidden.select(slot_of("w").alias("slot")).distinct()))
+    again = marked(looked_up.filter(F.col("pos") < posted), slot_of("w"), theirs)
+    left = keyed(looked_up, 0, classes).union(keyed(again, 1, own_class))
+    right = keyed(every.filter(F.col("pos") < posted), 0, own_class).union(keyed(hidden, 1, classes))
+    pairs = left.alias("a").join(right.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS} AND {POSITIONS}"))
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def resembling(sets: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame:
+    """The id of sets that resemble a set whose first place is earlier."""
+    own = sets.filter(F.col("prefix").isNotNull()).select("id", "place", "size", "bits", "prefix")
+    found = materialise(later_of_similar(near_groups(own), docs, sets, levels))
+    marks = materialise(bitmap(found.select(slot_of("id").alias("slot")).distinct()))
+    maybe = marked(own, slot_of("id"), marks)
+    settled = maybe.join(found, "id", "left_semi").drop("place")
+    unsettled = unmarked(own, slot_of("id"), marks).union(maybe.join(found, "id", "left_anti")).drop("place")
+    return found.union(later_of_similar(posting_pairs(unsettled, settled), docs, sets, levels))
 
 
 def kept_places(docs: DataFrame) -> DataFrame:
@@ -139,10 +185,12 @@ def kept_places(docs: DataFrame) -> DataFrame:
 def find_kept_places(docs: DataFrame) -> DataFrame:
     levels = word_levels(docs)
     sets = line_sets(docs, levels).groupBy("h").agg(F.min_by("own", "place").alias("own"), F.min("place").alias("place")).select("h", "place", "own.*")
-    sets = materialise(sets)
+    sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()))
     near = resembling(sets, docs, levels)
-    firsts = sets.select("h", "place").join(near, "h", "left_anti").select("place.doc_id", "place.line_no")
-    total = lines_of(docs).filter(F.regexp_like("line", F.lit(r"\S"))).groupBy("doc_id").agg(F.size(F.collect_set("line_no")).cast("bigint").alias("n_lines"))
+    firsts = sets.select("id", "place").join(near, "id", "left_anti").select("place.doc_id", "place.line_no")
+    lines = F.split(cleaned(F.col("text")), "\n")
+    worded = F.filter(F.transform(lines, lambda line, i: F.when(F.length(F.trim(line)) > 0, i)), lambda i: i.isNotNull())
+    total = docs.filter(F.length("text") > 0).select("doc_id", worded.alias("worded")).groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("worded")))).cast("bigint").alias("n_lines")).filter("n_lines > 0")
     kept = firsts.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
     joined = total.alias("t").join(kept.alias("k"), F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")), "left")
     return joined.select("t.doc_id", "n_lines", F.coalesce(F.size("kept"), F.lit(0)).cast("bigint").alias("n_kept"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
