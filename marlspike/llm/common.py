@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -48,20 +51,28 @@ def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set, as in tests."""
+    """The shared folder that the session names; one of our own only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         named = os.path.join(tempfile.gettempdir(), "marlspike-checkpoints")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Paths of the tables written inside each open scratch(), the innermost last.
-_scratch: list[list[str]] = []
+#: Of each thread the paths of the tables written inside each open scratch(), the innermost last.
+_open = threading.local()
+
+
+def opened() -> list[list[str]]:
+    if not hasattr(_open, "scratch"):
+        _open.scratch = []
+    return _open.scratch
 
 
 def materialise(df: DataFrame, stays: bool = False) -> DataFrame:
@@ -71,8 +82,8 @@ def materialise(df: DataFrame, stays: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    if len(_scratch) > stays:
-        _scratch[-1 - stays].append(path)
+    if len(opened()) > stays:
+        opened()[-1 - stays].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,19 +91,29 @@ def materialise(df: DataFrame, stays: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables materialised inside are deleted at the end; what is needed longer has to be told to stay."""
-    _scratch.append([])
+    opened().append([])
     try:
         yield
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _scratch.pop():
+        for path in opened().pop():
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
 
 
+def give_back_memory() -> None:
+    """Return what the driver's Python has freed to the system: the driver's JVM, and later steps, need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def is_split(key: str, modulus: int, remainder: int):
-    """True for rows whose crc32 of the id as text has this remainder."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder)
+    """True for rows whose crc32 of the id as text has this remainder; a null id has none."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
 def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
