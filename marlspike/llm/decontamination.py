@@ -2,18 +2,22 @@
 
 1. Document frequencies of hashed words are counted over all documents (TERMS buckets).
 2. A distributed randomised SVD (power iterations of A'A on a random basis, partial products summed by
-   Spark) of TF-IDF passages spans the latent space: all benchmark items of a block, and passages of a
-   sample of documents that SAMPLE_PASSAGES bounds. The space then grows by what it lacks of items, until
-   each keeps KEEP of its length in it.
-3. Documents are read once for each block of ITEM_BLOCK items: runs of STEP words are summed in the latent
-   space, windows of runs that fit the items' lengths, within one document, are compared with all items by cosine (the
-   passage's length is that of its full TF-IDF vector), and candidates over COSINE are checked.
-4. An item is contained if the longest common subsequence of words covers VERBATIM of it, or covers
-   PARAPHRASE of it and the answer, its last quarter, is covered to ANSWER.
-
-Broadcast are the space (TERMS x (RANK + ITEM_BLOCK) floats at most) and one block of items. Documents are
-not shuffled. Null and empty texts, and items without words, match nothing; repeated rows repeat their
-pairs in the scan and give one row each time (doc_id, item_id) differs. Null ids are kept as ids.
+   Spark) of TF-IDF passages spans the latent space: all benchmark items of a block, and a sample of documents
+   that SAMPLE_PASSAGES bounds. The space then grows by what it lacks of items, until each keeps KEEP of its
+   length in it.
+3. Documents are read once for PASS_BLOCKS blocks of ITEM_BLOCK items. A window holds an item's number of words
+   and one or two steps more; windows begin at every step of a document, and a step is a third to a fifth of the
+   item, at most STEP words. Windows are compared with items by cosine in the space (the window's length is that of
+   its full TF-IDF vector). GROUP items together have, word by word, an upper bound of their products; only where
+   it reaches COSINE are they looked at one by one, which loses nothing.
+4. A candidate is checked on its window with half an item more on both sides. An item is contained if the longest
+   common subsequence of words covers VERBATIM of it, or covers PARAPHRASE of it and the answer, its last
+   quarter, is covered to ANSWER.
+
+Broadcast are document frequencies, and products of TERMS buckets with the items of a pass. Documents are not
+shuffled. What is found in a document depends on that document alone. Null and empty texts, and items without words,
+match nothing; repeated rows are one document: (doc_id, item_id) has the best passage of either. Null ids are
+kept as ids.
 """
 
 from __future__ import annotations
@@ -27,16 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import smaller_batches, table, text_chunks
+from .common import materialise, scratch, smaller_batches, table, text_chunks
 
 TERMS = 1 << 14
 RANK = 128
 EXTRA = 16
 POWERS = 3
+#: Words between the starts of two windows of a document, at most.
 STEP = 8
-#: Runs between the starts of two windows of a document.
-STRIDE = 2
 ITEM_BLOCK = 500
+PASS_BLOCKS = 4
+GROUP = 16
+#: Words that are looked at together, besides those of a window.
+SPAN = 1 << 16
 #: Share of its TF-IDF length that each item keeps in the space.
 KEEP = 0.95
 SAMPLE_PASSAGES = 2000
@@ -50,7 +57,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def bare(token: str) -> str:
-    return EDGE.sub("", token)
+    return token if token.isalnum() else EDGE.sub("", token)
 
 
 @lru_cache(maxsize=CACHE_WORDS)
@@ -83,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             n += len(texts)
             for text in texts:
                 if text:
-                    tokens = text.lower().split()
+                    tokens = set(text.lower().split())
                     seen = np.zeros(TERMS + 1, bool)
                     seen[np.fromiter(map(terms.__getitem__, tokens), np.int64, len(tokens))] = True
                     df += seen
@@ -196,73 +203,105 @@ def contained(covered: float, answered: float) -> bool:
     return covered >= VERBATIM or covered >= PARAPHRASE and answered >= ANSWER
 
 
+def step_of(n: int) -> int:
+    """Words between the starts of windows for an item of n words: a power of two."""
+    return min(STEP, 1 << max(0, (n // 3).bit_length() - 1))
+
+
+def width_of(n: int) -> int:
+    """Steps of a window for an item of n words, wherever the item begins."""
+    return -(-n // step_of(n)) + 1
+
+
+def compared(rows: list[tuple], idf: np.ndarray, space: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """(the items with words, those of equal windows one behind the other; what each bucket adds to the product with each)."""
+    worded = [(len(words), k) for k, (_, text) in enumerate(rows) if (words := words_of(text))]
+    rows = [rows[k] for _, k in sorted(worded)]
+    projected, vectors = space * idf[:, None], np.zeros((len(rows), space.shape[1]), np.float32)
+    for vector, (_, text) in zip(vectors, rows, strict=True):
+        vector += projected[[term_of(w) for w in words_of(text)]].sum(0)
+        vector /= max(np.linalg.norm(vector), 1e-9)  # the item as the space has it
+    return rows, projected @ vectors.T
+
+
 class Searcher:
-    def __init__(self, items: list[tuple], idf: np.ndarray, space: np.ndarray):
-        self.idf, self.square, self.terms, self.bare = idf, idf**2, Terms(), Bare()
-        self.items = [i for i in (Item(*x) for x in items) if i.words]
-        width = lambda i: -(-len(self.items[i].words) // (2 * STEP)) * 2 + STRIDE
-        #: Number of items of each width, which stand one behind the other.
-        self.by_width: dict[int, int] = {}
-        self.items.sort(key=lambda i: len(i.words))
-        projected, rows = space * idf[:, None], np.zeros((len(self.items), space.shape[1]), np.float32)
-        for k, item in enumerate(self.items):
-            rows[k] = projected[[term_of(x) for x in item.words]].sum(0)
-            rows[k] /= max(np.linalg.norm(rows[k]), 1e-9)  # the item as the space has it
-            self.by_width[width(k)] = self.by_width.get(width(k), 0) + 1
-        # what a word adds to the product with each item
-        self.near = projected @ rows.T
-
-    def scan(self, texts: list[str | None], cosine: float | None = None):
-        """(text number, item number, cosine) of candidates, with the words around them.
-
-        Windows start at the first run of a text and at every STRIDE-th behind it, and end with the text.
-        """
+    """Finds passages of documents that contain one of the items; near is what compared() returns."""
+
+    def __init__(self, rows: list[tuple], near: np.ndarray, idf: np.ndarray, terms: Terms | None = None, plain: Bare | None = None):
+        self.square, self.terms, self.bare = idf.astype(np.float64) ** 2, Terms() if terms is None else terms, Bare() if plain is None else plain
+        self.items = [Item(*x) for x in rows]
+        #: For each step and width the groups of items, and the upper bounds of the step's groups.
+        self.groups: dict[int, dict[int, list[tuple[int, int, np.ndarray]]]] = {}
+        sizes = [(step_of(n), width_of(n)) for n in (len(i.words) for i in self.items)]
+        at = 0
+        while at < len(sizes):
+            end = at + 1
+            while end < len(sizes) and end < at + GROUP and sizes[end] == sizes[at]:
+                end += 1
+            step, width = sizes[at]
+            own = self.groups.setdefault(step, {}).setdefault(width, [])
+            own.append((at, end, np.ascontiguousarray(near[:, at:end])))
+            at = end
+        self.upper = {step: np.stack([g[2].max(1) for own in widths.values() for g in own], axis=1) for step, widths in self.groups.items()}
+
+    def scan(self, cut: list[list[str]], cosine: float | None = None):
+        """(text number, item number, cosine, first word, words) of candidates in these tokens of texts."""
         cosine = COSINE if cosine is None else cosine
-        cut = [t.lower().split() if t else [] for t in texts]
-        runs = np.array([-(-len(c) // STEP) for c in cut], np.int64)
-        ends = np.cumsum(runs)
-        total = int(ends[-1]) if len(ends) else 0
-        if not total or not self.items:
-            return
-        ids = np.full(total * STEP, TERMS, np.int64)
-        for c, start in zip(cut, (ends - runs) * STEP, strict=True):
+        # every text begins at a multiple of STEP
+        lengths = np.array([-(-len(c) // STEP) * STEP for c in cut], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        ids = np.full(int(lengths.sum()), TERMS, np.int64)
+        for c, start in zip(cut, begins, strict=True):
             ids[start : start + len(c)] = np.fromiter(map(self.terms.__getitem__, c), np.int64, len(c))
-        norms = np.concatenate([[0], np.cumsum(self.square[ids].reshape(-1, STEP).sum(1, dtype=np.float64))])
-        of = np.repeat(np.arange(len(cut)), runs)
-        starts = np.flatnonzero((np.arange(total) - (ends - runs)[of]) % STRIDE == 0)
-        most = max(self.by_width)
-        for a in range(0, len(starts), 512):
-            run = starts[a : a + 512]
-            first, last, doc = int(run[0]), min(int(run[-1]) + most, total), of[run]
-            part = self.near[ids[first * STEP : last * STEP]].reshape(-1, STEP, len(self.items)).sum(1)
-            sums = np.zeros((last - first + 1, len(self.items)))
-            np.cumsum(part, axis=0, out=sums[1:])
-            k = 0
-            for w, n in self.by_width.items():
-                stop = np.minimum(run + w, ends[doc])
-                size = np.sqrt(np.maximum(norms[stop] - norms[run], 1e-9)) * cosine
-                near = (sums[stop - first, k : k + n] - sums[run - first, k : k + n]) / size[:, None]
-                for x, i in zip(*(found.tolist() for found in np.nonzero(near >= 1)), strict=True):
-                    d = int(doc[x])
-                    yield d, k + i, float(near[x, i]) * cosine, cut[d], int(run[x] - ends[d] + runs[d]), w
-                k += n
+        of = np.repeat(np.arange(len(cut)), lengths // STEP)
+        for step, widths in self.groups.items():
+            most = max(widths) * step
+            for first in range(0, len(ids), SPAN):
+                held = ids[first : first + SPAN + most]
+                norms = np.concatenate([[0], np.cumsum(self.square[held].reshape(-1, step).sum(1))])
+                upper = self.upper[step][held].reshape(-1, step, self.upper[step].shape[1]).sum(1)
+                sums = np.zeros((len(upper) + 1, upper.shape[1]))
+                np.cumsum(upper, axis=0, out=sums[1:])
+                starts = np.arange(min(SPAN, len(ids) - first) // step)
+                doc = of[(first + starts * step) // STEP]
+                ends = (begins + lengths)[doc] - first
+                k = 0
+                for width, groups in widths.items():
+                    stops = np.minimum(starts + width, ends // step)
+                    stops_held = np.minimum(stops, len(upper))
+                    size = np.sqrt(np.maximum(norms[stops_held] - norms[starts], 1e-9)) * cosine
+                    bound = sums[stops_held, k : k + len(groups)] - sums[starts, k : k + len(groups)]
+                    for g, (item, _, near) in enumerate(groups):
+                        hits = np.flatnonzero(bound[:, g] >= size * 0.9999)
+                        for a in range(0, len(hits), 2048):
+                            own = hits[a : a + 2048]
+                            at = starts[own, None] * step + np.arange(width * step)
+                            tokens = held[np.minimum(at, len(held) - 1)]
+                            tokens[at >= stops_held[own, None] * step] = TERMS
+                            value = near[tokens].sum(1, dtype=np.float64) / size[own, None]
+                            for x, i in zip(*(found.tolist() for found in np.nonzero(value >= 1)), strict=True):
+                                d = int(doc[own[x]])
+                                yield d, item + i, float(value[x, i]) * cosine, int(first + starts[own[x]] * step - begins[d]), width * step
+                    k += len(groups)
 
     def search(self, texts: list[str | None]):
         """(text number, item, cosine, covered, answered) of the best passage of every item that a text contains."""
+        cut = [t.lower().split() if t else [] for t in texts]
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, cosine, tokens, run, w in self.scan(texts):
+        for d, i, cosine, at, n in self.scan(cut):
             if (known := best.get((d, i))) and known[1] == 1.0:
                 continue
             item = self.items[i]
-            words = list(map(self.bare.__getitem__, tokens[max(0, (run - 1) * STEP) : (run + w + 1) * STEP]))
+            more = len(item.words) // 2
+            words = list(map(self.bare.__getitem__, cut[d][max(0, at - more) : at + n + more]))
             # no more words than these can be common, in whatever order
             if sum([item.masks[x].bit_count() for x in item.masks.keys() & set(words)]) < PARAPHRASE * len(item.words):
                 continue
             covered, answered = item.check(words)
-            if contained(covered, answered) and (not known or covered > known[1]):
-                best[d, i] = cosine, covered, answered
-        for (d, i), found in best.items():
-            yield d, self.items[i].id, *found
+            if contained(covered, answered) and (not known or (covered, answered, cosine) > known):
+                best[d, i] = covered, answered, cosine
+        for (d, i), (covered, answered, cosine) in best.items():
+            yield d, self.items[i].id, cosine, covered, answered
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -272,25 +311,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, covered double, answered double, kind string"
-    items = benchmark.select("item_id", "text").filter(F.length("text") > 0)
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    df, n = document_frequencies(docs)
-    idf = weights(df, n)
-    share = min(1.0, SAMPLE_PASSAGES / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1e6)).select("text", F.lit(SAMPLE_WEIGHT).alias("weight"))
+    with scratch(spark):
+        items = benchmark.select("item_id", "text").filter(F.length("text") > 0)
+        blocks = max(1, -(-items.count() // ITEM_BLOCK))
+        items = materialise(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+        df, n = document_frequencies(docs)
+        idf = weights(df, n)
+        chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) < int(min(1.0, SAMPLE_PASSAGES / max(n, 1)) * (1 << 53))
+        sample = materialise(docs.filter(chosen).select("text", F.lit(SAMPLE_WEIGHT).alias("weight")))
+        passes: list[list] = []
+        for block in range(blocks):
+            own = items.filter(F.col("block") == block)
+            rows = [tuple(r) for r in own.select("item_id", "text").collect()]
+            passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(8)
+            space = covering(latent_space(passages, idf), idf, [text for _, text in rows])
+            if block % PASS_BLOCKS == 0:
+                passes.append([])
+            passes[-1].append(compared(rows, idf, space))
     results = None
-    for block in range(blocks):
-        own = items.filter(F.col("block") == block)
-        rows = [tuple(r) for r in own.select("item_id", "text").collect()]
-        passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(8)
-        space = covering(latent_space(passages, idf), idf, [text for _, text in rows])
-        held = spark.sparkContext.broadcast((rows, idf, space))
+    for parts in passes:
+        held = spark.sparkContext.broadcast((parts, idf))
 
         def run(batches, held=held):
-            searcher = Searcher(*held.value)
+            terms, plain = Terms(), Bare()
+            parts, idf = held.value
+            searchers = [Searcher(rows, near, idf, terms, plain) for rows, near in parts]
             for part, texts in text_chunks(batches):
-                found = list(searcher.search(texts))
+                found = [f for searcher in searchers for f in searcher.search(texts)]
                 if found:
                     at = [f[0] for f in found]
                     columns = list(zip(*found, strict=True))
@@ -299,7 +346,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         found = docs.mapInArrow(run, schema)
         results = found if results is None else results.union(found)
-    return results.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "covered", "answered", "kind")])
+    best = results.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "answered", "cosine", "kind")).alias("b"))
+    return best.select("doc_id", "item_id", *[f"b.{c}" for c in ("cosine", "covered", "answered", "kind")])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
