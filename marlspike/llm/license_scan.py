@@ -1,10 +1,14 @@
 """License scans with ordered signature rules, in DataFrame operations only.
 
 A text is lower-cased in A-Z and becomes its words, joined by single blanks. Rules are regular
-expressions over that form. A text without any gate keyword is not scanned further; in others a rule
-runs if the text contains one of the rule's keywords. Of the places found, one that lies within another of the
-same or a higher priority is suppressed: places are sorted by start, the longer first, and swept once
-with the furthest end so far of each priority.
+expressions over that form. A text without any gate keyword is not scanned further; in others a group of rules
+runs if its own gate is met, and a rule of it if the text contains one of the rule's keywords. Every pattern is a
+constant, compiled once for a task. The places of a rule are found by one replacement that marks them and the
+numbers of the marked words, so that the work grows in proportion to the text and its places.
+
+Of the places found, one that lies within another of the same or a higher priority is suppressed: places are sorted by
+start, the longer first, and compared with those before them in blocks, and with the furthest end of each priority of
+the blocks before.
 
 The base phrases count at every place where their words stand in a row, suppressed or not, and their
 labels stay beside those of the rules.
@@ -15,8 +19,6 @@ repeated rows stay, and only doc_id and text are read.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 #: Every rule's matches, and every base phrase, contain one of these, but those of the forms without a keyword (see NAMED).
-GATES = ["licen", "copyright", "copyleft", "reserved", "spdx", "warrant", "public domain", "general public", "creative commons", "cc by", "cc-by", "cc0"]
+GATES = ["licen", "copyright", "copyleft", "reserved", "spdx", "warrant", "permission", "redistribut", "proprietary", "confidential", "trade secret", "reproduced", "commons", "cc0"]
 
 # Names of licenses as regular expressions over the scanned form, and the labels that they lead to.
 NAMES = [
@@ -99,6 +101,14 @@ FORMS = [
     ("licen", "{name} licen[cs]e[ds]?", 1, 0.7),
     ("licen", "licen[cs]es? (?:is |type )?{name}", 1, 0.7),
 ]
+#: What a text must have for any rule of a form to match.
+FORM_GATES = {
+    FORMS[0][1]: "spdx license identifier ",
+    FORMS[1][1]: " (?:licensed|released|distributed|published|provided|available|covered) (?:under|by|according to) ",
+    FORMS[2][1]: " (?:subject to|under|accordance with) ",
+    FORMS[3][1]: " licen[cs]e[ds]? ",
+    FORMS[4][1]: " licen[cs]es? ",
+}
 # Rules that stand for themselves: keyword, pattern, label, priority, how sure it is.
 OTHERS = [
     ("cc", r"cc by(?: nc| sa| nd)*(?: [1-4] 0)?", "cc-by", 1, 0.8),
@@ -109,9 +119,127 @@ OTHERS = [
     ("cc", r"cc by nc nd(?: [1-4] 0)?", "cc-by-nc-nd", 2, 0.9),
     ("cc0", r"cc0(?: 1 0)?", "cc0-1.0", 2, 0.9),
     ("general public", r"gnu general public license", "gpl", 1, 0.8),
-    ("permission", r"permission is hereby granted free of charge to any person obtaining a copy.{0,2000}?warrant(?:y|ies)", "mit", 3, 1.0),
-    ("permission", r"permission to use copy modify and or distribute this software.{0,2000}?warrant(?:y|ies)", "isc", 3, 1.0),
-    ("redistribution", r"redistribution and use in source and binary forms.{0,900}?copyright", "bsd", 3, 1.0),
+    # openings of whole license texts
+    ("permission", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?", "mit", 3, 1.0),
+    ("permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "bsl-1.0", 3, 1.0),
+    ("permission", r"permission to use copy modify and or distribute this software for any purpose", "isc", 3, 1.0),
+    ("permission", r"permission to use copy modify and distribute this software for any purpose", "isc", 3, 0.9),
+    ("permission", r"permission to use copy modify and or distribute this software", "isc", 2, 0.8),
+    ("permission", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation", "hpnd", 3, 1.0),
+    ("permission", r"permission is granted to anyone to use this software for any purpose including commercial applications", "zlib", 3, 1.0),
+    ("permission", r"permission is hereby granted without written agreement and without license or royalty fees", "mit-modern", 3, 0.9),
+    ("permission", r"permission is hereby granted to use copy modify prepare derivative works", "hpnd", 2, 0.8),
+    ("permission", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl", 3, 1.0),
+    ("permission", r"permission is granted to make and distribute verbatim copies", "gnu-verbatim", 2, 0.9),
+    ("permission", r"copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice", "gnu-all-permissive", 3, 1.0),
+    ("copyright", r"copying and distribution of this file with or without modification are permitted", "gnu-all-permissive", 2, 0.9),
+    ("permission", r"no permission is granted", "proprietary", 1, 0.5),
+    ("permission", r"without (?:the )?(?:prior )?(?:express )?(?:written )?permission of the (?:author|publisher|copyright holder|owner)s?", "permission-required", 1, 0.5),
+    ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 3, 1.0),
+    ("redistribution", r"redistribution and use in source and binary forms", "bsd", 2, 0.9),
+    ("redistribution", r"redistributions of source code must retain the above copyright notice", "bsd", 2, 0.9),
+    ("redistribution", r"redistributions in binary form must reproduce the above copyright notice", "bsd", 2, 0.9),
+    ("copyright", r"neither the name of the copyright holder nor the names of its contributors", "bsd-3-clause", 3, 0.95),
+    ("permission", r"may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause", 3, 0.95),
+    ("copyright", r"all advertising materials mentioning features or use of this software must display", "bsd-4-clause", 3, 0.95),
+    ("licen", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2.0", 3, 1.0),
+    ("licen", r"you may not use this file except in compliance with the license", "apache-2.0", 2, 0.8),
+    ("licen", r"unless required by applicable law or agreed to in writing software distributed under the license", "apache-2.0", 2, 0.8),
+    ("licen", r"apache license version 2 0 january 2004", "apache-2.0", 3, 1.0),
+    ("licen", r"apache org licenses license 2 0", "apache-2.0", 3, 1.0),
+    ("licen", r"apache org licenses license 1 1", "apache-1.1", 3, 1.0),
+    ("licen", r"contributor license agreements?", "cla", 1, 0.4),
+    ("licen", r"the unlicense", "unlicense", 2, 0.9),
+    ("public domain", r"this is free and unencumbered software released into the public domain", "unlicense", 3, 1.0),
+    ("licen", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gpl", 2, 0.9),
+    ("licen", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl", 3, 1.0),
+    ("licen", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", 3, 1.0),
+    ("licen", r"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl", 3, 1.0),
+    ("licen", r"free software you can redistribute it and or modify it under the terms of the gnu library general public license", "lgpl", 3, 1.0),
+    ("licen", r"free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl", 3, 1.0),
+    ("licen", r"either version 2 of the license or at your option any later version", "gpl-2.0", 2, 0.8),
+    ("licen", r"either version 2 1 of the license or at your option any later version", "lgpl-2.1", 2, 0.9),
+    ("licen", r"either version 3 of the license or at your option any later version", "gpl-3.0", 2, 0.8),
+    ("licen", r"you should have received a copy of the gnu general public license", "gpl", 2, 0.95),
+    ("licen", r"you should have received a copy of the gnu lesser general public license", "lgpl", 2, 0.95),
+    ("licen", r"you should have received a copy of the gnu affero general public license", "agpl", 2, 0.95),
+    ("licen", r"gnu org licenses gpl 2 0", "gpl-2.0", 3, 0.95),
+    ("licen", r"gnu org licenses gpl 3 0", "gpl-3.0", 3, 0.95),
+    ("licen", r"gnu org licenses lgpl(?: [23](?: [01])?)?", "lgpl", 3, 0.95),
+    ("licen", r"gnu org licenses agpl(?: 3 0)?", "agpl", 3, 0.95),
+    ("licen", r"gnu org licenses fdl(?: 1 [123])?", "gfdl", 3, 0.95),
+    ("licen", r"gnu org licenses", "gpl", 1, 0.7),
+    ("copyleft", r"gnu org copyleft gpl html", "gpl", 3, 0.95),
+    ("copyleft", r"gnu org copyleft lesser html", "lgpl", 3, 0.95),
+    ("licen", r"opensource org licenses mit(?: license)?(?: php)?", "mit", 3, 0.95),
+    ("licen", r"opensource org licenses bsd(?: license)?(?: php)?", "bsd", 3, 0.95),
+    ("licen", r"opensource org licenses bsd 3 clause", "bsd-3-clause", 3, 0.95),
+    ("licen", r"opensource org licenses bsd 2 clause", "bsd-2-clause", 3, 0.95),
+    ("licen", r"opensource org licenses isc(?: license)?(?: txt)?", "isc", 3, 0.95),
+    ("licen", r"opensource org licenses artistic license(?: 2 0)?", "artistic", 3, 0.95),
+    ("licen", r"opensource org licenses zlib(?: license)?(?: php)?", "zlib", 3, 0.95),
+    ("licen", r"boost org license 1 0 txt", "bsl-1.0", 3, 1.0),
+    ("licen", r"this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", 3, 1.0),
+    ("licen", r"the contents of this file are subject to the mozilla public license version 1 1", "mpl-1.1", 3, 1.0),
+    ("licen", r"the contents of this file are subject to the netscape public license", "npl", 3, 1.0),
+    ("licen", r"the contents of this file are subject to the terms of the common development and distribution license", "cddl", 3, 1.0),
+    ("licen", r"mozilla org mpl 2 0", "mpl-2.0", 3, 0.95),
+    ("licen", r"this program and the accompanying materials are made available under the terms of the eclipse public license", "epl", 3, 1.0),
+    ("licen", r"eclipse org legal epl v10 html", "epl-1.0", 3, 0.95),
+    ("licen", r"eclipse org legal epl 2 0", "epl-2.0", 3, 0.95),
+    ("licen", r"python software foundation license version 2", "psf", 3, 1.0),
+    ("licen", r"this software is distributed under the terms of the qt commercial license", "commercial", 3, 0.9),
+    ("licen", r"the php license version 3 0?1", "php", 3, 1.0),
+    ("licen", r"zope public license(?: version)?(?: 2 [01])?", "zpl", 2, 0.9),
+    ("licen", r"w3c software (?:and document )?notice and license", "w3c", 2, 0.95),
+    ("licen", r"academic free license(?: version)?(?: [1-3] [01])?", "afl", 2, 0.9),
+    ("licen", r"open software license(?: version)?(?: [1-3] [01])?", "osl", 2, 0.9),
+    ("licen", r"ibm public license(?: version)?(?: 1 0)?", "ipl", 2, 0.9),
+    ("licen", r"lucent public license(?: version)?(?: 1 0[02]?)?", "lpl", 2, 0.9),
+    ("licen", r"apple public source license(?: version)?(?: [12] [0-2])?", "apsl", 2, 0.9),
+    ("licen", r"sun industry standards source license", "sissl", 2, 0.9),
+    ("licen", r"sybase open watcom public license", "watcom", 2, 0.9),
+    ("licen", r"q public license(?: version)?(?: 1 0)?", "qpl", 2, 0.9),
+    ("licen", r"nokia open source license", "nokia", 2, 0.9),
+    ("licen", r"reciprocal public license(?: 1 [15])?", "rpl", 2, 0.9),
+    ("licen", r"vovida software license", "vsl", 2, 0.9),
+    ("licen", r"cecill (?:b |c )?free software license agreement", "cecill", 2, 0.95),
+    ("licen", r"mulan permissive software license(?: version)?(?: 2)?", "mulan", 2, 0.95),
+    ("licen", r"educational community license(?: version)?(?: [12] 0)?", "ecl", 2, 0.9),
+    ("licen", r"non profit open software license", "nposl", 2, 0.9),
+    ("licen", r"latex project public license", "lppl", 2, 0.95),
+    ("licen", r"freetype (?:project )?license", "ftl", 2, 0.9),
+    ("licen", r"independent jpeg group s license", "ijg", 2, 0.9),
+    ("licen", r"the openssl license", "openssl", 2, 0.9),
+    ("licen", r"open government licence(?: v[123] 0)?", "ogl", 2, 0.9),
+    ("licen", r"open data commons attribution license", "odc-by", 2, 0.95),
+    ("licen", r"open data commons open database license", "odbl", 3, 0.95),
+    ("licen", r"community data license agreement(?: permissive| sharing)?", "cdla", 2, 0.95),
+    ("licen", r"server side public license(?: version)?(?: 1)?", "sspl", 2, 0.95),
+    ("licen", r"business source license(?: version)?(?: 1 1)?", "busl-1.1", 2, 0.9),
+    ("licen", r"functional source license", "fsl", 2, 0.9),
+    ("licen", r"polyform (?:noncommercial|strict|shield|small business|perimeter) license", "polyform", 2, 0.95),
+    ("licen", r"commons clause license condition", "commons-clause", 3, 0.95),
+    ("licen", r"(?:bigscience|creativeml) (?:open)?rail(?: m)? license", "openrail", 2, 0.9),
+    ("licen", r"llama (?:[23] )?community license", "llama", 2, 0.9),
+    ("licen", r"free art license", "fal", 2, 0.9),
+    ("licen", r"beer ware license", "beerware", 2, 0.95),
+    ("licen", r"don t be a dick public license", "dbad", 2, 0.9),
+    ("commons", r"creativecommons org licenses by [1-4] 0", "cc-by", 3, 0.95),
+    ("commons", r"creativecommons org licenses by sa [1-4] 0", "cc-by-sa", 3, 0.95),
+    ("commons", r"creativecommons org licenses by nd [1-4] 0", "cc-by-nd", 3, 0.95),
+    ("commons", r"creativecommons org licenses by nc [1-4] 0", "cc-by-nc", 3, 0.95),
+    ("commons", r"creativecommons org licenses by nc sa [1-4] 0", "cc-by-nc-sa", 3, 0.95),
+    ("commons", r"creativecommons org licenses by nc nd [1-4] 0", "cc-by-nc-nd", 3, 0.95),
+    ("commons", r"creativecommons org publicdomain zero 1 0", "cc0-1.0", 3, 0.95),
+    ("commons", r"creativecommons org publicdomain mark 1 0", "public-domain", 3, 0.95),
+    ("commons", r"creative commons legal code", "cc", 2, 0.8),
+    ("commons", r"creative commons zero", "cc0-1.0", 2, 0.9),
+    ("proprietary", r"(?:confidential and proprietary|proprietary and confidential)", "proprietary", 1, 0.6),
+    ("copyright", r"unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|work) [a-z]+ copyright", "proprietary", 1, 0.5),
+    ("trade secret", r"(?:contains|constitutes?) (?:valuable )?(?:proprietary (?:and confidential )?information and )?trade secrets?", "proprietary", 1, 0.6),
+    ("reproduced", r"no part of this (?:publication|book|work|document) may be reproduced", "reserved", 2, 0.8),
+    ("reserved", r"all rights reserved worldwide", "reserved", 2, 0.8),
     ("warrant", r"(?:provided|distributed) (?:on an )?as is(?: basis)? without warrant(?:y|ies)", "as-is", 1, 0.5),
     ("warrant", r"without warranties or conditions of any kind", "apache-2.0", 2, 0.9),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", "copyright", 1, 0.6),
@@ -155,10 +283,10 @@ def first_words(name: str) -> list[str]:
 
 
 def rules() -> list[dict]:
-    """The rules in their order: keywords, pattern, label, priority, sure."""
-    named = [([k] if k else [f" {w}" for w in first_words(name)], form.format(name=name), label, priority, sure) for label, name in NAMES for k, form, priority, sure in FORMS]
-    keys = ("keywords", "pattern", "label", "priority", "sure")
-    others = [([k], *rest) for k, *rest in OTHERS]
+    """The rules in their order: keywords, pattern, label, priority, sure, and the form that they are a group by (None: their keyword)."""
+    named = [([k] if k else [f" {w}" for w in first_words(name)], form.format(name=name), label, priority, sure, form) for label, name in NAMES for k, form, priority, sure in FORMS]
+    keys = ("keywords", "pattern", "label", "priority", "sure", "form")
+    others = [([k], *rest, None) for k, *rest in OTHERS]
     return [dict(zip(keys, (k, f"(?<= )(?:{p})(?= )", *rest), strict=True)) | {"place": i} for i, (k, p, *rest) in enumerate([*named, *others])]
 
 
@@ -166,25 +294,49 @@ def rules() -> list[dict]:
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NAMED = "(?:under|by|(?:according|subject) to|accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})".format("|".join(sorted({w for _, name in NAMES for w in first_words(name)}))).replace(" ", GAP)
 
-RULE_TYPE = "array<struct<keywords:array<string>,pattern:string,label:string,priority:int,sure:double,place:int>>"
-PLACES = """
-aggregate(regexp_extract_all(norm, r.pattern, 0),
-  named_struct('rest', split(norm, r.pattern), 'at', 0, 'k', 1, 'out', CAST(array() AS array<struct<start:int,back:int,rank:int,place:int,label:string,sure:double>>)),
-  (s, m) -> named_struct('rest', s.rest, 'at', s.at + length(element_at(s.rest, s.k)) + length(m), 'k', s.k + 1, 'out',
-    array_append(s.out, named_struct('start', s.at + length(element_at(s.rest, s.k)), 'back', -(s.at + length(element_at(s.rest, s.k)) + length(m)), 'rank', -r.priority, 'place', r.place, 'label', r.label, 'sure', r.sure))),
-  s -> s.out)
-"""
-SWEEP = """
-aggregate(found,
-  named_struct('e1', -1, 'e2', -1, 'e3', -1, 'kept', CAST(array() AS array<struct<start:int,stop:int,label:string,sure:double>>)),
-  (s, d) -> named_struct(
-    'e1', greatest(s.e1, -d.back),
-    'e2', IF(d.rank <= -2, greatest(s.e2, -d.back), s.e2),
-    'e3', IF(d.rank <= -3, greatest(s.e3, -d.back), s.e3),
-    'kept', IF(CASE d.rank WHEN -1 THEN s.e1 WHEN -2 THEN s.e2 ELSE s.e3 END >= -d.back, s.kept,
-      array_append(s.kept, named_struct('start', d.start, 'stop', -d.back, 'label', d.label, 'sure', d.sure)))),
-  s -> s.kept)
+PLACES = "array<struct<start:int,back:int,rank:int,place:int,label:string,sure:double>>"
+BEGIN, END = "\x01", "\x02"  # marks that no text has in its scanned form
+#: Sorted places of which only the furthest ends are looked at by places behind them.
+TOGETHER = 256
+#: The places not within an earlier one: of the own block one by one, of blocks before by their furthest end of each priority.
+SWEEP = f"""
+flatten(transform(blocks, (own, b) -> filter(own, (d, i) ->
+  NOT exists(slice(own, 1, i), e -> e.rank <= d.rank AND e.back <= d.back)
+  AND NOT exists(slice(furthest, 1, b), t -> (CASE d.rank WHEN -1 THEN t.e1 WHEN -2 THEN t.e2 ELSE t.e3 END) <= d.back))))
 """
+BLOCKS = f"transform(sequence(0, size(found) div {TOGETHER}), b -> slice(found, b * {TOGETHER} + 1, {TOGETHER}))"
+FURTHEST = "transform(blocks, own -> struct({}))".format(", ".join(f"array_min(transform(filter(own, d -> d.rank <= -{k}), d -> d.back)) AS e{k}" for k in (1, 2, 3)))
+
+
+def hits(rule: dict) -> str:
+    """The places of a rule: numbers of the first word and, negative, of the word behind the last."""
+    # the words are an array of one array, so that they are cut once
+    numbers = lambda test: f"filter(transform(words, (w, i) -> IF({test}, i, NULL)), i -> i IS NOT NULL)"
+    both = f"transform(array(split(regexp_replace(norm, '{rule['pattern']}', '{BEGIN}$0{END}'), ' ')), words -> struct({numbers(f"startswith(w, '{BEGIN}')")} AS starts, {numbers(f"endswith(w, '{END}')")} AS stops))"
+    place = f"struct(start - 1 AS start, -get(b.stops, k) AS back, {-rule['priority']} AS rank, {rule['place']} AS place, '{rule['label']}' AS label, double({rule['sure']}) AS sure)"
+    return f"flatten(transform({both}, b -> transform(b.starts, (start, k) -> {place})))"
+
+
+def places_of_all() -> Column:
+    """The places of all rules in the texts that have them, sorted."""
+    none = f"CAST(array() AS {PLACES})"
+    groups: dict = {}
+    for rule in rules():
+        groups.setdefault((rule["form"], rule["keywords"][0] if rule["form"] is None else None), []).append(rule)
+    parts = []
+    for (form, keyword), own in groups.items():
+        gate = f"contains(norm, '{keyword}')" if form is None else f"rlike(norm, '{FORM_GATES[form]}')"
+        found = [f"CASE WHEN ({' OR '.join(f"contains(norm, '{k}')" for k in r['keywords'])}) AND rlike(norm, '{r['pattern']}') THEN {hits(r)} ELSE {none} END" for r in own]
+        parts.append(f"CASE WHEN {gate} THEN flatten(array({', '.join(found)})) ELSE {none} END")
+    return F.expr(f"sort_array(flatten(array({', '.join(parts)})))")
+
+
+def kept_places() -> Column:
+    """The places of the column found that are not suppressed. What is used often is bound to a name of a lambda, which is evaluated once."""
+    kept = f"transform({SWEEP}, d -> struct(d.start AS start, -d.back AS stop, d.label AS label, d.sure AS sure))"
+    for name, value in (("furthest", FURTHEST), ("blocks", BLOCKS), ("found", "found")):
+        kept = f"get(transform(array({value}), {name} -> {kept}), 0)"
+    return F.expr(kept)
 
 
 def blanks(text: Column) -> Column:
@@ -192,13 +344,13 @@ def blanks(text: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (start, stop and label in the scanned form)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (numbers of the first word and of the word behind the last, label, and how sure it is)."""
     lowered = F.lower("text")
     gate = F.lit(False)
     for word in GATES:
-        gate = gate | F.contains(lowered, F.lit(word)) if " " not in word else gate
+        gate = gate | F.contains(lowered, F.lit(word))
     # blanks of the scanned form can be any other marks in the text
-    gate = gate | (F.contains(lowered, F.lit("cc")) & F.contains(lowered, F.lit("by"))) | F.contains(lowered, F.lit("commons")) | (F.contains(lowered, F.lit("public")) & (F.contains(lowered, F.lit("domain")) | F.contains(lowered, F.lit("general")))) | lowered.rlike(NAMED)
+    gate = gate | (F.contains(lowered, F.lit("cc")) & F.contains(lowered, F.lit("by"))) | (F.contains(lowered, F.lit("public")) & (F.contains(lowered, F.lit("domain")) | F.contains(lowered, F.lit("general")))) | (F.contains(lowered, F.lit("trade")) & F.contains(lowered, F.lit("secret"))) | lowered.rlike(NAMED)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", "text").select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("bigint").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
@@ -216,10 +368,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         labels.append(F.when(n > 0, F.lit(label)))
         count = count + n
     df = df.withColumns({"n_base": count.cast("bigint"), "first_word": F.least(*firsts).cast("bigint"), "last_word": F.greatest(*lasts).cast("bigint"), "base": F.array_compact(F.array(*labels))})
-    table_of_rules = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
-    df = df.withColumn("rules_", F.when(F.col("norm").isNotNull(), table_of_rules))
-    df = df.withColumn("found", F.expr(f"CASE WHEN norm IS NOT NULL THEN array_sort(flatten(transform(filter(rules_, r -> exists(r.keywords, k -> contains(norm, k))), r -> {PLACES}))) END")).drop("rules_")
-    df = df.withColumn("places", F.coalesce(F.expr(SWEEP), F.expr("CAST(array() AS array<struct<start:int,stop:int,label:string,sure:double>>)")))
+    df = df.withColumn("found", F.when(F.col("norm").isNotNull(), places_of_all()))
+    df = df.withColumn("places", F.coalesce(kept_places(), F.array().cast("array<struct<start:int,stop:int,label:string,sure:double>>")))
     every = F.array_sort(F.array_distinct(F.concat("base", F.col("places.label"))))
     score = F.greatest(F.coalesce(F.array_max("places.sure"), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.8).otherwise(0.0))
     return df.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), "places")
