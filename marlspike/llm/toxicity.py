@@ -9,12 +9,14 @@ in an unseen n-gram). A text's evidence is the length-normalised difference over
 over its strongest windows of words; a logistic curve, fitted on folds that the counts did not see,
 maps them to a score.
 
-Counts are taken over all training rows: words are counted where they are read, summed by word, and
-turned into n-grams once for each distinct word. Characters are folded to 6 bits, so an n-gram is one
-integer. The driver gets one row for each n-gram, however rare and however many, so the model grows with
-the distinct n-grams. CALIBRATION_ROWS bounds the sample for the logistic curve.
-
-Null and empty texts, and texts without a letter, get the score of no evidence.
+The model is fitted on all labelled rows, or on about LABELLED_ROWS of them where there are more: those with the
+smallest hashes of their ids. Of these every n-gram is counted and kept, however rare: words are counted where
+they are read, summed by word, and turned into n-grams once for each distinct word. Characters are folded to 6
+bits, so an n-gram is one integer. The driver gets one row for each distinct n-gram of these rows; that bound on rows
+is what bounds its memory. CALIBRATION_ROWS bounds the sample for the logistic curve in the same way.
+
+Null and empty texts, and texts without a letter, get the score of no evidence. Labels of a null doc_id, and labels
+other than 0 and 1, are left out; a doc_id with both labels is toxic. Repeated rows are counted and scored each.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bitmap, is_split, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, give_back_memory, is_split, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 ORDER = 6
 BITS = 6
+LABELLED_ROWS = 400_000
 CALIBRATION_ROWS = 20_000
 WINDOWS = (1, 8, 40)
 DISCOUNT = 0.75
@@ -246,25 +249,34 @@ def collect_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = materialise(counts).select("code", *COUNTS).toArrow()
     codes = found.column(0).to_numpy()
     order = np.argsort(codes)
-    return codes[order], np.stack([found.column(1 + k).to_numpy()[order] for k in range(4)])
+    return codes[order], np.stack([found.column(1 + k).to_numpy()[order].astype(np.float32) for k in range(4)])
+
+
+def chosen(labels: DataFrame, rows: int) -> DataFrame:
+    """All labels, or of more than `rows` about so many, those with the smallest hashes of their ids."""
+    n = labels.count()
+    return labels if n <= rows else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(rows / n * (1 << 53)))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, labelled_rows: int = LABELLED_ROWS) -> ToxicityModel:
     """docs: (doc_id, text); labels: (doc_id, toxic) with toxic 0 or 1, other labels are left out.
 
     Texts of labelled rows alone are shuffled; the calibration sample is small enough to be broadcast.
     Without rows of both classes every score is that of the base rate, or 0.5 without any row.
     """
     with scratch(docs.sparkSession):
-        return find_toxicity_model(docs.select("doc_id", "text"), labels, calibration_rows)
+        model = find_toxicity_model(docs.select("doc_id", "text"), labels, calibration_rows, labelled_rows)
+    give_back_memory()
+    return model
 
 
-def find_toxicity_model(docs: DataFrame, labels: DataFrame, calibration_rows: int) -> ToxicityModel:
+def find_toxicity_model(docs: DataFrame, labels: DataFrame, calibration_rows: int, labelled_rows: int) -> ToxicityModel:
     spark = docs.sparkSession
     smaller_batches(spark)
     key = F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string")).cast("binary"))
     labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("half", (key % 2).cast("int"))
     labels = materialise(labels.filter("doc_id is not null"))
+    labels = materialise(chosen(labels, labelled_rows))
     marks = materialise(bitmap(labels.select(slot_of("doc_id").alias("slot")).distinct()))
     codes, (t0, t1, o0, o1) = collect_counts(count_ngrams(marked(docs, slot_of("doc_id"), marks).join(labels.hint("merge"), "doc_id")))
     halves = spark.sparkContext.broadcast((fit_model(codes, t1, o1), fit_model(codes, t0, o0)))
@@ -276,8 +288,7 @@ def find_toxicity_model(docs: DataFrame, labels: DataFrame, calibration_rows: in
             found = np.where(half[:, None] == 0, scorers[0].features(texts), scorers[1].features(texts))
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(found), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    # the rows whose hashes are the smallest
-    sample = F.broadcast(materialise(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)))
+    sample = F.broadcast(materialise(chosen(labels, calibration_rows)))
     found = docs.join(sample, "doc_id").select("text", "toxic", "half").mapInArrow(calibrate, "toxic int, x array<double>").toArrow()
     halves.unpersist()
     x, y = np.array(found.column("x").to_pylist(), float).reshape(-1, 2 + len(WINDOWS)), np.array(found.column("toxic").to_pylist(), float)
