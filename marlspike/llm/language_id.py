@@ -10,17 +10,18 @@ is collected and broadcast. MAX_LANGUAGES bounds the languages.
 
 Null texts and texts without a letter are `und` with score 0. Words of scripts that no language of the
 sample uses fit all languages alike; a text of such words gets the most frequent language. Without any
-training row all texts are `und`. Rows are independent: repeated ids and rows stay as they are.
+training row all texts are `und`. Rows are independent: repeated ids and rows stay as they are. A null doc_id is
+not held out, and such rows are learnt from like others.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ CHUNK = 4_000_000
 CACHE_WORDS = 300_000
 #: A language is a candidate for words of a script that has this share of its letters.
 SCRIPT_SHARE = 0.005
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks on them; superscripts, fractions and circled digits are none.
+LETTERS = regex.compile(r"(?:\p{L}\p{M}*)+")
 # First and last code point of blocks of letters, and their script.
 SCRIPTS = [
     (0x0041, 0x024F, "latin"),
@@ -218,10 +220,10 @@ def train_languages(docs: DataFrame, rows_each: int = ROWS_EACH) -> LanguageMode
     languages = [r["lang"] for r in rows]
     if not rows:
         return LanguageModel([], np.zeros((0, 1 << 18)), np.zeros((0, len(SCRIPT_NAMES))), np.zeros(0))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
+    hashed = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 53))
     share: Column = F.lit(0)
     for r in rows:
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(1e6 * min(1, rows_each / r["count"])))).otherwise(share)
+        share = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 53) * min(1, rows_each / r["count"])))).otherwise(share)
     sample = own.filter(hashed < share).select("text", "lang")
     smaller_batches(docs.sparkSession)
 

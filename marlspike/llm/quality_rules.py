@@ -28,6 +28,8 @@ from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batch
 SAMPLE_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
+DIGITS, CAPITALS = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+").findall
 TREES = 80
 LEVELS = 3
 BINS = 64
@@ -62,6 +64,16 @@ def repeated_words(words: list) -> int:
     return int(twice.sum())
 
 
+def digits_and_capitals(text: str) -> tuple[int, int]:
+    """Decimal digits and capital letters of all scripts."""
+    data = text.encode("utf-8", "surrogatepass")
+    digits, capitals = (len(data) - len(data.translate(None, kind)) for kind in (DIGITS, CAPITALS))
+    if len(data) > len(text):
+        rest = "".join(BEYOND_ASCII(text))
+        digits, capitals = digits + sum(map(str.isdecimal, rest)), capitals + sum(map(str.isupper, rest))
+    return digits, capitals
+
+
 def statistics(text: str | None) -> tuple[tuple[int, ...], list[float]]:
     """(BASE, FEATURES) of a text."""
     text = text or ""
@@ -72,6 +84,7 @@ def statistics(text: str | None) -> tuple[tuple[int, ...], list[float]]:
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     dups = len(lines) - len(set(lines))
     repeats = repeated_words(words)
+    digits, capitals = digits_and_capitals(text)
     m, c = max(n, 1), max(chars, 1)
     features = [
         np.log1p(n),
@@ -81,8 +94,8 @@ def statistics(text: str | None) -> tuple[tuple[int, ...], list[float]]:
         repeats / m,
         len(set(words)) / m,
         len(ENDS.findall(text)) / max(len(lines), 1),
-        sum(map(text.count, "0123456789")) / c,
-        sum(map(text.count, "AEIOSTNR")) / c,
+        digits / c,
+        capitals / c,
         np.log1p(n / max(len(lines), 1)),
         sum(map(text.count, ".,;:!?")) / m,
     ]

@@ -30,17 +30,53 @@ def test_toxicity_on_rows_not_learnt_from(labelled):
     assert all(0 <= s <= 1 for s in got.values())
 
 
-def test_kneser_ney_sums_to_one():
-    words = ["abab", "abba", "baba"]
-    codes, _ = toxicity.ngrams(words)
-    kinds, counts = np.unique(codes, return_counts=True)
-    shared = toxicity.shared_probability(kinds)
-    assert ((shared > 0) & (shared <= 1)).all()
-    context = kinds[0] >> toxicity.BITS
-    every = (context << toxicity.BITS) + np.arange(64)
-    lower = {int(k & ((1 << 30) - 1)) for k in kinds}
-    seen = [e for e in every if int(e & ((1 << 30) - 1)) in lower]
-    assert 0 < toxicity.shared_probability(np.union1d(kinds, seen)).max() <= 1
+def kneser_ney(codes):
+    """The shared probability of every symbol after a context of up to ORDER - 1 symbols, by recursion on tuples."""
+    grams = {tuple(int(c) >> 6 * k & 63 for k in range(toxicity.ORDER - 1, -1, -1)) for c in codes}
+
+    def probability(symbol, context):
+        n = len(context)
+        before = {g for g in grams if n == 0 or g[-1 - n : -1] == context}
+        # kinds of longer contexts in which the symbol, or any symbol, was seen; the longest contexts are kinds themselves
+        kinds = {g[-2 - n :] for g in before}
+        count = sum(g[-1] == symbol for g in kinds)
+        types = len({g[-1] for g in kinds})
+        below = 1 / 64 if n == 0 else probability(symbol, context[1:])
+        return below if not kinds else (max(count - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * types * below) / len(kinds)
+
+    return probability
+
+
+def test_kneser_ney_sums_to_one_and_equals_brute_force():
+    toxic, ordinary = ["abab", "abba", "baba", "bab"], ["abcd", "bcda", "abba"]
+    every, sizes = toxicity.ngrams(toxic + ordinary)
+    side = np.repeat([True] * 4 + [False] * 3, sizes)
+    codes = np.unique(every)
+    counts = [np.array([(every[side == s] == c).sum() for c in codes]) for s in (True, False)]
+    shared, probability = toxicity.shared_probability(codes), kneser_ney(codes)
+    model = toxicity.fit_model(codes, *counts)
+    tuples = [tuple(int(c) >> 6 * k & 63 for k in range(5, -1, -1)) for c in codes]
+    for t, p in zip(tuples, shared, strict=True):
+        assert p == pytest.approx(probability(t[-1], t[1:-1]))
+    for context in {t[:-1] for t in tuples}:
+        values = []
+        for count in counts:
+            own = {t[-1]: n for t, n in zip(tuples, count, strict=True) if t[:-1] == context and n}
+            total, below = sum(own.values()), [probability(x, context[1:]) for x in range(64)]
+            assert sum(below) == pytest.approx(1)
+            values.append([(max(own.get(x, 0) - 0.75, 0) + 0.75 * len(own) * b) / total if total else b for x, b in enumerate(below)])
+            assert sum(values[-1]) == pytest.approx(1)
+        asked = np.array([sum(x << 6 * k for k, x in enumerate(reversed((*context, last)))) for last in range(64)])
+        assert model.llr(asked) == pytest.approx(np.log(values[0]) - np.log(values[1]), abs=1e-4)
+
+
+def test_labelled_rows_are_bounded_by_hash(labelled):
+    docs, labels = labelled
+    few = toxicity.chosen(labels, 100).count()
+    assert 60 < few < 140 and toxicity.chosen(labels, 300).count() == 300
+    model = toxicity.train_toxicity(docs, labels, labelled_rows=200)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.7) == (i % 4 == 0) for i in range(300)]) > 0.95
 
 
 def test_rare_ngrams_stay_however_many(spark):
@@ -64,14 +100,18 @@ def test_languages(spark):
     rows = [(i, " ".join(random.choices(texts[lang].split(), k=20)), lang) for i, lang in enumerate(list(texts) * 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train_languages(docs)
-    mixed = spark.createDataFrame([(1, "the cat and the dog were with der hund und die katze nicht mit"), (2, None), (3, "123 !!"), (4, "кошка там"), (5, "日本"), (6, "")], "doc_id long, text string")
+    mixed = spark.createDataFrame([(1, "the cat and the dog were with der hund und die katze nicht mit"), (2, None), (3, "123 !!"), (4, "кошка там"), (5, "日本"), (6, ""), (7, "² ½ ①"), (8, "123 ½ Ⅷ")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language_id.identify_languages(mixed, model).collect()}
     assert [(s["lang"], s["start"], s["stop"]) for s in got[1]["spans"]] == [("en", 0, 7), ("de", 7, 14)]
-    assert [got[i]["lang_pred"] for i in (2, 3, 6)] == ["und"] * 3 and got[2]["score"] == 0
+    assert [got[i]["lang_pred"] for i in (2, 3, 6, 7, 8)] == ["und"] * 5 and got[2]["score"] == 0
     assert got[4]["lang_pred"] == "ru" and got[5]["lang_pred"] in texts
     assert language_id.identify_languages(mixed, language_id.train_languages(docs.limit(0))).filter("lang_pred != 'und'").count() == 0
 
 
+def test_marks_do_not_cut_words():
+    assert language_id.parts("हिन्दी") == ["हिन्दी"] and language_id.parts("e\u0301te\u0301 x²") == ["e\u0301te\u0301", "x"]
+
+
 def test_viterbi_is_optimal():
     import itertools
 
@@ -99,7 +139,7 @@ def test_statistics_against_brute_force():
     word = re.compile(r"[^\x20\x09-\x0D]+")
     random.seed(3)
     for _ in range(400):
-        text = "".join(random.choice(["a", "b", " ", "\n", "é", "\x85", "\xa0", "\x1c", "# ", "c ", "\t", "x y z "]) for _ in range(random.randint(0, 60)))
+        text = "".join(random.choice(["a", "B", "7", "É", "٣", " ", "\n", "é", "\x85", "\xa0", "\x1c", "# ", "c ", "\t", "x y z "]) for _ in range(random.randint(0, 60)))
         words = word.findall(text)
         counts, twice, seen, dups = Counter(zip(words, words[1:], words[2:])), set(), set(), 0
         for i in range(len(words) - 2):
@@ -109,6 +149,7 @@ def test_statistics_against_brute_force():
             if word.search(line):
                 dups += line in seen
                 seen.add(line)
+        assert quality_rules.digits_and_capitals(text) == (sum(c.isdecimal() for c in text), sum(c.isupper() for c in text))
         assert quality_rules.statistics(text)[0] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(twice))
 
 

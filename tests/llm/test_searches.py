@@ -46,15 +46,49 @@ def test_windows_do_not_depend_on_the_documents_around():
     items = [(i, prose(12)) for i in range(40)]
     docs = [f"{t} {prose(30)}" for _, t in items]
     idf = decontamination.weights(np.zeros(decontamination.TERMS), 100)
-    searcher = decontamination.Searcher(items, idf, decontamination.covering(np.zeros((decontamination.TERMS + 1, 0), np.float32), idf, [t for _, t in items]))
-    alone = [(f[1], *f[4:]) + (round(f[2], 4),) for d in docs for f in searcher.scan([d])]
+    space = decontamination.covering(np.zeros((decontamination.TERMS + 1, 0), np.float32), idf, [t for _, t in items])
+    searcher = decontamination.Searcher(*decontamination.compared(items, idf, space), idf)
+    scan = lambda texts: [(f[0], f[1], *f[3:]) + (round(f[2], 4),) for f in searcher.scan([t.split() for t in texts])]
+    alone = [f[1:] for d in docs for f in scan([d])]
     assert {(f[0], f[1]) for i, d in enumerate(docs) for f in searcher.search([d]) if f[1] == i} == {(0, i) for i in range(40)}
-    for before in (1, 9, 17, 25):
+    for before in (1, 9, 17, 25, 9000):
         texts = [x for d in docs for x in (prose(before), d)]
-        among = [(f[1], *f[4:]) + (round(f[2], 4),) for f in searcher.scan(texts) if f[0] % 2]
+        among = [f[1:] for f in scan(texts) if f[0] % 2]
         assert sorted(among) == sorted(alone)
 
 
+def test_recall_against_exhaustive_search(spark):
+    """Items of 3 to 60 words, verbatim and with words changed or put in, against subsequences of all windows; and one partition against seven."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=6)) for _ in range(3000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+    items = [words(n) for n in (3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 24, 30, 40, 50, 60) for _ in range(8)]
+    docs = []
+    for i, item in enumerate(items):
+        changed = [rng.choice(vocabulary) if rng.random() < 0.25 else w for w in item]
+        longer = [x for w in item for x in ([w, rng.choice(vocabulary)] if rng.random() < 0.2 else [w])]
+        docs += [words(rng.randrange(0, 200)) + own + words(rng.randrange(0, 200)) for own in (item, changed, longer)]
+        docs.append(words(300))
+    expected = set()
+    for k, doc in enumerate(docs):
+        held = set(doc)
+        for i, item in enumerate(items):
+            if len(held & set(item)) * 2 >= len(item):
+                checked = decontamination.Item(i, " ".join(item))
+                n = len(item) + len(item) // 4
+                if any(decontamination.contained(*checked.check(doc[a : a + n])) for a in range(max(1, len(doc) - n + 1))):
+                    expected.add((k, i))
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    one, seven = ({(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df.repartition(n), benchmark).collect()} for n in (1, 7))
+    assert one == seven
+    assert {(4 * i, i) for i in range(len(items))} <= one
+    assert len(one & expected) >= 0.95 * len(expected)
+    for low, high in ((3, 6), (7, 15), (16, 60)):
+        own = {(k, i) for k, i in expected if low <= len(items[i]) <= high}
+        assert len(one & own) >= 0.95 * len(own), (low, high, len(one & own), len(own))
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
@@ -131,6 +165,22 @@ def test_names_without_the_word_license_against_brute_force(spark):
     assert sorted(got)[1][6:] == ("mit", 0.95)
 
 
+def test_many_places_in_one_text(spark):
+    """A text of license lines alone takes time in proportion to its length."""
+    import time
+
+    lines = lambda n: "Copyright 2020 all rights reserved x\n" * n
+    took = []
+    for n in (300, 300, 30_000):
+        df = spark.createDataFrame([(1, lines(n))], "doc_id long, text string")
+        began = time.time()
+        (row,) = license_scan.scan_licenses(df).collect()
+        took.append(time.time() - began)
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (6 * n, n, 2, 6 * n - 4)
+        assert [tuple(p)[:3] for p in row["places"][-2:]] == [(6 * n - 6, 6 * n - 4, "copyright"), (6 * n - 4, 6 * n - 1, "reserved")] and len(row["places"]) == 2 * n
+    assert took[2] < took[1] + 20
+
+
 def test_license_scan_is_native(awkward):
     plan = license_scan.scan_licenses(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
