@@ -9,9 +9,9 @@ with need not be kept itself. Lines without a word always stay.
    table of one row with BUCKETS numbers, read by a scalar subquery.
 2. Equal sets are grouped to their first place with partial aggregation. Sets of fewer than four
    words can equal, but not resemble, another one and go no further.
-3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Slices of it that HOT sets or more have in
-   common lead each of these sets to the first of them: that settles large groups of near copies with as many
-   comparisons as they have lines.
+3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Slices of it that several sets have in common lead
+   each of these sets to the first of them, and those that do not resemble it to the first of what is left, LEADERS times:
+   that settles groups of near copies with as many comparisons as they have lines.
 4. Of two similar sets the smaller one has a common word among its |s| - ceil(2t / (1 + t) |s|) + 1 rarest
    ones, which are posted, and the larger one in its prefix, which is looked up. Words of a high level are
    posted by classes of sizes besides, so that the length filter holds in the key. Two settled sets never meet.
@@ -40,8 +40,8 @@ BUCKETS = 1 << 20
 #: Rows of levels that are gathered to one array at a time.
 CHUNK = 1 << 10
 LEAST_SIZE = 4
-#: Sets with a common slice of the prefix from which they are compared with the first of them.
-HOT = 12
+#: Times that sets with a common slice of the prefix are compared with the first of those that are left.
+LEADERS = 3
 #: Level (four times the logarithm of the count) from which words are posted by classes of sizes.
 CLASSED = 24
 #: Ratio of sizes within a class.
@@ -107,18 +107,20 @@ POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {SIMILARITY / (1 + SIMILA
 EARLIER = "(y_doc < x_doc OR (y_doc IS NULL AND x_doc IS NOT NULL) OR (y_doc <=> x_doc AND y_line < x_line))"
 
 
-def later_of_similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
-    """id of the sets that resemble an earlier one of their pairs (a, b)."""
-    pairs = materialise(pairs)
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    own = marked(sets.select("id", "h", "place"), slot_of("id"), bitmap(ids.select(slot_of("a").alias("slot")).distinct()))
-    own = materialise(own.join(ids, own["id"] == ids["a"], "left_semi").select("id", "h", "place.doc_id", "place.line_no"))
+def words_of(ids: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
+    """id, doc_id, line_no, s of these sets: their words, read again from the lines at their places."""
+    own = marked(sets.select("id", "h", "place"), slot_of("id"), bitmap(ids.select(slot_of("id").alias("slot")).distinct()))
+    own = materialise(own.join(ids, "id", "left_semi").select("id", "h", "place.doc_id", "place.line_no"))
     at_place = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(BITMAP_BITS))
     lines = marked(docs, slot_of("doc_id"), bitmap(own.select(slot_of("doc_id").alias("slot")).distinct()))
     lines = marked(lines_of(lines), at_place, bitmap(own.select(at_place.alias("slot")).distinct()))
     # another line of an equal set is as good as the first one
-    read = with_words(lines, levels).select(F.xxhash64("s").alias("h"), "s").dropDuplicates(["h"])
-    read = materialise(own.join(read, "h"))
+    read = with_words(lines, levels).select(F.xxhash64("s").alias("h"), "s").groupBy("h").agg(F.first("s").alias("s"))
+    return materialise(own.join(read, "h").drop("h"))
+
+
+def later_of_similar(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """id of the sets that resemble an earlier one of their pairs (a, b)."""
     side = lambda x, key: read.select(F.col("id").alias(key), F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("s").alias(x + "_s"))
     both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
     shared = F.size(F.array_intersect("x_s", "y_s"))
@@ -127,15 +129,24 @@ def later_of_similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, levels:
     return similar.select(F.expr(f"CASE WHEN {EARLIER} THEN a WHEN {swapped} THEN b END").alias("id")).filter("id IS NOT NULL").distinct()
 
 
-def near_groups(own: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each set with the first one of a slice of its prefix that HOT sets or more have."""
+def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
+    """id of sets that resemble the first one, of those left, with a common slice of the prefix."""
     by_value = F.sort_array("prefix")
     keys = F.array(F.xxhash64(F.lit(1), F.slice("prefix", 1, 3)), F.xxhash64(F.lit(2), F.slice(by_value, 1, 4)), F.xxhash64(F.lit(3), F.reverse(F.slice(F.reverse(by_value), 1, 4))))
     keyed = own.withColumn("k", F.explode(keys))
-    hot = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT).select(slot_of("k").alias("slot")).distinct()))
-    keyed = marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), hot)
-    first = keyed.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f")).select("k", "f.*")
-    return keyed.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
+    several = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(slot_of("k").alias("slot")).distinct()))
+    left = materialise(marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), several))
+    read = words_of(left.select("id").distinct(), docs, sets, levels)
+    found = None
+    for _ in range(LEADERS):
+        first = left.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f.*")
+        pairs = left.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
+        new = materialise(later_of_similar(pairs, read))
+        found = new if found is None else found.union(new)
+        # the leaders are compared with all that is left, and stand for nothing more
+        done = new.union(first.select("id")).distinct()
+        left = materialise(left.join(done, "id", "left_anti"))
+    return found.distinct()
 
 
 def posting_pairs(unsettled: DataFrame, settled: DataFrame) -> DataFrame:
@@ -165,12 +176,14 @@ def posting_pairs(unsettled: DataFrame, settled: DataFrame) -> DataFrame:
 def resembling(sets: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame:
     """The id of sets that resemble a set whose first place is earlier."""
     own = sets.filter(F.col("prefix").isNotNull()).select("id", "place", "size", "bits", "prefix")
-    found = materialise(later_of_similar(near_groups(own), docs, sets, levels))
+    found = materialise(settled_by_leaders(own, docs, sets, levels))
     marks = materialise(bitmap(found.select(slot_of("id").alias("slot")).distinct()))
     maybe = marked(own, slot_of("id"), marks)
     settled = maybe.join(found, "id", "left_semi").drop("place")
     unsettled = unmarked(own, slot_of("id"), marks).union(maybe.join(found, "id", "left_anti")).drop("place")
-    return found.union(later_of_similar(posting_pairs(unsettled, settled), docs, sets, levels))
+    pairs = materialise(posting_pairs(unsettled, settled))
+    read = words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, sets, levels)
+    return found.union(later_of_similar(pairs, read)).distinct()
 
 
 def kept_places(docs: DataFrame) -> DataFrame:
