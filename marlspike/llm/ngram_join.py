@@ -3,14 +3,15 @@
 A document is the set of its shingles: WORDS_EACH lower-cased words in a row (a shorter text is one
 shingle, an empty one has none). Documents of equal sets are copies and are joined once.
 
-1. TREES prefix trees hold a signature of DEPTH minimum hashes each. A prefix of length d is shared
-   with probability J ** d, so a pair is met with 1 - (1 - J ** d) ** TREES. Matching starts at whole
-   signatures; prefixes are shortened until that estimate for SIMILARITY reaches the target recall.
+1. TREES prefix tries hold a signature of DEPTH minimum hashes each; a node is a prefix, its members are the sets
+   below it. Two sets share a prefix of length d with probability J ** d, so they meet in some trie with
+   1 - (1 - J ** d) ** TREES. The tries are climbed from whole signatures to ever shorter prefixes until that estimate
+   for SIMILARITY reaches the target recall. Only nodes whose members are still in several candidate classes are
+   climbed to, so a set stops where shorter prefixes show it nothing new.
 2. Sets that share a prefix and whose one-bit sketches agree within four to five standard deviations
-   fall into one candidate class. At full length every set is compared with the first one of its
-   prefix only; at the shorter length only prefixes whose members are still in several classes count:
-   those outside the main class are compared with one member of it, and at last, where classes still
-   differ, with the others. No group is expanded into all of its pairs.
+   fall into one candidate class. Of whole signatures every set is compared with the first one of its node; above,
+   the members outside a node's largest class are compared with one member of it, and at the last length, where classes
+   still differ, with the others. No group is expanded into all of its pairs.
 3. Candidate classes are verified exactly on whole texts, in blocks of at most BLOCK members: a task
    compares one block, or two blocks of a class, and returns for every member its number of links and one
    chain of links. Members lie in blocks by their distance to the class's pivot; blocks so close to it
@@ -32,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
@@ -96,37 +97,30 @@ def signature(own: np.ndarray) -> np.ndarray:
     return low >> np.uint64(32)
 
 
-def described(own: np.ndarray) -> tuple[int, int, int, list[int], list[int]]:
-    """(number of the set, one-bit sketches of both halves of the signature, deep and shortest prefix keys)."""
-    sig = signature(own).reshape(TREES, DEPTH)
+def described(own: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    """(number of the set, one-bit sketches of both halves of the signature, the signature)."""
+    sig = signature(own)
     bits = np.packbits((mixed(sig) & np.uint64(1)).astype(np.uint8).ravel()).view(np.int64)
-    keys, levels = np.arange(TREES, dtype=np.uint64), []
-    last = depths()[-1]
-    for d in range(DEPTH):
-        keys = mixed(keys * MIX + sig[:, d])
-        if d + 1 in (last, DEPTH):
-            levels.append(keys.view(np.int64).tolist())
-    return int(np.int64(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))), int(bits[0]), int(bits[1]), levels[-1], levels[0]
+    return int(np.int64(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))), int(bits[0]), int(bits[1]), sig.astype(np.uint32).view(np.int32)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, sid, n, b0, b1, deep, short of every document; sid is null without words."""
+    """doc_id, sid, n, b0, b1, sig of every document; sid is null without words."""
     smaller_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "sid", "n", "b0", "b1", "deep", "short"]
+    names = ["doc_id", "sid", "n", "b0", "b1", "sig"]
 
     def run(batches):
         for part, texts in text_chunks(batches):
             rows = []
             for text in texts:
                 own = shingles(text)
-                sid, b0, b1, deep, short = described(own) if len(own) else (None,) * 5
-                rows.append((sid, len(own), b0, b1, deep, short))
-            long = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), long, long]
+                sid, b0, b1, sig = described(own) if len(own) else (None,) * 4
+                rows.append((sid, len(own), b0, b1, sig))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid bigint, n bigint, b0 bigint, b1 bigint, deep array<bigint>, short array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid bigint, n bigint, b0 bigint, b1 bigint, sig array<int>")
 
 
 def sketch_agrees(a: str, b: str) -> str:
@@ -183,23 +177,30 @@ def merged(classes: DataFrame, found: DataFrame) -> DataFrame:
     return every.join(moved, every["class"] == moved["at"], "left").select("sid", F.coalesce("to", "class").alias("class"))
 
 
+def nodes(depth: int) -> Column:
+    """The node of every trie that holds the prefix of this length of a set's signature."""
+    return F.array(*[F.xxhash64(F.lit(tree), F.slice("sig", tree * DEPTH + 1, depth)) for tree in range(TREES)])
+
+
 def candidate_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, class) of sets that have candidates, and pairs (x, y) of sets with the first of their prefixes."""
-    deep = sets.select("sid", "n", "b0", "b1", F.explode("deep").alias("k"))
+    """(sid, class) of sets that have candidates, and pairs (x, y) of sets with the first of their whole signatures."""
+    whole, *shorter = depths()
+    deep = sets.select("sid", "n", "b0", "b1", F.explode(nodes(whole)).alias("k"))
     first = deep.groupBy("k").agg(F.min(F.struct("sid", "n", "b0", "b1")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("k", "f.*")
     pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y")]
     stars = deep.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.sid != b.sid AND {sketch_agrees('a', 'b')}")).select(*pair).distinct()
     pairs = materialise(stars)
     classes = materialise(components(pairs))
-    for step in ("main", "all"):
-        short = sets.join(classes, "sid", "left").select("sid", "n", "b0", "b1", F.coalesce("class", "sid").alias("class"), F.explode("short").alias("k"))
-        several = short.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).filter("low < high").select("k", "main")
-        short = materialise(short.join(several, "k"))
-        others = short.filter("class != main").alias("a")
+    for depth, step in [(d, "main") for d in shorter] + [(d, "all") for d in shorter[-1:]]:
+        own = sets.join(classes, "sid", "left").select("sid", "n", "b0", "b1", F.coalesce("class", "sid").alias("class"), F.explode(nodes(depth)).alias("k"))
+        sizes = own.groupBy("k", "class").agg(F.count("*").alias("m"))
+        several = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("m", "class")).alias("main")).filter("classes > 1").select("k", "main")
+        own = materialise(own.join(several, "k"))
+        others = own.filter("class != main").alias("a")
         if step == "main":
-            members = short.filter("class = main").groupBy("k").agg(F.min(F.struct("sid", "class", "main", "n", "b0", "b1")).alias("f")).select("k", "f.*").alias("b")
+            members = own.filter("class = main").groupBy("k").agg(F.min(F.struct("sid", "class", "main", "n", "b0", "b1")).alias("f")).select("k", "f.*").alias("b")
         else:
-            members = short.alias("b")
+            members = own.alias("b")
         once = "(b.class = b.main OR a.sid < b.sid)"
         found = others.join(members, F.expr(f"a.k = b.k AND a.class != b.class AND {once} AND {sketch_agrees('a', 'b')}"))
         found = materialise(found.select(F.col("a.class").alias("x"), F.col("b.class").alias("y")).distinct())
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def find_duplicates(docs: DataFrame) -> DataFrame:
     every = materialise(signatures(docs))
     worded = every.filter(F.col("sid").isNotNull())
-    sets = worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "deep", "short")])
+    sets = worded.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "sig")])
     sets = materialise(sets)
     candidates, pairs = candidate_classes(sets)
     texts = materialise(texts_of(candidates.select("sid"), docs, sets))

@@ -54,6 +54,24 @@ def test_against_brute_force(spark, prose_of, monkeypatch, block):
     assert sum(got[i] == expected[i] for i in expected) >= 0.99 * len(expected)
 
 
+def test_recall_near_the_threshold(spark):
+    """Of 400 pairs with a similarity of 0.80 to 0.85, each alone with its like, at least 0.98 are linked."""
+    rng = random.Random(21)
+    docs, similar = [], []
+    while len(similar) < 400:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([80, 150, 300]))]
+        other = list(words)
+        for _ in range(rng.randrange(1, 8)):
+            other[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        a, b = (set(m.shingles(" ".join(x)).tolist()) for x in (words, other))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            similar.append((len(docs), len(docs) + 1))
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    got = {r["doc_id"]: r for r in m.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = [got[b]["class_id"] == a and got[a]["n_links"] == got[b]["n_links"] == 1 for a, b in similar]
+    assert sum(linked) >= 0.98 * len(linked), sum(linked)
+
+
 def test_depths_reach_the_recall():
     found = m.depths()
     assert found[0] == m.DEPTH and 1 - (1 - 0.8 ** found[-1]) ** m.TREES >= m.RECALL
