@@ -27,11 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, smaller_batches, table, text_chunks
+from .common import CHUNK_CHARS, materialise, scratch, smaller_batches, table, text_chunks
 
 TERMS = 1 << 14
 RANK = 128
@@ -52,7 +51,8 @@ COSINE = 0.4
 VERBATIM = 0.7
 PARAPHRASE = 0.5
 ANSWER = 0.8
-CACHE_WORDS = 400_000
+MIX = 0x9E3779B97F4A7C15
+SPACE = re.compile(r"\s")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -60,21 +60,61 @@ def bare(token: str) -> str:
     return token if token.isalnum() else EDGE.sub("", token)
 
 
-@lru_cache(maxsize=CACHE_WORDS)
-def term_of(token: str) -> int:
-    """Bucket of a lower-cased token without the marks around it; TERMS if nothing else is left."""
-    word = bare(token)
-    return xxhash.xxh32_intdigest(word) % TERMS if word else TERMS
-
-
-class Terms(dict):
-    """Remembers the buckets of tokens."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[token] = term_of.__wrapped__(token)
-        return found
+@lru_cache(maxsize=1)
+def kinds_of_points() -> np.ndarray:
+    """For each code point 0 if it is white space, 1 if a word can begin and end with it, else 2."""
+    return np.array([0 if c.isspace() else 1 if c.isalnum() else 2 for c in map(chr, range(0x110000))], np.uint8)
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of MIX and of its inverse, modulo 2 ** 64."""
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([one, np.full(n - 1, base, np.uint64)])) for base in (MIX, pow(MIX, -1, 1 << 64)))
+
+
+def pieces(text: str):
+    """text in pieces of about CHUNK_CHARS, cut at white space."""
+    start = 0
+    while len(text) - start > CHUNK_CHARS and (cut := SPACE.search(text, start + CHUNK_CHARS)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def token_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each lower-cased token without the marks around it, TERMS if nothing else is left; tokens of each text).
+
+    Tokens are those of str.split(). Their hashes are differences of one running sum over all characters.
+    """
+    if len(texts) == 1 and texts[0] and len(texts[0]) > 2 * CHUNK_CHARS:
+        parts = [token_terms([x])[0] for x in pieces(texts[0])]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    lowered = [t.lower() if t else "" for t in texts]
+    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds_of_points()[points]
+    begins = kind != 0
+    begins[1:] &= kind[:-1] == 0
+    token = np.cumsum(begins, dtype=np.int32)
+    at = np.flatnonzero(kind == 1)
+    own = token[at]
+    change = np.flatnonzero(np.diff(own))
+    first, last = at[np.concatenate([[0], change + 1])] if len(at) else at, at[np.append(change, len(at) - 1)] if len(at) else at
+    up, down = powers(1 << max(12, len(points).bit_length()))
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * up[: len(points)], out=total[1:])
+    hashes = (total[last + 1] - total[first]) * down[first]
+    hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(MIX)
+    ids = np.full(int(token[-1]), TERMS, np.int64)
+    ids[token[first] - 1] = (hashes >> np.uint64(40)) % np.uint64(TERMS)
+    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1) - 1
+    return ids, np.diff(token[ends], prepend=0).astype(np.int64)
+
+
+def known_terms(text: str | None) -> np.ndarray:
+    """The buckets of a text's tokens, without those that hold no word."""
+    ids = token_terms([text])[0]
+    return ids[ids < TERMS]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -85,15 +125,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents with each bucket, documents)."""
 
     def run(batches):
-        terms, df, n = Terms(), np.zeros(TERMS + 1, np.int64), 0
+        df, n = np.zeros(TERMS + 1, np.int64), 0
         for _, texts in text_chunks(batches, 0):
             n += len(texts)
-            for text in texts:
-                if text:
-                    tokens = set(text.lower().split())
-                    seen = np.zeros(TERMS + 1, bool)
-                    seen[np.fromiter(map(terms.__getitem__, tokens), np.int64, len(tokens))] = True
-                    df += seen
+            ids, counts = token_terms(texts)
+            doc, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
+            for a in range(0, len(texts), 128):
+                own = slice(ends[a] - counts[a], ends[min(a + 128, len(texts)) - 1])
+                seen = np.zeros((128, TERMS + 1), bool)
+                seen[doc[own] - a, ids[own]] = True
+                df += seen.sum(0)
         df[TERMS] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
@@ -118,12 +159,11 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
 
         def run(batches, held=held):
             q, idf = held.value
-            total, terms, any_row = np.zeros_like(q), Terms(), False
+            total, any_row = np.zeros_like(q), False
             for part, texts in text_chunks(batches, 0):
                 for text, weight in zip(texts, part.column(1).to_pylist(), strict=True):
-                    at, count = np.unique([t for t in map(terms.__getitem__, (text or "").lower().split()) if t < TERMS], return_counts=True)
+                    at, count = np.unique(known_terms(text), return_counts=True)
                     if len(at):
-                        at = at.astype(np.int64)
                         row = count * idf[at]
                         row *= weight / np.linalg.norm(row)
                         total[at] += row[:, None] * (row @ q[at])
@@ -147,7 +187,7 @@ def covering(space: np.ndarray, idf: np.ndarray, texts: list[str]) -> np.ndarray
     """The space with more directions, so that each of the texts keeps KEEP of its length."""
     rows = np.zeros((len(texts), TERMS + 1), np.float32)
     for row, text in zip(rows, texts, strict=True):
-        np.add.at(row, [term_of(w) for w in words_of(text)], 1)
+        np.add.at(row, known_terms(text), 1)
     rows *= idf
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
     rest = rows - (rows @ space) @ space.T
@@ -177,22 +217,14 @@ def masks_of(words: list[str]) -> dict[str, int]:
     return out
 
 
-class Bare(dict):
-    """Remembers tokens without the marks around them."""
-
-    def __missing__(self, token: str) -> str:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[token] = bare(token)
-        return found
-
-
 class Item:
     def __init__(self, item_id, text: str | None):
         self.id, self.words = item_id, words_of(text)
         self.masks = masks_of(self.words)
         self.answer = self.words[-max(3, len(self.words) // 4) :]
         self.answer_masks = masks_of(self.answer)
+        self.often = {w: m.bit_count() for w, m in self.masks.items()}
+        self.more, self.least = len(self.words) // 2, PARAPHRASE * len(self.words)
 
     def check(self, words: list[str]) -> tuple[float, float]:
         """Shares of the item and of its answer that a passage covers."""
@@ -219,7 +251,7 @@ def compared(rows: list[tuple], idf: np.ndarray, space: np.ndarray) -> tuple[lis
     rows = [rows[k] for _, k in sorted(worded)]
     projected, vectors = space * idf[:, None], np.zeros((len(rows), space.shape[1]), np.float32)
     for vector, (_, text) in zip(vectors, rows, strict=True):
-        vector += projected[[term_of(w) for w in words_of(text)]].sum(0)
+        vector += projected[known_terms(text)].sum(0)
         vector /= max(np.linalg.norm(vector), 1e-9)  # the item as the space has it
     return rows, projected @ vectors.T
 
@@ -227,8 +259,8 @@ def compared(rows: list[tuple], idf: np.ndarray, space: np.ndarray) -> tuple[lis
 class Searcher:
     """Finds passages of documents that contain one of the items; near is what compared() returns."""
 
-    def __init__(self, rows: list[tuple], near: np.ndarray, idf: np.ndarray, terms: Terms | None = None, plain: Bare | None = None):
-        self.square, self.terms, self.bare = idf.astype(np.float64) ** 2, Terms() if terms is None else terms, Bare() if plain is None else plain
+    def __init__(self, rows: list[tuple], near: np.ndarray, idf: np.ndarray):
+        self.square = idf.astype(np.float64) ** 2
         self.items = [Item(*x) for x in rows]
         #: For each step and width the groups of items, and the upper bounds of the step's groups.
         self.groups: dict[int, dict[int, list[tuple[int, int, np.ndarray]]]] = {}
@@ -244,16 +276,16 @@ class Searcher:
             at = end
         self.upper = {step: np.stack([g[2].max(1) for own in widths.values() for g in own], axis=1) for step, widths in self.groups.items()}
 
-    def scan(self, cut: list[list[str]], cosine: float | None = None):
-        """(text number, item number, cosine, first word, words) of candidates in these tokens of texts."""
+    def scan(self, texts: list[str | None], cosine: float | None = None):
+        """(text number, item number, cosine, first word, words) of candidates in these texts."""
         cosine = COSINE if cosine is None else cosine
         # every text begins at a multiple of STEP
-        lengths = np.array([-(-len(c) // STEP) * STEP for c in cut], np.int64)
+        terms, counts = token_terms(texts)
+        lengths = -(-counts // STEP) * STEP
         begins = np.cumsum(lengths) - lengths
         ids = np.full(int(lengths.sum()), TERMS, np.int64)
-        for c, start in zip(cut, begins, strict=True):
-            ids[start : start + len(c)] = np.fromiter(map(self.terms.__getitem__, c), np.int64, len(c))
-        of = np.repeat(np.arange(len(cut)), lengths // STEP)
+        ids[np.arange(len(terms)) + np.repeat(begins - (np.cumsum(counts) - counts), counts)] = terms
+        of = np.repeat(np.arange(len(texts)), lengths // STEP)
         for step, widths in self.groups.items():
             most = max(widths) * step
             for first in range(0, len(ids), SPAN):
@@ -286,16 +318,17 @@ class Searcher:
 
     def search(self, texts: list[str | None]):
         """(text number, item, cosine, covered, answered) of the best passage of every item that a text contains."""
-        cut = [t.lower().split() if t else [] for t in texts]
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, cosine, at, n in self.scan(cut):
+        plain: dict[int, list[str]] = {}
+        for d, i, cosine, at, n in self.scan(texts):
             if (known := best.get((d, i))) and known[1] == 1.0:
                 continue
+            if d not in plain:
+                plain[d] = list(map(bare, texts[d].lower().split()))
             item = self.items[i]
-            more = len(item.words) // 2
-            words = list(map(self.bare.__getitem__, cut[d][max(0, at - more) : at + n + more]))
+            words = plain[d][max(0, at - item.more) : at + n + item.more]
             # no more words than these can be common, in whatever order
-            if sum([item.masks[x].bit_count() for x in item.masks.keys() & set(words)]) < PARAPHRASE * len(item.words):
+            if sum([item.often[x] for x in item.often.keys() & words]) < item.least:
                 continue
             covered, answered = item.check(words)
             if contained(covered, answered) and (not known or (covered, answered, cosine) > known):
@@ -333,9 +366,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast((parts, idf))
 
         def run(batches, held=held):
-            terms, plain = Terms(), Bare()
             parts, idf = held.value
-            searchers = [Searcher(rows, near, idf, terms, plain) for rows, near in parts]
+            searchers = [Searcher(rows, near, idf) for rows, near in parts]
             for part, texts in text_chunks(batches):
                 found = [f for searcher in searchers for f in searcher.search(texts)]
                 if found:

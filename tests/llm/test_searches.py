@@ -48,7 +48,7 @@ def test_windows_do_not_depend_on_the_documents_around():
     idf = decontamination.weights(np.zeros(decontamination.TERMS), 100)
     space = decontamination.covering(np.zeros((decontamination.TERMS + 1, 0), np.float32), idf, [t for _, t in items])
     searcher = decontamination.Searcher(*decontamination.compared(items, idf, space), idf)
-    scan = lambda texts: [(f[0], f[1], *f[3:]) + (round(f[2], 4),) for f in searcher.scan([t.split() for t in texts])]
+    scan = lambda texts: [(f[0], f[1], *f[3:]) + (round(f[2], 4),) for f in searcher.scan(texts)]
     alone = [f[1:] for d in docs for f in scan([d])]
     assert {(f[0], f[1]) for i, d in enumerate(docs) for f in searcher.search([d]) if f[1] == i} == {(0, i) for i in range(40)}
     for before in (1, 9, 17, 25, 9000):
@@ -89,6 +89,24 @@ def test_recall_against_exhaustive_search(spark):
         assert len(one & own) >= 0.95 * len(own), (low, high, len(one & own), len(own))
 
 
+def test_terms_are_those_of_bare_tokens(monkeypatch):
+    """One bucket for each bare token, wherever it stands, in long texts too."""
+    texts = [None, "", "  ", "The (cat), the-cat _x_ ... ÉTÉ été\x1cend\u2003x!", "the", "\ud800 a", "日本 ¿que? 🙂"]
+    ids, counts = decontamination.token_terms(texts)
+    tokens = [t for x in texts for t in (x or "").lower().split()]
+    assert counts.tolist() == [len((x or "").lower().split()) for x in texts] and len(ids) == len(tokens)
+    known = {}
+    for token, i in zip(tokens, ids.tolist(), strict=True):
+        word = decontamination.bare(token)
+        assert (i == decontamination.TERMS) == (word == "") and known.setdefault(word, i) == i
+    many = [f"{a}{b}" for a in "abcdefghij" for b in range(100)]
+    assert len(set(decontamination.token_terms([" ".join(many)])[0].tolist())) > 900
+    long = " ".join(random.Random(1).choices(tokens, k=900))
+    whole = decontamination.token_terms([long])[0].tolist()
+    monkeypatch.setattr(decontamination, "CHUNK_CHARS", 50)
+    assert decontamination.token_terms([long])[0].tolist() == whole == [known[decontamination.bare(t)] for t in long.split()]
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
