@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.kinds import field_of, type_name
-from .operators import columns, filters, grouping, joins, stats, texts, windows
-from .plans.order import is_small
+from .operators import columns, dictionary, filters, grouping, joins, stats, texts, windows
+from .plans.order import estimated_bytes
 from .session import session
 from .sources import records, tables
 
@@ -74,6 +74,29 @@ class Frame:
     def head(self, n: int = 5) -> list[dict]:
         return Frame((self.df.orderBy(*self.order_by) if self.order_by else self.df).limit(n), self.order_by).to_dicts()
 
+    def tail(self, n: int = 5) -> list[dict]:
+        """The last n rows in order."""
+        keys = [F.col(c).desc() for c in windows.needs_order(self.order_by)]
+        return Frame(self.df.orderBy(*keys).limit(n), self.order_by).to_dicts()
+
+    def memory_usage(self) -> int:
+        """Bytes by the optimiser's statistics."""
+        return estimated_bytes(self.df)
+
+    def operation_count(self) -> int:
+        """Operators of the optimised plan."""
+        return len([x for x in self.df._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip()])
+
+    def isnull(self) -> Frame:
+        own = self.visible()
+        kept = [c for c in self.order_by if c == records.ORDER]
+        return self._new(self.df.select(*[F.col(c).isNull().alias(c) for c in own.columns], *kept), bool(kept))
+
+    def value_counts(self, c: str) -> Frame:
+        """Values and counts, the most frequent first."""
+        counts = Frame(stats.value_counts(self.visible(), c))
+        return counts.sort_values([counts.columns[-1], c], [False, True])
+
     def col(self, name: str) -> Col:
         field_of(self.visible(), name)
         return Col(name, Frame(self.df, self.order_by))
@@ -144,13 +167,8 @@ class Frame:
     def sort_values(self, by, ascending=True) -> Frame:
         """The order of the new frame is by these columns, then by the old order."""
         ordered = filters.sort_values(self.df, by, ascending, self.order_by)
-        names = [by] if isinstance(by, str) else list(by)
-        up = [ascending] * len(names) if isinstance(ascending, bool) else list(ascending)
-        keys = [F.col(c).asc_nulls_last() if u else F.col(c).desc_nulls_first() for c, u in zip(names, up, strict=True)]
-        place = F.row_number().over(Window.orderBy(*keys, *self.order_by)).cast("bigint")
-        if not is_small(self.df):
-            return Frame(ordered, [*keys, *self.order_by])
-        return Frame(self.df.withColumn(records.ORDER, place), records.ORDER)
+        # rows are sorted over all partitions: these numbers grow with them, whatever the size
+        return Frame(ordered.withColumn(records.ORDER, F.monotonically_increasing_id()), records.ORDER)
 
     def select(self, *names: str) -> Frame:
         keep = [c for c in self.order_by if isinstance(c, str) and c not in names]
@@ -159,6 +177,27 @@ class Frame:
     def union(self, *others: Frame) -> Frame:
         return self._new(filters.union(self.visible(), *[o.visible() for o in others]), False)
 
+    concat = union
+
+    def intersect(self, other: Frame) -> Frame:
+        return self._new(filters.intersect(self.visible(), other.visible()), False)
+
+    def except_rows(self, other: Frame) -> Frame:
+        return self._new(filters.except_rows(self.visible(), other.visible()), False)
+
+    def distinct(self) -> Frame:
+        return self._new(filters.distinct(self.visible()), False)
+
+    # dictionary encoding
+    def dictionary(self, c: str) -> Frame:
+        return Frame(dictionary.dictionary(self.df, c), "id")
+
+    def encode(self, c: str, codes: Frame) -> Frame:
+        return self._new(dictionary.encode(self.df, c, codes.visible()))
+
+    def decode(self, c: str, codes: Frame) -> Frame:
+        return self._new(dictionary.decode(self.df, c, codes.visible()))
+
     # joins
     def join(self, other: Frame, left_on, right_on, how: str = "inner", **kw) -> Frame:
         return Frame(joins.join(self.visible(), other.visible(), left_on, right_on, how, **kw))

@@ -41,6 +41,15 @@ def part(seconds: Column, name: str) -> Column:
     return F.when(seconds == 0, F.lit(0)).otherwise(PARTS[name](F.timestamp_seconds(seconds))).cast("bigint")
 
 
+def timestamp(c: Column, kind: str) -> Column:
+    return epoch(c, kind, "null")
+
+
+def timestamp_micros(c: Column) -> Column:
+    """Of a native time, despite the name milliseconds since 1970, which is what this accessor stands for."""
+    return F.unix_millis(c.cast("timestamp"))
+
+
 def shifted(seconds: Column, by: int) -> Column:
     return F.date_format(F.timestamp_seconds(seconds + F.lit(by)), "yyyy-MM-dd HH:mm:ss")
 

@@ -56,5 +56,18 @@ def need(df: DataFrame, name: str, kinds: tuple[str, ...], message: str) -> T.St
     return field
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of an operator's own, which df lacks."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in taken:
+            name, k = f"{stem}{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 NUMERIC = (INT, FLOAT)
 PLAIN = (INT, FLOAT, STR, BOOL)

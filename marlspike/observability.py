@@ -74,6 +74,31 @@ def log_config(name: str, value) -> None:
     log.info("%s = %s", name, value)
 
 
+def log_trace(operation: str, text: str) -> None:
+    log.log(5, "%s: %s", operation, text)
+
+
+def log_timing(operation: str, started: float) -> float:
+    """Milliseconds since a time.perf_counter(), which are logged."""
+    ms = (time.perf_counter() - started) * 1000
+    log.debug("%s: %.2f ms", operation, ms)
+    return ms
+
+
+def log_feature_usage(feature: str, details: str = "") -> None:
+    log.info("%s is used%s", feature, f": {details}" if details else "")
+
+
+def log_performance_warning(operation: str, ms: float, limit_ms: float = SLOW_MS) -> None:
+    if ms > limit_ms:
+        log.warning("%s: %.2f ms, over %.2f", operation, ms, limit_ms)
+
+
+def log_memory_warning(operation: str, mb: float, limit_mb: float = LARGE_MB) -> None:
+    if mb > limit_mb:
+        log.warning("%s: %.2f MB, over %.2f", operation, mb, limit_mb)
+
+
 def enable_debug() -> None:
     settings.debug = True
 
@@ -161,6 +186,33 @@ def profile_function(operation: str, func: Callable, *args, **kw):
         return func(*args, **kw)
 
 
+def profile_function_with_metrics(operation: str, func: Callable, *args, metrics: dict | None = None, **kw):
+    """The function's result; metrics, a dict that it may fill, goes to the profile."""
+    with profiled(operation) as own:
+        out = func(*args, **kw)
+        if own is not None:
+            own.metrics |= metrics or {}
+        return out
+
+
+class MemoryTracker:
+    """The largest memory of this process's Python between the beginning and the end, in MB, by the operating system."""
+
+    def __enter__(self) -> MemoryTracker:
+        self.before_mb = self._now()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.peak_mb = max(self._now(), self.before_mb)
+        self.grown_mb = self.peak_mb - self.before_mb
+
+    @staticmethod
+    def _now() -> float:
+        import resource
+
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
 def get_operation_stats(operation: str) -> dict[str, float] | None:
     with _lock:
         own = list(_profiles.get(operation, ()))

@@ -102,6 +102,11 @@ def edit_column_vectorised(df: DataFrame, name: str, func, returns: T.DataType |
     return df.withColumn(name, F.pandas_udf(whole, returns)(F.col(name)))
 
 
+def isnull(df: DataFrame) -> DataFrame:
+    """The same columns with true where a cell is null."""
+    return df.select(*[F.col(c).isNull().alias(c) for c in df.columns])
+
+
 def stringify(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 

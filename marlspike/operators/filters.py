@@ -31,6 +31,20 @@ def top_k(df: DataFrame, by: list[str] | str, k: int, ascending: bool = True) ->
     return sort_values(df, by, ascending).limit(k)
 
 
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both have; columns by name, nulls equal nulls."""
+    return a.intersect(b.select(*a.columns))
+
+
+def except_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of a that b lacks."""
+    return a.subtract(b.select(*a.columns))
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    return df.distinct()
+
+
 def union(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:

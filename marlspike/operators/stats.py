@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import NUMERIC, PLAIN, kind_of, need
+from ..functions.kinds import NUMERIC, PLAIN, fresh, kind_of, need
 
 MOMENTS = "Statistical operations only supported on numeric columns"
 PAIRS = "Correlation only supported on numeric columns"
@@ -121,8 +121,9 @@ def quantile(df: DataFrame, c: str, q: float) -> float:
 
 def modes(df: DataFrame, c: str, order_by: list[str]) -> DataFrame:
     """The most frequent value; of several the one that reaches the count first."""
-    counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n_"), F.max(F.struct(*order_by)).alias("last_"))
-    return counts.orderBy(F.desc("n_"), F.asc("last_")).limit(1).select(F.col(c).alias("mode"))
+    n, last = fresh(df, "n_", "last_")
+    counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(n), F.max(F.struct(*order_by)).alias(last))
+    return counts.orderBy(F.desc(n), F.asc(last)).limit(1).select(F.col(c).alias("mode"))
 
 
 def mode(df: DataFrame, c: str, order_by: list[str]):
@@ -131,6 +132,12 @@ def mode(df: DataFrame, c: str, order_by: list[str]):
     return row[0] if row else None
 
 
+def value_counts(df: DataFrame, c: str) -> DataFrame:
+    """Each value that is not null and its count."""
+    (n,) = fresh(df, "count")
+    return df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(n))
+
+
 def nunique(df: DataFrame, c: str) -> int:
     need(df, c, PLAIN, "Unique count not supported for this column type")
     return df.agg(F.countDistinct(c)).first()[0]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kinds import NUMERIC, PLAIN, need
-from ..plans.order import SMALL_BYTES, growing, is_small, sliding
+from ..functions.kinds import NUMERIC, PLAIN, fresh, need
+from ..plans.order import SMALL_BYTES, growing, indexed, is_small, sliding
 
 ROLLING = {"mean": F.avg, "sum": F.sum, "std": F.stddev_pop}
+SALTS = 256
 RANKS = ("average", "min", "max", "first", "dense")
 
 
@@ -36,9 +37,10 @@ def expanding(df: DataFrame, c: str, function: str, order_by, min_periods: int =
     """{c}_expanding_{function}, mean or sum, over all rows so far."""
     need(df, c, NUMERIC, "Expanding operations only supported on numeric columns")
     x = F.col(c).cast("double")
-    made = growing(df, needs_order(order_by), {"sum_": F.coalesce(x, F.lit(0.0)), "count_": F.when(x.isNull(), 0).otherwise(1)}, small_bytes, partition_by)
-    value = F.col("sum_") if function == "sum" else F.col("sum_") / F.col("count_")
-    return made.withColumn(f"{c}_expanding_{function}", F.when(F.col("count_") >= max(1, min_periods), value)).drop("sum_", "count_")
+    total, count = fresh(df, "sum_", "count_")
+    made = growing(df, needs_order(order_by), {total: F.coalesce(x, F.lit(0.0)), count: F.when(x.isNull(), 0).otherwise(1)}, small_bytes, partition_by)
+    value = F.col(total) if function == "sum" else F.col(total) / F.col(count)
+    return made.withColumn(f"{c}_expanding_{function}", F.when(F.col(count) >= max(1, min_periods), value)).drop(total, count)
 
 
 def rank(df: DataFrame, c: str, method: str = "average", order_by=(), small_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -58,17 +60,20 @@ def rank(df: DataFrame, c: str, method: str = "average", order_by=(), small_byte
             "first": lambda: F.row_number().over(Window.orderBy(x.asc_nulls_last(), *needs_order(order_by))),
         }[method]()
         return df.withColumn(out, F.when(x.isNotNull(), value).cast("double"))
-    # counts of the distinct values, their running sums, and back
-    values = df.filter(x.isNotNull()).groupBy(x.alias("value_")).agg(F.count(F.lit(1)).alias("ties_"))
-    values = growing(values, ["value_"], {"upto_": F.col("ties_"), "dense_": F.lit(1)}, small_bytes)
-    joined = df.join(values, x == F.col("value_"), "left")
-    least = F.col("upto_") - F.col("ties_") + 1
     if method == "first":
-        within = Window.partitionBy(x).orderBy(*needs_order(order_by))
-        value = least + F.row_number().over(within) - 1
-    else:
-        value = {"average": least + (F.col("ties_") - 1) / 2.0, "min": least, "max": F.col("upto_"), "dense": F.col("dense_")}[method]
-    return joined.withColumn(out, F.when(x.isNotNull(), value).cast("double")).drop("value_", "ties_", "upto_", "dense_")
+        (place,) = fresh(df, "place_")
+        # nulls come first in the order of the index
+        nulls = F.broadcast(df.agg(F.count_if(x.isNull()).alias(f"nulls of {place}")))
+        made = indexed(df, [c, *needs_order(order_by)], place).crossJoin(nulls)  # one row
+        return made.withColumn(out, F.when(x.isNotNull(), F.col(place) - F.col(f"nulls of {place}") + 1).cast("double")).drop(place, f"nulls of {place}")
+    # counts of the distinct values, their running sums, and back
+    value_, ties_, upto_, dense_ = fresh(df, "value_", "ties_", "upto_", "dense_")
+    values = df.filter(x.isNotNull()).groupBy(x.alias(value_)).agg(F.count(F.lit(1)).alias(ties_))
+    values = growing(values, [value_], {upto_: F.col(ties_), dense_: F.lit(1)}, small_bytes)
+    joined = df.join(values, x == F.col(value_), "left")
+    least = F.col(upto_) - F.col(ties_) + 1
+    value = {"average": least + (F.col(ties_) - 1) / 2.0, "min": least, "max": F.col(upto_), "dense": F.col(dense_)}[method]
+    return joined.withColumn(out, F.when(x.isNotNull(), value).cast("double")).drop(value_, ties_, upto_, dense_)
 
 
 def pct_change(df: DataFrame, c: str, order_by, partition_by: list[str] = (), small_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -83,8 +88,19 @@ def pct_change(df: DataFrame, c: str, order_by, partition_by: list[str] = (), sm
     return sliding(df, needs_order(order_by), 1, build, partition_by, small_bytes)
 
 
-def is_first(df: DataFrame, c: str, order_by) -> DataFrame:
-    """{c}_unique: false for later rows of a value; nulls are valid."""
+def is_first(df: DataFrame, c: str, order_by, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """{c}_unique: false for later rows of a value; nulls are valid.
+
+    Beyond small tables the rows of a value, and nulls, are cut into SALTS parts by their order keys: the first of
+    each part is found there, and the first of a value among those of its parts, so that no task holds a frequent value.
+    """
     need(df, c, PLAIN, "Uniqueness validation not supported for this column type")
-    window = Window.partitionBy(c).orderBy(*needs_order(order_by))
-    return df.withColumn(f"{c}_unique", F.col(c).isNull() | (F.row_number().over(window) == 1))
+    keys = needs_order(order_by)
+    if is_small(df, small_bytes):
+        return df.withColumn(f"{c}_unique", F.col(c).isNull() | (F.row_number().over(Window.partitionBy(c).orderBy(*keys)) == 1))
+    part, first, every = fresh(df, "part_", "first_", "every_")
+    own = df.withColumn(part, F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    own = own.withColumn(first, F.row_number().over(Window.partitionBy(c, part).orderBy(*keys)) == 1)
+    own = own.withColumn(every, F.when(F.col(first), F.lit(-1)).otherwise(F.col(part)))
+    among = F.row_number().over(Window.partitionBy(c, every).orderBy(*keys)) == 1
+    return own.withColumn(f"{c}_unique", F.col(c).isNull() | (F.col(first) & among)).drop(part, first, every)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casts
-from ..operators import columns, filters, grouping, joins, stats, texts, windows
+from ..frame import Frame
+from ..functions import casts, datetimes
+from ..operators import columns, dictionary, filters, grouping, joins, stats, texts, windows
 from ..sources.records import from_dicts
 from ..sources.tables import table
 from ..streaming import events
@@ -30,13 +31,16 @@ def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Sums, means and counts of discounted line items by return flag."""
+    """Revenue statistics of discounted line items by part brand, ranked by revenue: a filter, a join, a grouping and a rank."""
     items = filters.filter_rows(table(spark, d, "lineitem"), "l_discount", ">=", 0.05)
-    out = grouping.group_by(items, "l_returnflag", [("sum", "l_extendedprice"), ("mean", "l_quantity"), ("count",)])
-    return filters.sort_values(rounded(out, "l_extendedprice_sum", "l_quantity_mean"), "l_returnflag")
+    joined = joins.inner_join(items, table(spark, d, "part"), "l_partkey", "p_partkey")
+    out = rounded(grouping.group_by(joined, "p_brand", [("sum", "l_extendedprice"), ("mean", "l_quantity"), ("count",)]), "l_extendedprice_sum", "l_quantity_mean")
+    return windows.rank(out, "l_extendedprice_sum", "min")
 
 
-register("flagship", flagship, "SELECT l_returnflag, round(sum(l_extendedprice), 4) AS l_extendedprice_sum, round(avg(l_quantity), 4) AS l_quantity_mean, count(*) AS count FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1")
+register("flagship", flagship, """SELECT *, CAST(rank() OVER (ORDER BY l_extendedprice_sum) AS DOUBLE) AS l_extendedprice_sum_rank FROM (
+SELECT p_brand, round(sum(l_extendedprice), 4) AS l_extendedprice_sum, round(avg(l_quantity), 4) AS l_quantity_mean, count(*) AS count
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount >= 0.05 GROUP BY 1)""")
 
 # filters
 for _name, _op, _value, _sql in [
@@ -84,17 +88,58 @@ register("edit_column_vectorised", lambda s, d: columns.edit_column_vectorised(t
 register("from_dicts", lambda s, d: from_dicts(s, [{"name": "a", "n": 1}, {"name": None, "n": 2}, {"n": 3}]).drop("__ord"), "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT)), (NULL, 2), (NULL, 3)) t(name, n)")
 
 # sorting
-register("sort_multi", lambda s, d: windows.rank(filters.sort_values(table(s, d, "part").select("p_partkey", "p_size", "p_brand"), ["p_size", "p_brand"], [False, True]), "p_size", "first", ["p_partkey"]), "SELECT p_partkey, p_size, p_brand, CAST(row_number() OVER (ORDER BY p_size, p_partkey) AS DOUBLE) AS p_size_rank FROM part")
+def sorted_part(s, d) -> Frame:
+    """A frame with nulls and ties, sorted by two columns, one of them descending; the order before keeps ties."""
+    return Frame(table(s, d, "part").select("p_partkey", "p_brand", F.nullif(F.col("p_size"), F.lit(7)).alias("size")), "p_partkey").sort_values(["size", "p_brand"], [False, True])
+
+
+def placed(frame: Frame) -> DataFrame:
+    """The rows and their places in the frame's order, as its own iterator yields them."""
+    rows = [r | {"at": i} for i, r in enumerate(frame)]
+    return frame.df.sparkSession.createDataFrame(rows, frame.visible().withColumn("at", F.lit(0).cast("bigint")).schema)
+
+
+SORTED = "SELECT *, row_number() OVER (ORDER BY size DESC NULLS FIRST, p_brand, p_partkey) - 1 AS at FROM (SELECT p_partkey, p_brand, nullif(p_size, 7) AS size FROM part)"
+register("sort_multi", lambda s, d: placed(sorted_part(s, d)), SORTED)
+register("sort_then_change", lambda s, d: placed(renamed(sorted_part(s, d))), SORTED.replace("SELECT *,", "SELECT p_partkey, size AS width,"))
+
+
+def renamed(frame: Frame) -> Frame:
+    """Columns that a frame was sorted by can be dropped and renamed: the order stays."""
+    frame.drop_columns("p_brand")
+    frame.rename_column("size", "width")
+    return frame
+
+
 register("top_k", lambda s, d: filters.top_k(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 50, False), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
 register("union", lambda s, d: filters.union(table(s, d, "nation").select("n_name"), table(s, d, "region").select(F.col("r_name").alias("n_name"))), "SELECT n_name FROM nation UNION ALL SELECT r_name FROM region")
 
+register("intersect", lambda s, d: filters.intersect(table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+register("except", lambda s, d: filters.except_rows(table(s, d, "nation").select(F.col("n_nationkey").alias("k")), table(s, d, "region").select(F.col("r_regionkey").alias("k"))), "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region")
+register("distinct", lambda s, d: filters.distinct(table(s, d, "lineitem").select("l_returnflag", "l_linestatus")), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+register("isnull", lambda s, d: columns.isnull(prioritised(s, d)).groupBy("o_orderkey", "o_totalprice", "p").count(), f"SELECT o_orderkey IS NULL AS o_orderkey, o_totalprice IS NULL AS o_totalprice, p IS NULL AS p, count(*) AS count FROM {PRIORITISED} GROUP BY 1, 2, 3")
+register("cast_column", lambda s, d: columns.cast_column(columns.cast_column(table(s, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", int), "p_size", str), "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS p_retailprice, CAST(p_size AS VARCHAR) AS p_size FROM part")
+register("to_dicts", lambda s, d: s.createDataFrame(Frame(prioritised(s, d), "o_orderkey").to_dicts(), prioritised(s, d).schema), f"SELECT * FROM {PRIORITISED}")
+register("head_tail", lambda s, d: s.createDataFrame([*ordered_orders(s, d).head(7), *ordered_orders(s, d).tail(5)], prioritised(s, d).schema), f"(SELECT * FROM {PRIORITISED} ORDER BY o_orderkey LIMIT 7) UNION ALL (SELECT * FROM {PRIORITISED} ORDER BY o_orderkey DESC LIMIT 5)")
+register("chunks", lambda s, d: events.process_in_chunks(table(s, d, "orders").select("o_orderkey", "o_totalprice"), doubled, "o_orderkey bigint, twice double"), "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
+
+
+def ordered_orders(s, d) -> Frame:
+    return Frame(prioritised(s, d), "o_orderkey")
+
+
+def doubled(frames):
+    for frame in frames:
+        yield frame.assign(twice=frame["o_totalprice"] * 2)[["o_orderkey", "twice"]]
+
 
 # joins
 def sides(s, d) -> tuple[DataFrame, DataFrame]:
-    return filters.filter_rows(table(s, d, "nation"), "n_nationkey", "<", 15), filters.filter_rows(table(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", ">=", 5)
+    """Whole tables; keys of suppliers are moved on so that both sides have rows without a partner."""
+    return table(s, d, "nation"), table(s, d, "supplier").select("s_suppkey", (F.col("s_nationkey") + 10).alias("s_nationkey"))
 
 
-LEFT, RIGHT = "(SELECT * FROM nation WHERE n_nationkey < 15) l", "(SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey >= 5) r"
+LEFT, RIGHT = "nation l", "(SELECT s_suppkey, s_nationkey + 10 AS s_nationkey FROM supplier) r"
 for _how, _columns, _kind in [
     ("inner", "n_nationkey, n_name, n_regionkey, s_suppkey", "JOIN"),
     ("left", "n_nationkey, n_name, n_regionkey, s_suppkey", "LEFT JOIN"),
@@ -150,9 +195,17 @@ register("corr_constant", lambda s, d: table(s, d, "lineitem").withColumn("one",
 register("cov_with", lambda s, d: table(s, d, "lineitem").agg(F.round(stats.covariance("l_quantity", "l_extendedprice"), 3).alias("r")), "SELECT round(covar_pop(l_quantity, l_extendedprice), 3) AS r FROM lineitem")
 register("skew", lambda s, d: table(s, d, "lineitem").agg(F.round(stats.skewness("l_extendedprice"), 5).alias("r")), "SELECT round(avg(power(l_extendedprice - m, 3)) / power(max(sd), 3), 5) AS r FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd FROM lineitem)")
 register("kurtosis", lambda s, d: table(s, d, "part").agg(F.round(stats.excess_kurtosis("p_retailprice"), 5).alias("r")), "SELECT round(kurtosis_pop(p_retailprice), 5) AS r FROM part")
-register("quantile", lambda s, d: table(s, d, "orders").agg(F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("q")), "SELECT round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders")
+def value(s, kind: str, name: str, v) -> DataFrame:
+    """One row with a value that an operator has returned to the driver."""
+    return s.createDataFrame([(v,)], f"{name} {kind}")
+
+
+register("quantile", lambda s, d: value(s, "double", "q", round(stats.quantile(table(s, d, "orders"), "o_totalprice", 0.9), 4)), "SELECT round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders")
 register("mode", lambda s, d: stats.modes(table(s, d, "events"), "event_type", ["event_id"]), "SELECT event_type AS mode FROM events GROUP BY 1 ORDER BY count(*) DESC, max(event_id) LIMIT 1")
-register("nunique", lambda s, d: table(s, d, "lineitem").agg(F.countDistinct("l_partkey").alias("n")), "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
+register("nunique", lambda s, d: value(s, "bigint", "n", stats.nunique(prioritised(s, d), "p")), f"SELECT count(DISTINCT p) AS n FROM {PRIORITISED}")
+register("value_counts", lambda s, d: stats.value_counts(prioritised(s, d), "p"), f"SELECT p, count(*) AS count FROM {PRIORITISED} WHERE p IS NOT NULL GROUP BY 1")
+register("dot_product", lambda s, d: value(s, "double", "dot", round(stats.dot_product(table(s, d, "part"), "p_retailprice", "p_size"), 2)), "SELECT round(sum(p_retailprice * p_size), 2) AS dot FROM part")
+register("add_multiply", lambda s, d: table(s, d, "part").select("p_partkey", stats.add(F.col("p_size"), F.lit(3)).cast("bigint").alias("added"), stats.multiply(F.col("p_size"), F.col("p_partkey")).cast("bigint").alias("multiplied")), "SELECT p_partkey, CAST(p_size + 3 AS BIGINT) AS added, CAST(p_size * p_partkey AS BIGINT) AS multiplied FROM part")
 register("kernels", lambda s, d: table(s, d, "part").agg(*[F.round(stats.KERNELS[k](F.col("p_retailprice")), 3).alias(k) for k in stats.KERNELS], F.round(F.sum(F.col("p_retailprice") * F.col("p_size")), 2).alias("dot")), "SELECT round(sum(p_retailprice), 3) AS sum, round(avg(p_retailprice), 3) AS mean, round(min(p_retailprice), 3) AS min, round(max(p_retailprice), 3) AS max, round(var_samp(p_retailprice), 3) AS variance, round(stddev_samp(p_retailprice), 3) AS std_dev, round(sum(p_retailprice * p_size), 2) AS dot FROM part")
 
 
@@ -177,6 +230,29 @@ CHANGED = f"SELECT event_id, v, round(CASE WHEN lag(v) OVER (ORDER BY event_id)
 register("pct_change", lambda s, d: rounded(windows.pct_change(valued(s, d), "v", "event_id"), "v_pct_change", digits=3), CHANGED)
 register("pct_change_blocks", lambda s, d: rounded(windows.pct_change(valued(s, d), "v", "event_id", small_bytes=0), "v_pct_change", digits=3), CHANGED)
 
+NULLED = "(SELECT p_partkey, nullif(p_size, 7) AS size FROM part)"
+for _suffix, _bytes in (("", windows.SMALL_BYTES), ("_counted", 0)):
+    for _m, _sql in [("average", "rank() OVER w + (count(*) OVER (PARTITION BY size) - 1) / 2.0"), ("first", "row_number() OVER (ORDER BY size NULLS LAST, p_partkey)")]:
+        register(f"rank_{_m}_nulls{_suffix}", lambda s, d, m=_m, b=_bytes: windows.rank(table(s, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("size")), "size", m, ["p_partkey"], small_bytes=b), f"SELECT *, CASE WHEN size IS NOT NULL THEN CAST({_sql} AS DOUBLE) END AS size_rank FROM {NULLED} WINDOW w AS (ORDER BY size NULLS LAST)")
+    register(f"expanding_mean_least{_suffix}", lambda s, d, b=_bytes: windows.expanding(valued(s, d), "v", "mean", "event_id", min_periods=20, small_bytes=b).withColumn("v_expanding_mean", F.round(F.col("v_expanding_mean") + 1.3e-6, 5)), f"SELECT event_id, v, CASE WHEN count(v) OVER w >= 20 THEN round(avg(v) OVER w + 1.3e-6, 5) END AS v_expanding_mean FROM {VALUED} WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+register("validate_unique_salted", lambda s, d: windows.is_first(prioritised(s, d), "p", ["o_orderkey"], small_bytes=0), f"SELECT *, p IS NULL OR row_number() OVER (PARTITION BY p ORDER BY o_orderkey) = 1 AS p_unique FROM {PRIORITISED}")
+# columns of the names that operators use inside
+_CLASHING = ("sum_", "count_", "bucket_", "index_", "block_", "halo_", "fine_", "place_", "value_", "ties_")
+register("windows_clashing_names", lambda s, d: windows.rank(windows.expanding(rolled(s, d), "v", "sum", "event_id", small_bytes=0), "v", "first", ["event_id"], small_bytes=0).select("event_id", *_CLASHING, F.round("v_rolling_sum", 4).alias("rolled"), F.round(F.col("v_expanding_sum") + 1.3e-6, 5).alias("grown"), "v_rank"), f"SELECT event_id, {', '.join(f'event_id AS {c}' for c in _CLASHING)}, CASE WHEN count(v) OVER w = 3 THEN round(sum(v) OVER w, 4) END AS rolled, round(sum(v) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) + 1.3e-6, 5) AS grown, CASE WHEN v IS NOT NULL THEN CAST(row_number() OVER (ORDER BY v NULLS LAST, event_id) AS DOUBLE) END AS v_rank FROM {VALUED} WINDOW w AS (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+
+
+def rolled(s, d) -> DataFrame:
+    clashing = valued(s, d).withColumns({c: F.col("event_id") for c in _CLASHING})
+    return windows.rolling(clashing, "v", 3, "sum", "event_id", small_bytes=0)
+
+
+# dictionary encoding
+register("dictionary", lambda s, d: dictionary.dictionary(prioritised(s, d), "p"), f"SELECT p AS value, row_number() OVER (ORDER BY p) - 1 AS id FROM (SELECT DISTINCT p FROM {PRIORITISED} WHERE p IS NOT NULL)")
+register("dictionary_buckets", lambda s, d: dictionary.dictionary(table(s, d, "part"), "p_name", small_bytes=0), "SELECT p_name AS value, row_number() OVER (ORDER BY p_name) - 1 AS id FROM (SELECT DISTINCT p_name FROM part)")
+register("dictionary_encode", lambda s, d: dictionary.encode(prioritised(s, d), "p", dictionary.dictionary(prioritised(s, d), "p")), f"SELECT o_orderkey, o_totalprice, CASE WHEN p IS NOT NULL THEN dense_rank() OVER (ORDER BY p NULLS LAST) - 1 END AS p_id FROM {PRIORITISED}")
+register("dictionary_decode", lambda s, d: dictionary.decode(dictionary.encode(prioritised(s, d), "p", dictionary.dictionary(prioritised(s, d), "p")), "p", dictionary.dictionary(prioritised(s, d), "p")), f"SELECT * FROM {PRIORITISED}")
+register("dictionary_savings", lambda s, d: dictionary.savings(prioritised(s, d), "p"), f"SELECT *, plain_bytes - encoded_bytes AS saved_bytes FROM (SELECT CAST(sum(n * strlen(p)) AS BIGINT) AS plain_bytes, CAST(sum(4 * n + strlen(p)) AS BIGINT) AS encoded_bytes FROM (SELECT p, count(*) AS n FROM {PRIORITISED} WHERE p IS NOT NULL GROUP BY 1))")
+
 # strings
 for _f, _args, _sql in [
     ("upper", (), "upper(p_name)"),
@@ -207,6 +283,7 @@ for _p, _sql in [("year", "year(x)"), ("month", "month(x)"), ("day", "day(x)"),
 _seconds = "coalesce(CAST(epoch(x) AS BIGINT), 0)"
 register("dt_diff", lambda s, d: texts.dt_diff(dated(s, d), "t", "event_id"), f"SELECT event_id, t, {_seconds} - lag({_seconds}) OVER (ORDER BY event_id) AS t_diff FROM {DATED}")
 register("dt_shift", lambda s, d: texts.dt_shift(dated(s, d), "t", 3661), f"SELECT event_id, t, strftime(coalesce(x, TIMESTAMP '1970-01-01') + INTERVAL 3661 SECOND, '%Y-%m-%d %H:%M:%S') AS t_shifted FROM {DATED}")
+register("timestamp_micros", lambda s, d: table(s, d, "events").select("event_id", datetimes.timestamp_micros(F.col("ts")).alias("t")), "SELECT event_id, epoch_us(ts) // 1000 AS t FROM events")
 register("dt_native", lambda s, d: texts.dt_part(table(s, d, "events").select("event_id", "ts"), "ts", "hour").drop("ts"), "SELECT event_id, hour(ts) AS ts_hour FROM events")
 
 # validity

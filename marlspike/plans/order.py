@@ -7,14 +7,18 @@ dense index from the buckets' counts, and windows run in blocks of the index.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kinds import fresh
+
 SMALL_BYTES = 64 << 20
 BUCKET_BYTES = 32 << 20
-MOST_BUCKETS = 256
+#: Bounds are one array, and sums of buckets one table, of this many entries at most.
+MOST_BUCKETS = 1 << 14
 BLOCK_ROWS = 100_000
 SAMPLE_EACH = 40
 
@@ -45,38 +49,57 @@ def key_of(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
 
 
-def bucketed(df: DataFrame, order_by: list[str], buckets: int) -> DataFrame:
-    """df with bucket_, which grows with the key: bounds come from a sample of at most SAMPLE_EACH rows a bucket."""
+def tie_break(df: DataFrame) -> list[Column]:
+    """Behind a key: rows of equal keys come in one order however often they are read; only equal rows are interchangeable."""
+    plain = [F.col(f.name) for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    return [F.xxhash64(*plain)] if plain else []
+
+
+def bucketed(df: DataFrame, order_by: list[str], buckets: int, name: str) -> DataFrame:
+    """df with a column that grows with the key: bounds come from a sample of about SAMPLE_EACH rows a bucket."""
     key = F.struct(*order_by)
     sample = df.select(key.alias("k")).orderBy(F.xxhash64(*[F.col(c) for c in order_by])).limit(buckets * SAMPLE_EACH)
     tiles = sample.select("k", F.ntile(buckets).over(Window.orderBy("k")).alias("t")).groupBy("t").agg(F.max("k").alias("k"))
-    bounds = tiles.agg(F.sort_array(F.collect_list("k")).alias("bounds_"))
-    held = df.crossJoin(F.broadcast(bounds))  # one row
-    return held.withColumn("bucket_", F.size(F.filter("bounds_", lambda b: b < key))).drop("bounds_")
+    # coarse bounds lead to a stretch of fine ones, so that a row looks at twice the root of the bounds
+    fine, coarse = fresh(df, "fine_", "coarse_")
+    stretch = max(1, math.isqrt(buckets))
+    bounds = tiles.agg(F.sort_array(F.collect_list("k")).alias(fine))
+    steps = F.filter(F.col(fine), lambda b, i: (i + 1) % stretch == 0)
+    held = df.crossJoin(F.broadcast(bounds.withColumn(coarse, steps)))  # one row
+    passed = F.size(F.filter(coarse, lambda b: b < key)) * stretch
+    return held.withColumn(name, passed + F.size(F.filter(F.slice(fine, passed + 1, F.lit(stretch)), lambda b: b < key))).drop(fine, coarse)
+
+
+def buckets_of(df: DataFrame) -> int:
+    return min(MOST_BUCKETS, 1 + estimated_bytes(df) // BUCKET_BYTES)
+
+
+def offsets(df: DataFrame, bucket: str, sums: dict[str, Column]) -> DataFrame:
+    """A row for each bucket with the sums over all buckets before it: at most MOST_BUCKETS rows, with null before the first."""
+    totals = df.groupBy(bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select(bucket, *[F.sum(n).over(before).alias(n) for n in sums]))
 
 
-def indexed(df: DataFrame, order_by: list[str], buckets: int | None = None) -> DataFrame:
-    """df with index_, the place of each row from 0 in the order of the key, and bucket_."""
-    buckets = buckets or min(MOST_BUCKETS, 1 + estimated_bytes(df) // BUCKET_BYTES)
-    own = bucketed(df, order_by, buckets)
-    counts = {r["bucket_"]: r["count"] for r in own.groupBy("bucket_").count().collect()}
-    before, offsets = 0, []
-    for b in range(buckets + 1):
-        offsets.append(before)
-        before += counts.get(b, 0)
-    place = F.row_number().over(Window.partitionBy("bucket_").orderBy(*order_by)) - 1
-    return own.withColumn("index_", place.cast("bigint") + F.get(F.array(*map(F.lit, offsets)), F.col("bucket_")).cast("bigint"))
+def indexed(df: DataFrame, order_by: list[str], index: str, buckets: int | None = None) -> DataFrame:
+    """df with the place of each row from 0 in the order of the key."""
+    bucket, before = fresh(df, "bucket_", "before_")
+    own = bucketed(df, order_by, buckets or buckets_of(df), bucket)
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order_by, *tie_break(df))) - 1
+    placed = own.join(offsets(own, bucket, {before: F.lit(1)}), bucket).withColumn(index, place.cast("bigint") + F.coalesce(before, F.lit(0)))
+    return placed.drop(bucket, before)
 
 
 def sliding(df: DataFrame, order_by: list[str], before: int, build: Callable[[object], dict[str, Column]], partition_by: list[str] = (), small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Columns of build(window), whose frames reach back at most `before` rows."""
     if partition_by or is_small(df, small_bytes):
         return df.withColumns(build(Window.partitionBy(*partition_by).orderBy(*order_by)))
-    block = max(BLOCK_ROWS, before)
-    own = indexed(df, order_by).withColumn("block_", F.floor(F.col("index_") / block)).withColumn("halo_", F.lit(False))
-    halo = own.filter(F.col("index_") % block >= block - before).withColumn("block_", F.col("block_") + 1).withColumn("halo_", F.lit(True))
-    made = own.unionByName(halo).withColumns(build(Window.partitionBy("block_").orderBy("index_")))
-    return made.filter(~F.col("halo_")).drop("block_", "halo_", "index_", "bucket_")
+    index, block, halo = fresh(df, "index_", "block_", "halo_")
+    size = max(BLOCK_ROWS, before)
+    own = indexed(df, order_by, index).withColumn(block, F.floor(F.col(index) / size)).withColumn(halo, F.lit(False))
+    back = own.filter(F.col(index) % size >= size - before).withColumn(block, F.col(block) + 1).withColumn(halo, F.lit(True))
+    made = own.unionByName(back).withColumns(build(Window.partitionBy(block).orderBy(index)))
+    return made.filter(~F.col(halo)).drop(block, halo, index)
 
 
 def growing(df: DataFrame, order_by: list[str], sums: dict[str, Column], small_bytes: int = SMALL_BYTES, partition_by: list[str] = ()) -> DataFrame:
@@ -85,15 +108,9 @@ def growing(df: DataFrame, order_by: list[str], sums: dict[str, Column], small_b
     if partition_by or is_small(df, small_bytes):
         window = frame(Window.partitionBy(*partition_by).orderBy(*order_by))
         return df.withColumns({n: F.sum(c).over(window) for n, c in sums.items()})
-    buckets = min(MOST_BUCKETS, 1 + estimated_bytes(df) // BUCKET_BYTES)
-    own = bucketed(df, order_by, buckets)
-    totals = {r["bucket_"]: r for r in own.groupBy("bucket_").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()}
-    window = frame(Window.partitionBy("bucket_").orderBy(*order_by))
-    made = {}
-    for n, c in sums.items():
-        before, offsets = 0, []
-        for b in range(buckets + 1):
-            offsets.append(before)
-            before += (totals[b][n] or 0) if b in totals else 0
-        made[n] = F.sum(c).over(window) + F.get(F.array(*map(F.lit, offsets)), F.col("bucket_"))
-    return own.withColumns(made).drop("bucket_")
+    bucket, *before = fresh(df, "bucket_", *[f"before_{i}_" for i in range(len(sums))])
+    own = bucketed(df, order_by, buckets_of(df), bucket)
+    window = frame(Window.partitionBy(bucket).orderBy(*order_by, *tie_break(df)))
+    joined = own.join(offsets(own, bucket, dict(zip(before, sums.values(), strict=True))), bucket)
+    made = {n: F.sum(c).over(window) + F.coalesce(b, F.lit(0)) for b, (n, c) in zip(before, sums.items(), strict=True)}
+    return joined.withColumns(made).drop(bucket, *before)

@@ -145,7 +145,7 @@ def test_order_survives_partitioning(spark):
     plain = windows.rolling(df, "v", 4, "sum", "id").orderBy("id").collect()
     for n in (1, 7):
         assert windows.rolling(df.repartition(n), "v", 4, "sum", "id", small_bytes=0).orderBy("id").collect() == plain
-    got = indexed(df.repartition(5), ["id"], 6).collect()
+    got = indexed(df.repartition(5), ["id"], "index_", 6).collect()
     assert all(r["index_"] == r["id"] for r in got)
 
 
@@ -199,3 +199,48 @@ def test_float_text(spark):
     got = [r[0] for r in df.select(float_to_str(F.col("v"))).collect()]
     assert got == ["1", "0.5", "1000000000000000000000", "0.00000015", "-22500000000", "NaN", "1234567.875", "12345678.5"]
     assert [r[0] for r in df.select(float_to_int(F.col("v"))).collect()][2:6] == [2**63 - 1, 0, -22500000000, 0]
+
+
+def test_order_of_a_sorted_frame_survives_changes(spark):
+    frame = Frame.from_dicts([{"a": i % 3, "b": i, "c": str(i)} for i in range(12)], spark).sort_values(["a", "b"], [False, True])
+    frame.drop_columns("b")
+    frame.rename_column("a", "z")
+    assert [r["c"] for r in frame] == [str(i) for a in (2, 1, 0) for i in range(12) if i % 3 == a]
+    assert frame.sort_values("z").filter("z", "==", 1).head(2) == [{"z": 1, "c": "1"}, {"z": 1, "c": "4"}]
+
+
+def test_tail_counts_nulls_and_sets(spark):
+    frame = Frame.from_dicts([{"k": "x", "n": 1}, {"k": None, "n": 2}, {"k": "y", "n": None}, {"k": "x", "n": 1}], spark)
+    assert frame.tail(2) == [{"k": "y", "n": None}, {"k": "x", "n": 1}]
+    assert frame.value_counts("k").to_dicts() == [{"k": "x", "count": 2}, {"k": "y", "count": 1}]
+    assert [r["k"] for r in frame.isnull()] == [False, True, False, False]
+    assert frame.concat(frame).len() == 8 and frame.distinct().len() == 3
+    assert frame.intersect(frame.filter("n", "==", 1)).len() == 1 and frame.except_rows(frame.filter("n", "==", 1)).len() == 2
+    assert frame.operation_count() > 0 and frame.memory_usage() > 0
+
+
+def test_dictionary_round_trip(spark):
+    frame = Frame.from_dicts([{"k": v, "i": i} for i, v in enumerate(["b", "a", None, "b", "é"])], spark)
+    codes = frame.dictionary("k")
+    assert codes.to_dicts() == [{"value": "a", "id": 0}, {"value": "b", "id": 1}, {"value": "é", "id": 2}]
+    coded = frame.encode("k", codes)
+    assert [r["k_id"] for r in coded] == [1, 0, None, 1, 2]
+    assert coded.decode("k", codes).to_dicts() == frame.to_dicts()
+
+
+def test_first_occurrences_of_frequent_values_and_nulls(spark):
+    from marlspike.operators import windows
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "x" if i % 3 else f"v{i}") for i in range(300)], "i long, v string")
+    small, salted = ({r["i"]: r["v_unique"] for r in windows.is_first(df, "v", "i", b).collect()} for b in (windows.SMALL_BYTES, 0))
+    assert small == salted and small[1] and not small[2] and small[0]
+
+
+def test_places_are_the_same_with_ties_and_many_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from marlspike.plans import order
+
+    df = spark.range(5000).select(F.col("id"), (F.xxhash64("id") % 40).alias("k"))
+    placed = [{r["id"]: r["at"] for r in order.indexed(df.repartition(n), ["k"], "at", buckets).collect()} for n, buckets in ((3, 1), (5, 7), (2, 100))]
+    assert placed[0] == placed[1] == placed[2] and sorted(placed[0].values()) == list(range(5000))

@@ -36,3 +36,29 @@ def test_debug():
     assert o.is_debug_enabled()
     assert o.log_debug_info("x", 1.0, 2.0, 3) == {"operation": "x", "duration_ms": 1.0, "memory_mb": 2.0, "rows": 3}
     o.disable_debug()
+
+
+def test_more_helpers(caplog):
+    import logging
+    import time
+
+    from marlspike import observability as o
+
+    caplog.set_level(1, logger="marlspike")
+    o.log_trace("a", "b")
+    assert o.log_timing("a", time.perf_counter()) < 1000
+    o.log_feature_usage("f", "x")
+    o.log_performance_warning("slow", 2000.0)
+    o.log_performance_warning("fast", 1.0)
+    o.log_memory_warning("large", 200.0)
+    o.log_memory_warning("small", 1.0)
+    warned = [r.message for r in caplog.records if r.levelno == logging.WARNING]
+    assert [w.split(":")[0] for w in warned] == ["slow", "large"]
+    o.clear_profiling_data()
+    o.enable_profiling()
+    assert o.profile_function_with_metrics("op", lambda x: x + 1, 2, metrics={"rows": 3}) == 3
+    assert o.get_operation_stats("op")["count"] == 1
+    o.disable_profiling()
+    with o.MemoryTracker() as tracked:
+        kept = [0] * 1000
+    assert tracked.peak_mb > 0 and tracked.grown_mb >= 0 and kept
