@@ -219,5 +219,59 @@ def test_quotations(spark):
     got = sorted(((r["conv_id"], r["turn"], r["clean"], r["n_quotes"], r["max_level"], r["n_linked"], r["reply_to"]) for r in quotations.link_quotations(df).collect()), key=str)
     assert got == sorted([(1, 0, rows[0][3], 0, 0, 0, None), (1, 1, "In the kitchen.", 1, 1, 1, 0), (1, 2, "Thanks!", 2, 2, 2, 1), (1, 3, "Hm.", 1, 1, 0, None), (2, 0, "other conversation", 1, 1, 0, None), (2, 1, "", 0, 0, 0, None), (2, 1, "", 0, 0, 0, None), (None, 0, "In the kitchen.", 0, 0, 0, None)], key=str)
     assert quotations.link_quotations(df.limit(0)).count() == 0
-    ordered = [(r["conv_id"], r["turn"]) for r in quotations.conversations(quotations.link_quotations(df)).collect()]
-    assert ordered == sorted(ordered, key=lambda x: (x[0] or 0, x[1]))
+    assert [(r["thread"], r["turn"], r["depth"]) for r in quotations.conversations(quotations.link_quotations(df)).filter("conv_id = 1").collect()] == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (3, 3, 0)]
+
+
+def quotation_brute(rows):
+    """{(conv_id, turn): (reply_to, thread, depth)}, by comparing every passage with every earlier message."""
+    parsed = {(c, t): quotations.parse(text) for c, t, _, text in rows}
+    reply = {}
+    for (c, t), (_, quotes, _) in parsed.items():
+        linked = []
+        for at, q in enumerate(quotes):
+            words = {}
+            for unit in q["units"]:
+                has = [s for (d, s), (own, _, _) in parsed.items() if d == c and unit["h"] in {u["h"] for u in own}]
+                if has and min(has) < t:
+                    words[min(has)] = words.get(min(has), 0) + unit["words"]
+            if words:
+                linked.append((-q["level"], at, max(words, key=lambda s: (words[s], s))))
+        reply[c, t] = max(linked)[2] if linked else None
+    out = {}
+    for c, t in parsed:
+        root, depth = t, 0
+        while reply[c, root] is not None:
+            root, depth = reply[c, root], depth + 1
+        out[c, t] = reply[c, t], root, depth
+    return out
+
+
+def test_quotations_against_brute_force(spark, prose_of):
+    """Chains and branches of answers; quotations whole, wrapped anew, cut, nested and of several messages."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(6):
+        own = []
+        for t in range(14):
+            words = prose_of(rng.choice([6, 20, 45]), rng.randrange(500)).split()
+            text = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+            quotes = []
+            for _ in range(rng.choice([0, 1, 1, 2]) if own else 0):
+                said = rng.choice(own[-4:]).split()
+                width = rng.choice([4, 9, 30])
+                cut = said[rng.choice([0, 0, 5]) :] or said
+                quotes += [f"{'> ' * rng.choice([1, 1, 2])}{' '.join(cut[i : i + width])}" for i in range(0, len(cut), width)] + ["", "ok"]
+            rows.append((c, t, "user", "\n".join([*quotes, text])))
+            own.append(text)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"]) for r in quotations.link_quotations(df).collect()}
+    assert got == quotation_brute(rows)
+    assert max(x[2] for x in got.values()) > 3 and sum(x[0] is not None for x in got.values()) > 40
+
+
+def test_quotation_wrapped_anew(spark):
+    text = "The quick brown fox jumps over the lazy dog while nine\nother animals watch it from behind the tall green hedge."
+    anew = "> The quick brown fox jumps over\n> the lazy dog while nine other animals watch\n> it from behind the tall green hedge.\nYes."
+    df = spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", anew), (None, 2, "b", anew)], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["clean"]) for r in quotations.link_quotations(df).collect()}
+    assert got == {(1, 0): (None, text), (1, 1): (0, "Yes."), (None, 2): (None, "Yes.")}
