@@ -91,12 +91,14 @@ def materialise(df: DataFrame, stays: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables materialised inside are deleted at the end; what is needed longer has to be told to stay."""
-    opened().append([])
+    own: list[str] = []
+    opened().append(own)
     try:
         yield
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in opened().pop():
+        opened()[:] = [x for x in opened() if x is not own]
+        for path in own:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
 

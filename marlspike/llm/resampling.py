@@ -10,7 +10,7 @@ smallest hashes of their ids. The k-th largest key is found by counting keys by
 four passes over (doc_id, key) rows, so that nothing is sorted or collected but 65,536 counts.
 
 Null and empty texts, and texts without a word, have no key and are never drawn. Ties with the k-th key, such
-as repeated rows, are all drawn.
+as repeated rows, are all drawn. Rows of one doc_id share its noise; the noise of a null doc_id comes from its text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 from .decontamination import bare
 
 BUCKETS = 1 << 14
@@ -88,7 +88,8 @@ def weighted(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame
                 n.append(len(at))
                 weight.append(float(held.value[at].sum()))
             n, weight = np.array(n), np.array(weight)
-            u = np.array([(xxhash.xxh64_intdigest(str(i), seed) >> 11) + 0.5 for i in part.column(0).to_pylist()]) / 2.0**53
+            names = [text or "" if i is None else str(i) for i, text in zip(part.column(0).to_pylist(), texts, strict=True)]
+            u = np.array([(xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), seed) >> 11) + 0.5 for name in names]) / 2.0**53
             noisy = weight - np.log(-np.log(u))
             bits = noisy.view(np.int64)
             key = np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
@@ -118,6 +119,11 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
 
     target: (text) rows of the wanted kind; without any, all documents are equally likely.
     """
+    with scratch(docs.sparkSession):
+        return materialise(find_sample(docs, target, share, seed), stays=True)
+
+
+def find_sample(docs: DataFrame, target: DataFrame, share: float, seed: int) -> DataFrame:
     raw, wanted = bucket_counts(docs), bucket_counts(target)
     scored = materialise(weighted(docs, log_ratios(wanted, raw) if wanted.any() else np.zeros(BUCKETS), seed))
     least = kth_largest(scored, round(share * scored.filter("key is not null").count()))
@@ -126,9 +132,11 @@ def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: int
 
 
 def op9_importance_resampling(spark, sf_dir: str) -> DataFrame:
+    """Half of all documents, drawn by how close they are to those labelled as good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1 and doc_id is not null").select("doc_id")
-    sample = materialise(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS))
-    marks = materialise(bitmap(sample.select(slot_of("doc_id").alias("slot")).distinct()))
-    target = marked(docs, slot_of("doc_id"), marks).join(F.broadcast(sample), "doc_id")
-    return resample(docs, target)
+    with scratch(spark):
+        sample = materialise(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS))
+        marks = materialise(bitmap(sample.select(slot_of("doc_id").alias("slot")).distinct()))
+        target = marked(docs, slot_of("doc_id"), marks).join(F.broadcast(sample), "doc_id")
+        return materialise(resample(docs, target), stays=True)

@@ -195,3 +195,29 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key long")
     for k in (1, 50, 137, 200):
         assert resampling.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
+
+
+def test_resampling_against_brute_force(spark, prose_of):
+    """Weights from plain counters, and the draw as the largest noisy weights."""
+    import math
+    from collections import Counter
+
+    texts = {i: prose_of(5 + i % 40, i) for i in range(120)} | {500: "", 501: None, 502: "... !", 503: "One, two: one two"}
+    buckets = {i: resampling.ngram_buckets(t, resampling.Hashes()).tolist() for i, t in texts.items()}
+    words = {i: [w for t in (x or "").lower().split() if (w := resampling.bare(t))] for i, x in texts.items()}
+    assert all(len(buckets[i]) == max(0, 2 * len(words[i]) - 1) for i in texts)
+    wanted = [i for i in range(120) if i % 6 == 0]
+    raw, target = Counter(b for own in buckets.values() for b in own), Counter(b for i in wanted for b in buckets[i])
+    size = resampling.BUCKETS
+    weight = {i: sum(math.log((target[b] + 1) / (target.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size)) for b in own) for i, own in buckets.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in resampling.resample(df.repartition(3), df.filter("doc_id < 120 and doc_id % 6 = 0"), 0.3).collect()}
+    assert all(got[i]["log_weight"] == pytest.approx(weight[i]) and got[i]["n_grams"] == len(buckets[i]) for i in texts)
+    drawn = sorted((i for i in texts if buckets[i]), key=lambda i: -got[i]["noisy"])[: round(0.3 * 121)]
+    assert {i for i in texts if got[i]["selected"]} == set(drawn)
+
+
+def test_noise_of_null_ids_comes_from_their_texts(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "c d"), (None, "c d"), (1, "a b")], "doc_id long, text string")
+    noise = [(r["doc_id"], r["noisy"] - r["log_weight"]) for r in resampling.resample(df, df, 0.5).collect()]
+    assert len({round(x, 9) for i, x in noise if i is None}) == 2
