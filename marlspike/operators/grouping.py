@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import NUMERIC, STR, field_of, kind_of
+from ..functions.kinds import NUMERIC, STR, field_of, fresh, kind_of
+from ..plans.order import SMALL_BYTES, growing, is_small
 
 STRICT = "Only string columns can be used as group keys for now"
 
@@ -54,9 +55,38 @@ NUMERIC_AGGREGATES = {
 }
 
 
-def group_by(df: DataFrame, keys: list[str] | str, aggregates: list[tuple], order_by: list[str] = (), strict: bool = False) -> DataFrame:
-    """aggregates: (function,) or (function, column)."""
+def medians(df: DataFrame, keys: list[str], name: str, small_bytes: int) -> DataFrame:
+    """keys and {name}_median, without a group's values in one task: counts of values get their places in the order of
+    keys and values over the whole table, from which those of the groups before are taken off."""
+    x, n, upto, total, groups = fresh(df.select(*keys), "x_", "n_", "upto_", "total_", "groups_")
+    counts = df.filter(F.col(name).isNotNull()).groupBy(*keys, F.col(name).cast("double").alias(x)).agg(F.count(F.lit(1)).alias(n))
+    placed = growing(counts, [*keys, x], {upto: F.col(n)}, small_bytes).alias("p")
+    whole = growing(counts.groupBy(*keys).agg(F.sum(n).alias(total)), keys, {groups: F.col(total)}, small_bytes).alias("g")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"p.`{k}`").eqNullSafe(F.col(f"g.`{k}`"))
+    last = F.col(upto) - (F.col(groups) - F.col(total))  # the place behind the last cell of this value, within the group
+    holds = lambda k: ((last > k) & (last - F.col(n) <= k)).cast("int")
+    weight = holds(F.floor((F.col(total) - 1) / 2)) + holds(F.floor(F.col(total) / 2))
+    halves = placed.join(whole, same).select(*[F.col(f"p.`{k}`").alias(k) for k in keys], (F.col(x) * weight / 2).alias(x), weight.alias(n)).filter(F.col(n) > 0)
+    return halves.groupBy(*keys).agg(F.sum(x).alias(f"{name}_median"))
+
+
+def group_by(df: DataFrame, keys: list[str] | str, aggregates: list[tuple], order_by: list[str] = (), strict: bool = False, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """aggregates: (function,) or (function, column). Medians beyond small tables are found by places and joined."""
     keys = checked_keys(df, keys, strict)
+    large = [a for a in aggregates if a[0] == "median" and keys and kind_of(field_of(df, a[1])) in NUMERIC]
+    if large and not is_small(df, small_bytes):
+        rest = [a for a in aggregates if a not in large] or [("count",)]
+        out = df.groupBy(*keys).agg(*[aggregate(df, *a, order_by=order_by, strict=strict) for a in rest])
+        for _, name in large:
+            own = medians(df, keys, name, small_bytes)
+            renamed = own.select(*[F.col(k).alias(f"{k} of {name}") for k in keys], f"{name}_median")
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`{k} of {name}`"))
+            out = out.join(renamed, same, "left").drop(*[f"{k} of {name}" for k in keys])
+        return out.select(*keys, *[a[0] if len(a) == 1 else f"{a[1]}_{a[0]}" for a in aggregates])
     return df.groupBy(*keys).agg(*[aggregate(df, *a, order_by=order_by, strict=strict) for a in aggregates])
 
 

@@ -1,4 +1,8 @@
-"""Statistics of whole columns: one aggregation each, percentiles exact."""
+"""Statistics of whole columns: one aggregation each, percentiles exact.
+
+Spark's exact percentile holds all distinct values of a column in one task. Beyond small tables values are found by
+their places instead: counts of values, and running sums of the counts that are taken in buckets.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import NUMERIC, PLAIN, fresh, kind_of, need
+from ..plans.order import SMALL_BYTES, growing, is_small
 
 MOMENTS = "Statistical operations only supported on numeric columns"
 PAIRS = "Correlation only supported on numeric columns"
@@ -21,17 +26,39 @@ def at_place(c: str, n: int, k: int) -> Column:
     return F.expr(f"percentile_disc({(k + 0.5) / n!r}D) WITHIN GROUP (ORDER BY `{c}`)").cast("double")
 
 
-def describe(df: DataFrame) -> DataFrame:
+def values_at(df: DataFrame, c: str, places: list[int], small_bytes: int) -> dict[int, float]:
+    """The values of a column at these places, from 0, of its sorted cells that are not null."""
+    counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = growing(counts, ["x"], {"upto": F.col("n")}, small_bytes)
+    hit = F.lit(False)
+    for k in places:
+        hit = hit | ((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
+    found = [(r["upto"] - r["n"], r["upto"], r["x"]) for r in upto.filter(hit).collect()]  # a row for each place at most
+    return {k: next(x for low, high, x in found if low <= k < high) for k in places}
+
+
+def between(n: int, q: float) -> tuple[int, int, float]:
+    """(place below, place above, share of the one above) of a quantile of n values."""
+    at = q * (n - 1)
+    return int(at), min(int(at) + 1, n - 1), at - int(at)
+
+
+def describe(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """statistic and a column for each numeric column. Quartiles are values at n/4 and 3n/4; the median is interpolated."""
     names = numeric_columns(df)
     spark = df.sparkSession
     if not names:
         return spark.createDataFrame([(s,) for s in DESCRIBED], "statistic string")
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    parts = []
+    parts, small = [], is_small(df, small_bytes)
     for i, c in enumerate(names):
         n, x = counts[i], F.col(c).cast("double")
-        quarters = [at_place(c, n, n // 4), F.median(x), at_place(c, n, 3 * n // 4)] if n else [F.lit(0.0)] * 3
+        if n and not small:
+            low, high, share = between(n, 0.5)
+            at = values_at(df, c, sorted({n // 4, low, high, 3 * n // 4}), small_bytes)
+            quarters = [F.lit(v) for v in (at[n // 4], at[low] * (1 - share) + at[high] * share, at[3 * n // 4])]
+        else:
+            quarters = [at_place(c, n, n // 4), F.median(x), at_place(c, n, 3 * n // 4)] if n else [F.lit(0.0)] * 3
         parts.append([F.lit(float(n)), *[F.coalesce(v, F.lit(0.0)) for v in (F.avg(x), F.stddev_pop(x), F.min(x), quarters[0], quarters[1], quarters[2], F.max(x))]])
     row = df.agg(*[F.array(*p).alias(f"v{i}") for i, p in enumerate(parts)])
     pos = row.select("*", F.posexplode(F.array(*map(F.lit, DESCRIBED))).alias("place", "statistic"))
@@ -109,10 +136,14 @@ def kurtosis(df: DataFrame, c: str) -> float:
     return df.agg(excess_kurtosis(c)).first()[0]
 
 
-def quantile(df: DataFrame, c: str, q: float) -> float:
+def quantile(df: DataFrame, c: str, q: float, small_bytes: int = SMALL_BYTES) -> float:
     if not 0.0 <= q <= 1.0:
         raise ValueError("Quantile must be between 0.0 and 1.0")
     need(df, c, NUMERIC, MOMENTS)
+    if not is_small(df, small_bytes) and (n := df.agg(F.count(c)).first()[0]):
+        low, high, share = between(n, q)
+        at = values_at(df, c, sorted({low, high}), small_bytes)
+        return at[low] * (1 - share) + at[high] * share
     found = df.agg(F.percentile(F.col(c).cast("double"), F.lit(q))).first()[0]
     if found is None:
         raise ValueError("Cannot calculate quantile for empty column")

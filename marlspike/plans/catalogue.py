@@ -172,6 +172,8 @@ register("join_null_keys", lambda s, d: joins.inner_join(null_keys(s, d, "a"), n
 for _f, _sql in [("sum", "sum(l_extendedprice)"), ("mean", "avg(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)"), ("std", "stddev_pop(l_extendedprice)"), ("var", "var_pop(l_extendedprice)"), ("median", "median(l_extendedprice)")]:
     _digits = 2 if _f in ("sum", "var") else 4
     register(f"gb_{_f}", lambda s, d, f=_f, n=_digits: rounded(grouping.group_by(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], [(f, "l_extendedprice")]), f"l_extendedprice_{f}", digits=n), f"SELECT l_returnflag, l_linestatus, round({_sql}, {_digits}) AS l_extendedprice_{_f} FROM lineitem GROUP BY 1, 2")
+register("gb_median_places", lambda s, d: rounded(grouping.group_by(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], [("median", "l_extendedprice"), ("count",)], small_bytes=0), "l_extendedprice_median"), "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS l_extendedprice_median, count(*) AS count FROM lineitem GROUP BY 1, 2")
+register("gb_median_null_key_places", lambda s, d: rounded(grouping.group_by(prioritised(s, d), "p", [("median", "o_totalprice")], small_bytes=0), "o_totalprice_median"), f"SELECT p, round(median(o_totalprice), 4) AS o_totalprice_median FROM {PRIORITISED} GROUP BY 1")
 for _f in ("count", "size"):
     register(f"gb_{_f}", lambda s, d, f=_f: grouping.group_by(table(s, d, "lineitem"), "l_returnflag", [(f,)]), f"SELECT l_returnflag, count(*) AS {_f} FROM lineitem GROUP BY 1")
 register("gb_multi_agg", lambda s, d: rounded(grouping.group_by(table(s, d, "orders"), "o_orderpriority", [("count",), ("mean", "o_totalprice"), ("max", "o_totalprice")]), "o_totalprice_mean"), "SELECT o_orderpriority, count(*) AS count, round(avg(o_totalprice), 4) AS o_totalprice_mean, max(o_totalprice) AS o_totalprice_max FROM orders GROUP BY 1")
@@ -187,6 +189,7 @@ register("gb_apply", lambda s, d: grouping.group_apply(table(s, d, "nation").sel
 # statistics
 register("describe", lambda s, d: rounded(stats.describe(table(s, d, "orders").select("o_totalprice")), "o_totalprice"), """WITH a AS (SELECT list_sort(list(o_totalprice)) AS v, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, median(o_totalprice) AS md FROM orders)
 SELECT unnest(['count', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS statistic, round(unnest([CAST(len(v) AS DOUBLE), m, sd, v[1], v[len(v) // 4 + 1], md, v[3 * len(v) // 4 + 1], v[len(v)]]), 4) AS o_totalprice FROM a""")
+register("describe_places", lambda s, d: rounded(stats.describe(table(s, d, "orders").select("o_totalprice"), small_bytes=0), "o_totalprice"), SQL["describe"])
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
 for _m, _f in (("corr", "corr"), ("cov", "covar_pop")):
     register(f"{_m}_matrix", lambda s, d, m=_m: rounded(getattr(stats, m)(table(s, d, "lineitem").select(*NUMBERS)), *NUMBERS, digits=3), " UNION ALL ".join(f"SELECT '{a}' AS \"column\", " + ", ".join(f"round({_f}({a}, {b}), 3) AS {b}" for b in NUMBERS) + " FROM lineitem" for a in NUMBERS))
@@ -201,6 +204,7 @@ def value(s, kind: str, name: str, v) -> DataFrame:
 
 
 register("quantile", lambda s, d: value(s, "double", "q", round(stats.quantile(table(s, d, "orders"), "o_totalprice", 0.9), 4)), "SELECT round(quantile_cont(o_totalprice, 0.9), 4) AS q FROM orders")
+register("quantile_places", lambda s, d: value(s, "double", "q", round(stats.quantile(table(s, d, "orders"), "o_totalprice", 0.9, small_bytes=0), 4)), SQL["quantile"])
 register("mode", lambda s, d: stats.modes(table(s, d, "events"), "event_type", ["event_id"]), "SELECT event_type AS mode FROM events GROUP BY 1 ORDER BY count(*) DESC, max(event_id) LIMIT 1")
 register("nunique", lambda s, d: value(s, "bigint", "n", stats.nunique(prioritised(s, d), "p")), f"SELECT count(DISTINCT p) AS n FROM {PRIORITISED}")
 register("value_counts", lambda s, d: stats.value_counts(prioritised(s, d), "p"), f"SELECT p, count(*) AS count FROM {PRIORITISED} WHERE p IS NOT NULL GROUP BY 1")
