@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, materialise, scratch, smaller_batches, table, text_chunks
+from .common import CHUNK_CHARS, give_back_memory, materialise, scratch, smaller_batches, table, text_chunks
 
 TERMS = 1 << 14
 RANK = 128
@@ -63,7 +63,7 @@ def bare(token: str) -> str:
 @lru_cache(maxsize=1)
 def kinds_of_points() -> np.ndarray:
     """For each code point 0 if it is white space, 1 if a word can begin and end with it, else 2."""
-    return np.array([0 if c.isspace() else 1 if c.isalnum() else 2 for c in map(chr, range(0x110000))], np.uint8)
+    return np.fromiter((0 if c.isspace() else 1 if c.isalnum() else 2 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
 @lru_cache(maxsize=2)
@@ -173,12 +173,13 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "part"])
 
         out = np.zeros_like(basis)
-        # rows of a few thousand passages: the sums stay below TERMS x rank for each of few tasks
-        for term, part in passages.mapInArrow(run, "term bigint, part array<float>").toLocalIterator():
-            out[term] += np.asarray(part, np.float32)
+        # rows of a few thousand passages: the sums stay below TERMS x rank for each of few tasks, and no batch holds a term twice
+        for batch in passages.mapInArrow(run, "term bigint, part array<float>").toArrow().to_batches():
+            out[batch.column(0).to_numpy()] += batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
         held.unpersist()
         basis, r = np.linalg.qr(out)
-    u, s, _ = np.linalg.svd(r)
+        del out
+    u = np.linalg.svd(r)[0]
     space = (basis @ u)[:, :rank]
     return np.concatenate([space, np.zeros((1, rank), np.float32)]).astype(np.float32)
 
@@ -356,14 +357,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for block in range(blocks):
             own = items.filter(F.col("block") == block)
             rows = [tuple(r) for r in own.select("item_id", "text").collect()]
-            passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(8)
+            passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(4)
             space = covering(latent_space(passages, idf), idf, [text for _, text in rows])
             if block % PASS_BLOCKS == 0:
                 passes.append([])
             passes[-1].append(compared(rows, idf, space))
+            del space
+            give_back_memory()
     results = None
     for parts in passes:
         held = spark.sparkContext.broadcast((parts, idf))
+        parts.clear()
 
         def run(batches, held=held):
             parts, idf = held.value
@@ -378,6 +382,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         found = docs.mapInArrow(run, schema)
         results = found if results is None else results.union(found)
+    give_back_memory()
     best = results.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "answered", "cosine", "kind")).alias("b"))
     return best.select("doc_id", "item_id", *[f"b.{c}" for c in ("cosine", "covered", "answered", "kind")])
 
