@@ -19,6 +19,15 @@ from .session import session
 from .sources import records, tables
 
 
+#: Rows that an operation which has to hold them on the driver takes; more are an error.
+DRIVER_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, what: str, instead: str) -> None:
+    if df.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+        raise ValueError(f"{what} holds all rows on the driver, of which there are more than {DRIVER_ROWS}: {instead}")
+
+
 class Col:
     """A column of a frame as it was when asked for."""
 
@@ -139,11 +148,13 @@ class Frame:
         self.df = columns.cast_column(self.df, name, target)
 
     def edit_column(self, name: str, func, returns: T.DataType | str | None = None) -> None:
-        """Without a type, results are collected and their kind is found as for records; with one it stays distributed."""
+        """Without a type, results are collected, of DRIVER_ROWS rows at most, and their kind is found as for records; with one it
+        stays distributed."""
         if returns is not None:
             self.df = columns.edit_column(self.df, name, func, returns)
             return
         field_of(self.df, name)
+        bounded(self.df, "edit_column without a type", "pass returns")
         rows = [r | {name: func(r[name])} for r in self]
         self.df, self.order_by = (records.from_dicts(self.df.sparkSession, rows), [records.ORDER]) if rows else (self.df, self.order_by)
 
@@ -355,7 +366,8 @@ class GroupBy:
 
     @property
     def groups(self) -> dict[tuple, list[int]]:
-        """Places of each group's rows, on the driver: for small frames."""
+        """Places of each group's rows, on the driver: of DRIVER_ROWS rows at most."""
+        bounded(self.frame.df, "groups", "use agg")
         out: dict[tuple, list[int]] = {}
         for i, row in enumerate(self.frame):
             out.setdefault(tuple(row[k] for k in self.keys), []).append(i)

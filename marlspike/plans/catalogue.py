@@ -6,7 +6,7 @@ are made with nullif.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import Frame
@@ -100,7 +100,9 @@ def placed(frame: Frame) -> DataFrame:
 
 
 SORTED = "SELECT *, row_number() OVER (ORDER BY size DESC NULLS FIRST, p_brand, p_partkey) - 1 AS at FROM (SELECT p_partkey, p_brand, nullif(p_size, 7) AS size FROM part)"
-register("sort_multi", lambda s, d: placed(sorted_part(s, d)), SORTED)
+# the places by the frame's order column, and as its iterator yields the rows
+register("sort_multi", lambda s, d: (f := sorted_part(s, d)).df.select(*f.columns, (F.row_number().over(Window.orderBy(*f.order_by)) - 1).cast("bigint").alias("at")), SORTED)
+register("sort_iterated", lambda s, d: placed(sorted_part(s, d)), SORTED)
 register("sort_then_change", lambda s, d: placed(renamed(sorted_part(s, d))), SORTED.replace("SELECT *,", "SELECT p_partkey, size AS width,"))
 
 

@@ -244,3 +244,18 @@ def test_places_are_the_same_with_ties_and_many_buckets(spark):
     df = spark.range(5000).select(F.col("id"), (F.xxhash64("id") % 40).alias("k"))
     placed = [{r["id"]: r["at"] for r in order.indexed(df.repartition(n), ["k"], "at", buckets).collect()} for n, buckets in ((3, 1), (5, 7), (2, 100))]
     assert placed[0] == placed[1] == placed[2] and sorted(placed[0].values()) == list(range(5000))
+
+
+def test_driver_rows_are_bounded(spark, monkeypatch):
+    from marlspike import frame as m
+
+    own = Frame.from_dicts([{"k": "x", "n": i} for i in range(5)], spark)
+    monkeypatch.setattr(m, "DRIVER_ROWS", 5)
+    assert own.groupby("k").groups == {("x",): [0, 1, 2, 3, 4]}
+    monkeypatch.setattr(m, "DRIVER_ROWS", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        own.groupby("k").groups
+    with pytest.raises(ValueError, match="pass returns"):
+        own.edit_column("n", lambda v: v + 1)
+    own.edit_column("n", lambda v: v + 1, "bigint")
+    assert [r["n"] for r in own] == [1, 2, 3, 4, 5]
