@@ -221,3 +221,53 @@ def test_noise_of_null_ids_comes_from_their_texts(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "c d"), (None, "c d"), (1, "a b")], "doc_id long, text string")
     noise = [(r["doc_id"], r["noisy"] - r["log_weight"]) for r in resampling.resample(df, df, 0.5).collect()]
     assert len({round(x, 9) for i, x in noise if i is None}) == 2
+
+
+def test_trees_against_plain_descent_and_exhaustive_split():
+    """Flattened trees give what a walk from node to node gives, and the first split is the best of all cuts."""
+    rng = np.random.default_rng(4)
+    k = len(quality_rules.FEATURES)
+    x = rng.random((300, k))
+    y = (x[:, 2] + x[:, 5] * x[:, 0] + rng.normal(0, 0.1, 300) > 0.9).astype(float)
+    forest = quality_rules.fit_forest(x, y, 12)
+
+    def walk(row):
+        total = forest.start
+        for root in forest.roots:
+            node = root
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert forest.score(x) == pytest.approx([walk(row) for row in x])
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = y - rate, np.full(len(y), rate * (1 - rate))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+
+    def allowed(f, m):
+        sign = quality_rules.MONOTONIC.get(quality_rules.FEATURES[f], 0)
+        left, right = (g[s].sum() / (h[s].sum() + 2.0) for s in (m, ~m))
+        return sign * (right - left) >= 0
+
+    cuts = [(gain(m) + gain(~m), f) for f in range(k) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_rules.BINS + 1)[1:-1])) if h[m := x[:, f] <= c].sum() >= 1 and h[~m].sum() >= 1 and allowed(f, m)]
+    assert forest.feature[forest.roots[0]] == max(cuts)[1]
+
+
+def test_languages_of_rows_not_learnt_from(spark, small):
+    from pyspark.sql import functions as F
+
+    got = language_id.op3_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
+    held = got.filter("held_out AND lang IS NOT NULL").filter(F.length("text") > 0)
+    assert held.count() > 20 and held.filter("lang = lang_pred").count() >= 0.95 * held.count()
+
+
+def test_toxicity_of_rows_not_learnt_from(spark, small):
+    import os
+
+    larger = f"{os.path.dirname(small)}/sf0.01"  # the smallest tables have too few toxic rows to learn from
+    if not os.path.isdir(larger):
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    rows = [(r["toxic"], r["predicted"]) for r in toxicity.op7_toxicity(spark, larger).filter("held_out").join(labels, "doc_id").collect()]
+    assert len(rows) > 100 and np.mean([a == b for a, b in rows]) >= 0.95
