@@ -42,6 +42,8 @@ CHUNK = 1 << 10
 LEAST_SIZE = 4
 #: Times that sets with a common slice of the prefix are compared with the first of those that are left.
 LEADERS = 3
+#: Words of 64 bits in the wide bitmap of a set that is a candidate.
+WIDE = 4
 #: Level (four times the logarithm of the count) from which words are posted by classes of sizes.
 CLASSED = 24
 #: Ratio of sizes within a class.
@@ -90,14 +92,13 @@ def with_words(lines: DataFrame, levels: DataFrame) -> DataFrame:
 def line_sets(docs: DataFrame, levels: DataFrame) -> DataFrame:
     """h, place, own (size, bits, prefix) of every line with words. A prefix holds 6 bits of level and 26 of the hash."""
     size = F.size("s")
-    parity = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("s", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
     folded = F.transform(prefix, lambda w: (F.shiftleft(F.shiftright(w, 56), 26).bitwiseOR(w.bitwiseAND(F.lit((1 << 26) - 1))) - (1 << 31)).cast("int"))
     long = size >= LEAST_SIZE
     return with_words(lines_of(docs), levels).select(
         F.xxhash64("s").alias("h"),
         F.struct("doc_id", "line_no").alias("place"),
-        F.struct(size.alias("size"), F.when(long, parity).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
+        F.struct(size.alias("size"), F.when(long, parity("s")).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
     )
 
 
@@ -108,7 +109,8 @@ EARLIER = "(y_doc < x_doc OR (y_doc IS NULL AND x_doc IS NOT NULL) OR (y_doc <=>
 
 
 def words_of(ids: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
-    """id, doc_id, line_no, s of these sets: their words, read again from the lines at their places."""
+    """id, doc_id, line_no, s, size, wide of these sets: their words, read again from the lines at their places, and the parity of
+    the words in each of 64 * WIDE buckets."""
     own = marked(sets.select("id", "h", "place"), slot_of("id"), bitmap(ids.select(slot_of("id").alias("slot")).distinct()))
     own = materialise(own.join(ids, "id", "left_semi").select("id", "h", "place.doc_id", "place.line_no"))
     at_place = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(BITMAP_BITS))
@@ -116,11 +118,27 @@ def words_of(ids: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame
     lines = marked(lines_of(lines), at_place, bitmap(own.select(at_place.alias("slot")).distinct()))
     # another line of an equal set is as good as the first one
     read = with_words(lines, levels).select(F.xxhash64("s").alias("h"), "s").groupBy("h").agg(F.first("s").alias("s"))
-    return materialise(own.join(read, "h").drop("h"))
+    wide = F.array(*[parity("s", 6 + 6 * WIDE.bit_length(), 6, k) for k in range(WIDE)])
+    return materialise(own.join(read, "h").drop("h").withColumns({"size": F.size("s"), "wide": wide}))
+
+
+def parity(words: str, part_at: int = 0, bit_at: int = 0, part: int | None = None) -> Column:
+    """The parity of the words in each of 64 buckets, of those words alone, with a part, that it falls to among WIDE."""
+
+    def flipped(acc: Column, w: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, bit_at).bitwiseAND(F.lit(63)).cast("int"))
+        return acc.bitwiseXOR(bit if part is None else F.when(F.shiftright(w, part_at).bitwiseAND(F.lit(WIDE - 1)) == part, bit).otherwise(F.lit(0).cast("bigint")))
+
+    return F.aggregate(words, F.lit(0).cast("bigint"), flipped)
 
 
 def later_of_similar(pairs: DataFrame, read: DataFrame) -> DataFrame:
     """id of the sets that resemble an earlier one of their pairs (a, b)."""
+    # long lines pass a bitmap of 64 bits by chance: a wider one is compared before their words are sent for
+    slim = lambda x, key: read.select(F.col("id").alias(key), F.col("size").alias(f"{x}_size"), F.col("wide").alias(f"{x}_wide"))
+    differ = " + ".join(f"bit_count(x_wide[{k}] ^ y_wide[{k}])" for k in range(WIDE))
+    pairs = pairs.join(slim("x", "a"), "a").join(slim("y", "b"), "b").filter(f"(x_size + y_size - ({differ})) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (x_size + y_size) - 1e-9").select("a", "b")
+    pairs = materialise(pairs)
     side = lambda x, key: read.select(F.col("id").alias(key), F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("s").alias(x + "_s"))
     both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
     shared = F.size(F.array_intersect("x_s", "y_s"))
