@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
-from .common import smaller_batches, text_chunks
+from .common import freed, smaller_batches, text_chunks
 
 NONE = 1 << 62
 NO_RANK = 1 << 20
 #: Pieces that a worker remembers; when full, the cache is emptied and filled again.
 CACHE_PIECES = 500_000
+#: Of more than these a worker keeps none when a task ends.
+KEPT_PIECES = 150_000
 #: Bytes of the longest piece that is merged together with others.
 WIDEST = 64
 Piece = tuple[int, str, bytes]
@@ -293,9 +295,11 @@ def bpe_encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         for rows, texts in text_chunks(batches):
             made = list(zip(*own.outputs(texts, outputs), strict=True))
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, f.type) for x, f in zip(made, fields, strict=True))], names=[id_col, *outputs])
+        if len(own.cache) > KEPT_PIECES:
+            own.cache.clear()
 
     schema = ", ".join([f"`{id_col}` {id_type}", *(f"{n} {SQL_TYPES[n]}" for n in outputs)])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(freed(run), schema)
 
 
 def op4_bpe_encoding(spark, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def scratch(spark: SparkSession):
 
 
 def give_back_memory() -> None:
-    """Return what the driver's Python has freed to the system: the driver's JVM, and later steps, need it."""
+    """Return what this process has freed to the system: a JVM beside it, and later steps, need it."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -113,6 +113,16 @@ def give_back_memory() -> None:
         return
 
 
+def freed(run):
+    """run, for mapInArrow: when a task ends, its worker, which later stages use again, keeps none of its memory."""
+
+    def own(batches):
+        yield from run(batches)
+        give_back_memory()
+
+    return own
+
+
 def is_split(key: str, modulus: int, remainder: int):
     """True for rows whose crc32 of the id as text has this remainder; a null id has none."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))

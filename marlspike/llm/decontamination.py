@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, give_back_memory, materialise, scratch, smaller_batches, table, text_chunks
+from .common import freed, give_back_memory, materialise, scratch, smaller_batches, table, text_chunks
 
 TERMS = 1 << 14
 RANK = 128
@@ -51,6 +51,8 @@ COSINE = 0.4
 VERBATIM = 0.7
 PARAPHRASE = 0.5
 ANSWER = 0.8
+#: Characters that are hashed at once, at about 100 bytes each.
+CHUNK = 500_000
 MIX = 0x9E3779B97F4A7C15
 SPACE = re.compile(r"\s")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -66,7 +68,7 @@ def kinds_of_points() -> np.ndarray:
     return np.fromiter((0 if c.isspace() else 1 if c.isalnum() else 2 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of MIX and of its inverse, modulo 2 ** 64."""
     one = np.ones(1, np.uint64)
@@ -74,9 +76,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(text: str):
-    """text in pieces of about CHUNK_CHARS, cut at white space."""
+    """text in pieces of about CHUNK, cut at white space."""
     start = 0
-    while len(text) - start > CHUNK_CHARS and (cut := SPACE.search(text, start + CHUNK_CHARS)):
+    while len(text) - start > CHUNK and (cut := SPACE.search(text, start + CHUNK)):
         yield text[start : cut.start()]
         start = cut.start()
     yield text[start:]
@@ -87,7 +89,7 @@ def token_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Tokens are those of str.split(). Their hashes are differences of one running sum over all characters.
     """
-    if len(texts) == 1 and texts[0] and len(texts[0]) > 2 * CHUNK_CHARS:
+    if len(texts) == 1 and texts[0] and len(texts[0]) > 2 * CHUNK:
         parts = [token_terms([x])[0] for x in pieces(texts[0])]
         return np.concatenate(parts), np.array([sum(map(len, parts))])
     lowered = [t.lower() if t else "" for t in texts]
@@ -126,7 +128,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         df, n = np.zeros(TERMS + 1, np.int64), 0
-        for _, texts in text_chunks(batches, 0):
+        for _, texts in text_chunks(batches, 0, CHUNK):
             n += len(texts)
             ids, counts = token_terms(texts)
             doc, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
@@ -140,7 +142,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     out = np.zeros(TERMS + 1, np.int64)
-    for term, n in docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for term, n in docs.select("text").mapInArrow(freed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[term] = n
     return out[:TERMS], int(out[TERMS])
 
@@ -174,7 +176,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.n
 
         out = np.zeros_like(basis)
         # rows of a few thousand passages: the sums stay below TERMS x rank for each of few tasks, and no batch holds a term twice
-        for batch in passages.mapInArrow(run, "term bigint, part array<float>").toArrow().to_batches():
+        for batch in passages.mapInArrow(freed(run), "term bigint, part array<float>").toArrow().to_batches():
             out[batch.column(0).to_numpy()] += batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
         held.unpersist()
         basis, r = np.linalg.qr(out)
@@ -372,7 +374,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, held=held):
             parts, idf = held.value
             searchers = [Searcher(rows, near, idf) for rows, near in parts]
-            for part, texts in text_chunks(batches):
+            for part, texts in text_chunks(batches, max_chars=CHUNK):
                 found = [f for searcher in searchers for f in searcher.search(texts)]
                 if found:
                     at = [f[0] for f in found]
@@ -380,7 +382,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     verbatim = ["verbatim" if f[3] >= VERBATIM else "paraphrase" for f in found]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(c) for c in columns[1:]), pa.array(verbatim)], names=["doc_id", "item_id", "cosine", "covered", "answered", "kind"])
 
-        found = docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(freed(run), schema)
         results = found if results is None else results.union(found)
     give_back_memory()
     best = results.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "answered", "cosine", "kind")).alias("b"))

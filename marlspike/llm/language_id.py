@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_split, smaller_batches, table, text_chunks
+from .common import freed, is_split, smaller_batches, table, text_chunks
 from .toxicity import FOLD
 
 ROWS_EACH = 4000
@@ -239,7 +239,7 @@ def train_languages(docs: DataFrame, rows_each: int = ROWS_EACH) -> LanguageMode
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(held[at])], names=["lang", "code", "n"])
 
-    found = sample.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(freed(run), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), (1 << 18) + len(SCRIPT_NAMES)))
     row = np.array([languages.index(x) for x in found.column(0).to_pylist()], np.int64)
     counts[row, found.column(1).to_numpy().astype(np.int64)] = found.column(2).to_numpy()
@@ -264,7 +264,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, spans: bool = True
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(columns)])
 
     schema = f"doc_id {kind}, lang_pred string, score double, n_spans bigint" + ", spans array<struct<lang:string,start:bigint,stop:bigint>>" * spans
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 SIMILARITY = 0.8
 WORDS_EACH = 5
@@ -63,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=200_000)
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid bigint, n bigint, b0 bigint, b1 bigint, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {kind}, sid bigint, n bigint, b0 bigint, b1 bigint, sig array<int>")
 
 
 def sketch_agrees(a: str, b: str) -> str:
@@ -141,7 +141,7 @@ def texts_of(sids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), part.column(0), part.column(1)], names=["sid", "doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = found.mapInArrow(run, f"sid bigint, doc_id {kind}, text string").alias("t").join(own.alias("o"), (F.col("t.sid") == F.col("o.sid")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
+    read = found.mapInArrow(freed(run), f"sid bigint, doc_id {kind}, text string").alias("t").join(own.alias("o"), (F.col("t.sid") == F.col("o.sid")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")))
     return read.select("t.sid", "t.text").groupBy("sid").agg(F.min("text").alias("text"))
 
 
@@ -230,7 +230,7 @@ def distances(members: DataFrame) -> DataFrame:
                 far.append((len(pivot) - shared + SIMILARITY * (len(own) - shared)) / len(pivot))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(far, pa.float64())], names=["sid", "class", "text", "far"])
 
-    return members.select("sid", "class", "text", "pivot_text").mapInArrow(run, "sid bigint, class bigint, text string, far double")
+    return members.select("sid", "class", "text", "pivot_text").mapInArrow(freed(run), "sid bigint, class bigint, text string, far double")
 
 
 def compared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

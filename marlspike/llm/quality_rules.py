@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 SAMPLE_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -191,7 +191,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int) ->
         for part, texts in text_chunks(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([statistics(t)[1] for t in texts], pa.list_(pa.float64())), part.column(1).cast(pa.int32())], names=["x", "y"])
 
-    found = read.mapInArrow(run, "x array<double>, y int").toArrow()
+    found = read.mapInArrow(freed(run), "x array<double>, y int").toArrow()
     return np.array(found.column(0).to_pylist(), float).reshape(-1, len(FEATURES)), np.array(found.column(1).to_pylist(), float)
 
 
@@ -212,7 +212,7 @@ def judge_quality(docs: DataFrame, forest: Forest, keep: float = KEEP) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "base_failed", "score", "kept"])
 
     counts = ", ".join(f"{c} bigint" for c in BASE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, score double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {kind}, {counts}, base_failed boolean, score double, kept boolean")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

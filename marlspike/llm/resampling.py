@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 from .decontamination import bare
 
 BUCKETS = 1 << 14
@@ -63,7 +63,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
     smaller_batches(docs.sparkSession)
     out = np.zeros(BUCKETS)
-    for bucket, n in docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for bucket, n in docs.select("text").mapInArrow(freed(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[bucket] = n
     return out
 
@@ -95,7 +95,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame
             key = np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(weight), pa.array(noisy, mask=n == 0), pa.array(key, mask=n == 0)], names=["doc_id", "n_grams", "log_weight", "noisy", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_grams bigint, log_weight double, noisy double, key bigint")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), f"doc_id {kind}, n_grams bigint, log_weight double, noisy double, key bigint")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bitmap, give_back_memory, is_split, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, freed, give_back_memory, is_split, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 
 ORDER = 6
 BITS = 6
@@ -39,8 +39,8 @@ LABELLED_ROWS = 400_000
 CALIBRATION_ROWS = 20_000
 WINDOWS = (1, 8, 40)
 DISCOUNT = 0.75
-COUNTER_WORDS = 300_000
-CACHE_WORDS = 400_000
+COUNTER_WORDS = 200_000
+CACHE_WORDS = 250_000
 THRESHOLD = 0.7
 #: Letters of a word beyond these say nothing more; such words are strings without spaces, taken in pieces.
 PIECE = 48
@@ -240,8 +240,8 @@ def count_ngrams(train: DataFrame) -> DataFrame:
 
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
     sums = [F.sum(c).alias(c) for c in COUNTS]
-    by_word = train.select("text", "toxic", "half").mapInArrow(words, f"word string, {counts}").groupBy("word").agg(*sums)
-    return by_word.mapInArrow(grams, f"code bigint, {counts}").groupBy("code").agg(*sums)
+    by_word = train.select("text", "toxic", "half").mapInArrow(freed(words), f"word string, {counts}").groupBy("word").agg(*sums)
+    return by_word.mapInArrow(freed(grams), f"code bigint, {counts}").groupBy("code").agg(*sums)
 
 
 def collect_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +289,7 @@ def find_toxicity_model(docs: DataFrame, labels: DataFrame, calibration_rows: in
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(found), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     sample = F.broadcast(materialise(chosen(labels, calibration_rows)))
-    found = docs.join(sample, "doc_id").select("text", "toxic", "half").mapInArrow(calibrate, "toxic int, x array<double>").toArrow()
+    found = docs.join(sample, "doc_id").select("text", "toxic", "half").mapInArrow(freed(calibrate), "toxic int, x array<double>").toArrow()
     halves.unpersist()
     x, y = np.array(found.column("x").to_pylist(), float).reshape(-1, 2 + len(WINDOWS)), np.array(found.column("toxic").to_pylist(), float)
     model = fit_model(codes, t0 + t1, o0 + o1)
@@ -315,7 +315,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     own = docs.select(*names)
     schema = StructType([*own.schema.fields, StructField(score_col, DoubleType())])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(freed(run), schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_terms_are_those_of_bare_tokens(monkeypatch):
     assert len(set(decontamination.token_terms([" ".join(many)])[0].tolist())) > 900
     long = " ".join(random.Random(1).choices(tokens, k=900))
     whole = decontamination.token_terms([long])[0].tolist()
-    monkeypatch.setattr(decontamination, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(decontamination, "CHUNK", 50)
     assert decontamination.token_terms([long])[0].tolist() == whole == [known[decontamination.bare(t)] for t in long.split()]
 
 
