@@ -128,23 +128,35 @@ def is_split(key: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
+# Names that no table has, since rows of any table can be marked.
+SLOT, WORD_AT, MASK = "slot of marks", "word of marks", "mask of marks"
+
+
 def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """keys: column slot, distinct. (word_at, mask): at most bits / 64 rows."""
-    return keys.groupBy(F.expr("slot div 64").alias("word_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("mask"))
+    """keys: column slot, distinct. The words of the bitmap that are not 0: at most bits / 64 rows."""
+    return keys.groupBy(F.expr("slot div 64").alias(WORD_AT)).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias(MASK))
+
+
+def marked(df: DataFrame, slot: Column, marks: DataFrame, hit: bool = True) -> DataFrame:
+    """Rows of df whose slot is set in the bitmap, or the others."""
+    own = df.withColumn(SLOT, slot)
+    bit = F.expr(f"shiftright(`{MASK}`, CAST(`{SLOT}` % 64 AS INT)) & 1L")
+    joined = own.join(F.broadcast(marks), F.expr(f"`{SLOT}` div 64") == F.col(WORD_AT), "inner" if hit else "left")
+    return joined.filter(bit == 1 if hit else F.coalesce(bit, F.lit(0)) == 0).select(*df.columns)
 
 
-def marked(df: DataFrame, slot: Column, marks: DataFrame) -> DataFrame:
-    """Rows of df whose slot is set in the bitmap."""
-    own = df.withColumn("slot_", slot)
-    hit = F.expr("shiftright(mask, CAST(slot_ % 64 AS INT)) & 1L") == 1
-    return own.join(F.broadcast(marks), F.expr("slot_ div 64") == F.col("word_at")).filter(hit).select(*df.columns)
+def by_marks(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that may have one of these ids, of a column doc_id; rows that surely have none): so that only the first are shuffled."""
+    marks = materialise(bitmap(ids.select(slot_of("doc_id").alias("slot")).distinct()))
+    return tuple(marked(docs, slot_of("doc_id"), marks, hit) for hit in (True, False))
 
 
-def unmarked(df: DataFrame, slot: Column, marks: DataFrame) -> DataFrame:
-    """The other rows of df than those of marked()."""
-    own = df.withColumn("slot_", slot)
-    hit = F.expr("shiftright(mask, CAST(slot_ % 64 AS INT)) & 1L") == 0
-    return own.join(F.broadcast(marks), F.expr("slot_ div 64") == F.col("word_at"), "left").filter(F.col("mask").isNull() | hit).select(*df.columns)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id, null too, is not among gone's."""
+    gone = materialise(gone.select("doc_id").distinct())
+    maybe, other = by_marks(docs, gone)
+    own = gone.select(F.col("doc_id").alias("id that goes"))
+    return other.union(maybe.join(own, F.col("doc_id").eqNullSafe(F.col("id that goes")), "left_anti").select(*docs.columns))
 
 
 def slot_of(c: str, bits: int = BITMAP_BITS) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, give_back_memory, materialise, scratch, smaller_batches, table, text_chunks
+from .common import freed, give_back_memory, materialise, scratch, smaller_batches, table, text_chunks, without
 
 TERMS = 1 << 14
 RANK = 128
@@ -391,8 +391,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that contain an item; all columns stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["gone"]), "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP_BITS, bitmap, marked, materialise, scratch, slot_of, table, unmarked
+from .common import BITMAP_BITS, bitmap, by_marks, marked, materialise, scratch, slot_of, table
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 20
@@ -198,7 +198,7 @@ def resembling(sets: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame
     marks = materialise(bitmap(found.select(slot_of("id").alias("slot")).distinct()))
     maybe = marked(own, slot_of("id"), marks)
     settled = maybe.join(found, "id", "left_semi").drop("place")
-    unsettled = unmarked(own, slot_of("id"), marks).union(maybe.join(found, "id", "left_anti")).drop("place")
+    unsettled = marked(own, slot_of("id"), marks, False).union(maybe.join(found, "id", "left_anti")).drop("place")
     pairs = materialise(posting_pairs(unsettled, settled))
     read = words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, sets, levels)
     return found.union(later_of_similar(pairs, read)).distinct()
@@ -232,13 +232,15 @@ def remove_later_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose every line with a word go; those that had none stay as they are.
     """
-    found = kept_places(docs)
+    # rows of one doc_id may have lines of different numbers, of which kept holds all
+    found = kept_places(docs).filter("n_kept < n_lines")
+    maybe, other = by_marks(docs, found)
     found = found.select(*[F.col(c).alias(f"{c} of line dedup") for c in found.columns])  # no column of docs has such a name
     own, total, n, kept = (found[f"{c} of line dedup"] for c in ("doc_id", "n_lines", "n_kept", "kept"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(own), "left").filter(total.isNull() | (n > 0))
-    lines = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains(kept, i))
-    text = F.when(n < total, F.array_join(lines, "\n")).otherwise(docs["text"])
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = maybe.join(found, maybe["doc_id"].eqNullSafe(own), "left").filter(total.isNull() | (n > 0))
+    lines = F.filter(F.split(maybe["text"], "\n"), lambda line, i: ~F.regexp_like(line, F.lit(r"\S")) | F.array_contains(kept, i))
+    text = F.when(n < total, F.array_join(lines, "\n")).otherwise(maybe["text"])
+    return other.union(joined.select(*[text.alias("text") if c == "text" else maybe[c] for c in docs.columns]))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
+from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks, without
 
 SIMILARITY = 0.8
 WORDS_EACH = 5
@@ -351,8 +351,7 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those of a class but its smallest doc_id; all columns stay. Rows with a null id stay."""
-    found = near_duplicates(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["gone"], "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs).filter("doc_id != class_id"))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
