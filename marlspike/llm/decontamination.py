@@ -360,7 +360,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             own = items.filter(F.col("block") == block)
             rows = [tuple(r) for r in own.select("item_id", "text").collect()]
             passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(4)
-            space = covering(latent_space(passages, idf), idf, [text for _, text in rows])
+            space = latent_space(passages, idf)
+            give_back_memory()
+            space = covering(space, idf, [text for _, text in rows])
+            give_back_memory()
             if block % PASS_BLOCKS == 0:
                 passes.append([])
             passes[-1].append(compared(rows, idf, space))

@@ -42,6 +42,8 @@ CHUNK = 1 << 10
 LEAST_SIZE = 4
 #: Times that sets with a common slice of the prefix are compared with the first of those that are left.
 LEADERS = 3
+#: Least level of the words in these slices: those with a count of four.
+COMMON = 8
 #: Words of 64 bits in the wide bitmap of a set that is a candidate.
 WIDE = 4
 #: Level (four times the logarithm of the count) from which words are posted by classes of sizes.
@@ -149,9 +151,12 @@ def later_of_similar(pairs: DataFrame, read: DataFrame) -> DataFrame:
 
 def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
     """id of sets that resemble the first one, of those left, with a common slice of the prefix."""
-    by_value = F.sort_array("prefix")
-    keys = F.array(F.xxhash64(F.lit(1), F.slice("prefix", 1, 3)), F.xxhash64(F.lit(2), F.slice(by_value, 1, 4)), F.xxhash64(F.lit(3), F.reverse(F.slice(F.reverse(by_value), 1, 4))))
-    keyed = own.withColumn("k", F.explode(keys))
+    # words of a copy's own, which every change brings in, are left out: slices hold words that several lines have
+    common = F.filter("prefix", lambda w: w >= (COMMON << 26) - (1 << 31))
+    by_hash = F.sort_array(F.transform("common", lambda w: w.bitwiseAND(F.lit((1 << 26) - 1))))
+    sliced = own.withColumn("common", common).filter(F.size("common") > 0).withColumn("by_hash", by_hash)
+    keys = F.array(F.xxhash64(F.lit(1), F.slice("common", 1, 3)), F.xxhash64(F.lit(2), F.slice("by_hash", 1, 3)), F.xxhash64(F.lit(3), F.slice(F.reverse("by_hash"), 1, 3)))
+    keyed = sliced.withColumn("k", F.explode(keys))
     several = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(slot_of("k").alias("slot")).distinct()))
     left = materialise(marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), several))
     read = words_of(left.select("id").distinct(), docs, sets, levels)
