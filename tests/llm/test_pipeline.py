@@ -23,15 +23,17 @@ def test_stages(spark, small):
     assert {r["doc_id"]: r["n_tokens"] for r in last} == {i: len(codec.encode(t)) for i, t in texts.items()}
 
 
-def test_stages_on_awkward_input(spark, small, awkward, empty):
-    """Nulls, empty and repeated rows and clashing columns: every stage keeps the columns and the rows that it has no reason to drop."""
+def test_stages_on_awkward_input(spark, small, awkward):
+    """Nulls, empty and repeated rows and clashing columns: every stage keeps the columns and the rows that it has no reason to drop.
+
+    Empty tables are in the tests of the operators.
+    """
     docs = awkward.drop("n_tokens")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = corpus_pipeline.materialise(stage(spark, docs, small))
         assert got.columns == docs.columns, name
         ids = [r["doc_id"] for r in got.collect()]
         assert {1, 2, 3, 4, 6, None} <= set(ids) and len(ids) >= 6, name
-        assert stage(spark, docs.limit(0), small).count() == 0, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small)
     assert last.count() == 8 and {r["n_tokens"] for r in last.filter("doc_id in (2, 3)").collect()} == {0}
 
