@@ -10,8 +10,8 @@ with need not be kept itself. Lines without a word always stay.
 2. Equal sets are grouped to their first place with partial aggregation. Sets of fewer than four
    words can equal, but not resemble, another one and go no further.
 3. The |s| - ceil(t |s|) + 1 rarest words are a set's prefix. Slices of it that several sets have in common lead
-   each of these sets to the first of them, and those that do not resemble it to the first of what is left, LEADERS times:
-   that settles groups of near copies with as many comparisons as they have lines.
+   each of these sets to the first of them, and those that do not resemble it to the first of other parts of them, LEADERS
+   times in all: that settles groups of near copies with as many comparisons as they have lines.
 4. Of two similar sets the smaller one has a common word among its |s| - ceil(2t / (1 + t) |s|) + 1 rarest
    ones, which are posted, and the larger one in its prefix, which is looked up. Words of a high level are
    posted by classes of sizes besides, so that the length filter holds in the key. Two settled sets never meet.
@@ -40,8 +40,8 @@ BUCKETS = 1 << 20
 #: Rows of levels that are gathered to one array at a time.
 CHUNK = 1 << 10
 LEAST_SIZE = 4
-#: Times that sets with a common slice of the prefix are compared with the first of those that are left.
-LEADERS = 3
+#: Times that sets with a common slice of the prefix are compared with the first one of them, or of a part of them.
+LEADERS = 5
 #: Least level of the words in these slices: those with a count of four.
 COMMON = 8
 #: Words of 64 bits in the wide bitmap of a set that is a candidate.
@@ -150,7 +150,7 @@ def later_of_similar(pairs: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame) -> DataFrame:
-    """id of sets that resemble the first one, of those left, with a common slice of the prefix."""
+    """id of sets that resemble an early one with a common slice of the prefix."""
     # words of a copy's own, which every change brings in, are left out: slices hold words that several lines have
     common = F.filter("prefix", lambda w: w >= (COMMON << 26) - (1 << 31))
     by_hash = F.sort_array(F.transform("common", lambda w: w.bitwiseAND(F.lit((1 << 26) - 1))))
@@ -158,17 +158,17 @@ def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels:
     keys = F.array(F.xxhash64(F.lit(1), F.slice("common", 1, 3)), F.xxhash64(F.lit(2), F.slice("by_hash", 1, 3)), F.xxhash64(F.lit(3), F.slice(F.reverse("by_hash"), 1, 3)))
     keyed = sliced.withColumn("k", F.explode(keys))
     several = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(slot_of("k").alias("slot")).distinct()))
-    left = materialise(marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), several))
+    every = left = materialise(marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), several))
     read = words_of(left.select("id").distinct(), docs, sets, levels)
     found = None
-    for _ in range(LEADERS):
-        first = left.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f.*")
+    for turn in range(LEADERS):
+        # settled sets lead too: what is left is far from the middle of its group, and those are not
+        led = every.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(4)) == 0) if turn else every
+        first = led.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f")).select("k", "f.*")
         pairs = left.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
         new = materialise(later_of_similar(pairs, read))
         found = new if found is None else found.union(new)
-        # the leaders are compared with all that is left, and stand for nothing more
-        done = new.union(first.select("id")).distinct()
-        left = materialise(left.join(done, "id", "left_anti"))
+        left = materialise(left.join(new, "id", "left_anti"))
     return found.distinct()
 
 
