@@ -2,18 +2,18 @@
 
 A message is parsed line by line: the marks in front of a line give its quote level, neighbouring lines
 of one level are a passage, lines that announce a quotation ("... wrote:") belong to none. Passages are normalised to
-their lower-cased words and hashed whole, by paragraphs, by lines, and by windows of WINDOW words of which every hash
-that SHARE divides counts: a quotation that was wrapped anew, cut or joined still has the paragraphs or the windows of
-what it quotes. A quoted unit is joined to the first message of its conversation that has it among the units of its own
-text; a passage belongs to the earlier message that most of its words come from, the later one in a tie, and a message
+their lower-cased words and hashed whole, by paragraphs, by lines, and by every window of WINDOW words: a quotation that
+was wrapped anew, cut or joined still has the paragraphs or the windows of what it quotes. Fewer words than a
+window have to be a whole line, paragraph or message. A quoted unit is joined to the first message of its conversation
+that has it among the units of its own text; a passage belongs to the earlier message that most of its words come from, the later one in a tie, and a message
 answers the one that its shallowest linked passage belongs to, the last such passage in a tie.
 
 Answers make trees: a thread is named by the turn at its root, and depth is the number of answers down from there, both
 by doubling pointers. A reply-ordered conversation has its threads one behind the other, in each of them the messages
 without quotations by turn, so that an answer always stands behind what it answers.
 
-Own units are summed up to one row for each conversation and hash before the join, so a frequent line
-is one row on one side and adaptive execution can split the other. Nothing gathers a conversation in one task.
+Own units that a bitmap of the quoted ones lacks are not shuffled. The others are summed up to one row for each conversation
+and hash before the join, so a frequent line is one row on one side and adaptive execution can split the other. Nothing gathers a conversation in one task.
 
 Null and empty texts have no passages. Messages without quotations keep their text as it is. Rows of
 one conversation and turn are parts of one message where links are concerned, and stay separate rows. Messages without
@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, materialise, scratch, smaller_batches, table, text_chunks
+from .common import bitmap, freed, marked, materialise, scratch, slot_of, smaller_batches, table, text_chunks
 from .ngram_join import MIX, mixed
 
 MARKS = re.compile(r"^(?:[ \t]*[>|])+[ \t]?")
 INTRO = re.compile(r"^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 WORDS = re.compile(r"\w+").findall
 WINDOW = 8
-SHARE = 4
+#: Characters whose units are held at once: every word begins a window.
+CHUNK = 500_000
 UNITS = "array<struct<h:bigint,words:int>>"
 PARSED = f"id bigint, conv_id {{conv}}, turn {{turn}}, role {{role}}, own {UNITS}, quotes array<struct<level:int,units:{UNITS}>>, clean string"
 
@@ -54,7 +55,7 @@ def words_hash(words: list[str]) -> int:
 
 
 def window_hashes(words: list[str]) -> list[int]:
-    """Hashes of the windows of WINDOW words that count."""
+    """Hashes of all windows of WINDOW words."""
     if len(words) < WINDOW:
         return []
     h = np.fromiter(map(word_hash, words), np.uint64, len(words))
@@ -62,16 +63,16 @@ def window_hashes(words: list[str]) -> list[int]:
     out = np.zeros(n, np.uint64)
     for k in range(WINDOW):
         out = mixed(out * MIX + h[k : k + n])
-    return out[out % np.uint64(SHARE) == 0].view(np.int64).tolist()
+    return out.view(np.int64).tolist()
 
 
 def units_of(lines: list[str]) -> list[dict]:
-    """The hashed units of these lines and their words: all of them, paragraphs, lines and windows."""
+    """The hashed units of these lines and their words: all of them, paragraphs, lines and windows, which add one word each."""
     cut = [WORDS(line.lower()) for line in lines]
     every = [w for own in cut for w in own]
     if not every:
         return []
-    found = {h: SHARE for h in window_hashes(every)}
+    found = dict.fromkeys(window_hashes(every), 1)
     paragraph: list[str] = []
     for own in [*cut, []]:
         if own:
@@ -110,7 +111,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     quote = pa.list_(pa.struct([("level", pa.int32()), ("units", units)]))
 
     def run(batches):
-        for part, texts in text_chunks(batches, 4):
+        for part, texts in text_chunks(batches, 4, CHUNK):
             made = [parse(t) for t in texts]
             columns = [pa.array([m[0] for m in made], units), pa.array([m[1] for m in made], quote), pa.array([m[2] for m in made], pa.string())]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=["id", "conv_id", "turn", "role", "own", "quotes", "clean"])
@@ -140,8 +141,9 @@ def find_links(messages: DataFrame) -> DataFrame:
     own = materialise(parsed(messages))
     quoting = own.filter(F.size("quotes") > 0).select("id", "conv_id", "turn", F.posexplode("quotes").alias("passage", "q"))
     quoted = quoting.select("id", "conv_id", "turn", "passage", "q.level", F.inline("q.units"))
-    needed = quoted.select("conv_id", "h").distinct()
-    said = own.select("conv_id", "turn", F.explode("own.h").alias("h")).join(needed, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("said"))
+    needed = materialise(quoted.select("conv_id", "h").distinct())
+    marks = materialise(bitmap(needed.select(slot_of("h").alias("slot")).distinct()))
+    said = marked(own.select("conv_id", "turn", F.explode("own.h").alias("h")), slot_of("h"), marks).join(needed, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("said"))
     found = quoted.join(said, ["conv_id", "h"]).filter("said < turn").groupBy("id", "passage", "level", "said").agg(F.sum("words").alias("n"))
     best = found.groupBy("id", "passage", "level").agg(F.max(F.struct("n", "said")).alias("b"))
     links = best.groupBy("id").agg(F.count("*").alias("n_linked"), F.max(F.struct(-F.col("level"), F.col("passage"), F.col("b.said").alias("said"))).alias("r"))

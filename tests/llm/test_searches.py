@@ -275,3 +275,12 @@ def test_quotation_wrapped_anew(spark):
     df = spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", anew), (None, 2, "b", anew)], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["clean"]) for r in quotations.link_quotations(df).collect()}
     assert got == {(1, 0): (None, text), (1, 1): (0, "Yes."), (None, 2): (None, "Yes.")}
+
+
+def test_every_window_of_a_quotation_links(spark):
+    """Quotations of eight words out of a longer line, from every place of it: each of them is one window."""
+    said = [f"word{i}" for i in range(40)]
+    rows = [(c, 0, "a", " ".join(said)) for c in range(33)] + [(c, 1, "b", f"> {' '.join(said[c : c + 8])}\nyes") for c in range(33)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["reply_to"] for r in quotations.link_quotations(df).filter("turn = 1").collect()}
+    assert got == dict.fromkeys(range(33), 0)
