@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval and subsequence checks.
 
-1. Document frequencies of hashed words are counted over all documents (TERMS buckets).
+1. The hashed words of every document and how often it has them (TERMS buckets) are written once; document
+   frequencies are counted over all of them.
 2. A distributed randomised SVD (power iterations of A'A on a random basis, partial products summed by
-   Spark) of TF-IDF passages spans the latent space: all benchmark items of a block, and a sample of documents
-   that SAMPLE_PASSAGES bounds. The space then grows by what it lacks of items, until each keeps KEEP of its
-   length in it.
+   Spark) of the TF-IDF rows of all documents gives their strongest directions. The latent space of a block
+   is spanned by the same iterations over its benchmark items and these directions. It then grows by what it
+   lacks of items, until each keeps KEEP of its length in it.
 3. Documents are read once for PASS_BLOCKS blocks of ITEM_BLOCK items. A window holds an item's number of words
    and one or two steps more; windows begin at every step of a document, and a step is a third to a fifth of the
    item, at most STEP words. Windows are compared with items by cosine in the space (the window's length is that of
@@ -45,8 +46,11 @@ GROUP = 16
 SPAN = 1 << 16
 #: Share of its TF-IDF length that each item keeps in the space.
 KEEP = 0.95
-SAMPLE_PASSAGES = 2000
-SAMPLE_WEIGHT = 0.05
+#: Weight of a document beside an item; more documents than DOCUMENTS together weigh as much as so many.
+DOCUMENT_WEIGHT = 0.05
+DOCUMENTS = 2000
+#: Buckets whose partial products are summed together.
+RANGE = 256
 COSINE = 0.4
 VERBATIM = 0.7
 PARAPHRASE = 0.5
@@ -123,26 +127,35 @@ def words_of(text: str | None) -> list[str]:
     return [w for t in (text or "").lower().split() if (w := bare(t))]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents with each bucket, documents)."""
+def term_rows(docs: DataFrame) -> DataFrame:
+    """terms (distinct buckets, 16 bits each) and often (how often they occur, 32 bits each) of every row of docs."""
 
     def run(batches):
-        df, n = np.zeros(TERMS + 1, np.int64), 0
         for _, texts in text_chunks(batches, 0, CHUNK):
-            n += len(texts)
             ids, counts = token_terms(texts)
-            doc, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
-            for a in range(0, len(texts), 128):
-                own = slice(ends[a] - counts[a], ends[min(a + 128, len(texts)) - 1])
-                seen = np.zeros((128, TERMS + 1), bool)
-                seen[doc[own] - a, ids[own]] = True
-                df += seen.sum(0)
-        df[TERMS] = n
+            known = ids < TERMS
+            pairs, often = np.unique((np.repeat(np.arange(len(texts)), counts) * TERMS + ids)[known], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // TERMS, minlength=len(texts)))])
+            columns = [(pairs % TERMS).astype(np.uint16), often.astype(np.int32)]
+            own = [pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c)]) for c in columns]
+            yield pa.RecordBatch.from_arrays(own, names=["terms", "often"])
+
+    return materialise(docs.select("text").mapInArrow(freed(run), "terms binary, often binary"))
+
+
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """(documents with each bucket, documents) of term_rows()."""
+
+    def run(batches):
+        df = np.zeros(TERMS + 1, np.int64)
+        for batch in batches:
+            df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=TERMS + 1)
+            df[TERMS] += batch.num_rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     out = np.zeros(TERMS + 1, np.int64)
-    for term, n in docs.select("text").mapInArrow(freed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for term, n in rows.select("terms").mapInArrow(freed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[term] = n
     return out[:TERMS], int(out[TERMS])
 
@@ -152,33 +165,70 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.log((1 + n) / (1 + df)) + 0.1, 0).astype(np.float32)
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """TERMS x rank orthonormal basis of the strongest directions of the rows (text, weight)."""
-    spark = passages.sparkSession
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, rank + EXTRA), np.float32))[0]
-    for _ in range(POWERS):
-        held = spark.sparkContext.broadcast((basis, idf))
+def add_product(total: np.ndarray, basis: np.ndarray, idf: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+    """Add a'a times the basis, for the TF-IDF row a of length 1 that has these buckets so often."""
+    row = count * idf[at]
+    row /= np.linalg.norm(row)
+    total[at] += row[:, None] * (row @ basis[at])
 
-        def run(batches, held=held):
-            q, idf = held.value
-            total, any_row = np.zeros_like(q), False
-            for part, texts in text_chunks(batches, 0):
-                for text, weight in zip(texts, part.column(1).to_pylist(), strict=True):
-                    at, count = np.unique(known_terms(text), return_counts=True)
-                    if len(at):
-                        row = count * idf[at]
-                        row *= weight / np.linalg.norm(row)
-                        total[at] += row[:, None] * (row @ q[at])
-                        any_row = True
-            if any_row:
-                at = np.flatnonzero(total.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "part"])
-
-        out = np.zeros_like(basis)
-        # rows of a few thousand passages: the sums stay below TERMS x rank for each of few tasks, and no batch holds a term twice
-        for batch in passages.mapInArrow(freed(run), "term bigint, part array<float>").toArrow().to_batches():
-            out[batch.column(0).to_numpy()] += batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-        held.unpersist()
+
+def products(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A times the basis, for the TF-IDF rows A of all of term_rows(); the driver gets sums only."""
+    held = rows.sparkSession.sparkContext.broadcast((basis, idf))
+    width = basis.shape[1]
+
+    def run(batches):
+        basis, idf = held.value
+        total = np.zeros_like(basis)
+        for batch in batches:
+            for terms, often in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if terms:
+                    add_product(total, basis, idf, np.frombuffer(terms, np.uint16).astype(np.intp), np.frombuffer(often, np.int32).astype(np.float32))
+        own = [a for a in range(0, TERMS, RANGE) if total[a : a + RANGE].any()]
+        for a in own:
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([total[a : a + RANGE].tobytes()], pa.binary())], names=["first", "part"])
+
+    def summed(parts: pa.Table) -> pa.Table:
+        total = np.zeros(RANGE * width)
+        for part in parts.column("part").to_pylist():
+            total += np.frombuffer(part, np.float32)
+        return pa.table({"first": parts.column("first")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    out = np.zeros_like(basis)
+    sums = rows.mapInArrow(freed(run), "first bigint, part binary").groupBy("first").applyInArrow(summed, "first bigint, part binary")
+    for batch in sums.toArrow().to_batches():
+        for first, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out[first : first + RANGE] = np.frombuffer(part, np.float32).reshape(RANGE, width)
+    held.unpersist()
+    return out
+
+
+def random_basis(rank: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, rank + EXTRA), np.float32))[0]
+
+
+def strongest_directions(rows: DataFrame, idf: np.ndarray, n: int, rank: int = RANK) -> np.ndarray:
+    """Rows that stand for the n documents of term_rows() in the space of an item block: their strongest directions, as long as their weight."""
+    basis = random_basis(rank)
+    for power in range(POWERS):
+        out = products(rows, idf, basis)
+        if power < POWERS - 1:
+            basis = np.linalg.qr(out)[0]
+            give_back_memory()
+    both = (basis.T @ out).astype(np.float64)
+    values, turned = np.linalg.eigh((both + both.T) / 2)
+    weight = DOCUMENT_WEIGHT * np.sqrt(min(1.0, DOCUMENTS / max(n, 1)))
+    return (basis @ (turned * np.sqrt(np.maximum(values, 0)) * weight).astype(np.float32)).T
+
+
+def latent_space(texts: list[str], directions: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """TERMS x rank orthonormal basis of the strongest directions of these items and of the documents."""
+    items = [np.unique(known, return_counts=True) for text in texts if len(known := known_terms(text))]
+    basis = random_basis(rank)
+    for _ in range(POWERS):
+        out = directions.T @ (directions @ basis)
+        for at, count in items:
+            add_product(out, basis, idf, at, count.astype(np.float32))
         basis, r = np.linalg.qr(out)
         del out
     u = np.linalg.svd(r)[0]
@@ -351,22 +401,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = benchmark.select("item_id", "text").filter(F.length("text") > 0)
         blocks = max(1, -(-items.count() // ITEM_BLOCK))
         items = materialise(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
-        df, n = document_frequencies(docs)
+        rows = term_rows(docs)
+        df, n = document_frequencies(rows)
         idf = weights(df, n)
-        chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) < int(min(1.0, SAMPLE_PASSAGES / max(n, 1)) * (1 << 53))
-        sample = materialise(docs.filter(chosen).select("text", F.lit(SAMPLE_WEIGHT).alias("weight")))
+        directions = strongest_directions(rows, idf, n)
+        give_back_memory()
         passes: list[list] = []
         for block in range(blocks):
-            own = items.filter(F.col("block") == block)
-            rows = [tuple(r) for r in own.select("item_id", "text").collect()]
-            passages = own.select("text", F.lit(1.0).alias("weight")).union(sample).coalesce(4)
-            space = latent_space(passages, idf)
+            own = [tuple(r) for r in items.filter(F.col("block") == block).select("item_id", "text").collect()]
+            space = latent_space([text for _, text in own], directions, idf)
             give_back_memory()
-            space = covering(space, idf, [text for _, text in rows])
+            space = covering(space, idf, [text for _, text in own])
             give_back_memory()
             if block % PASS_BLOCKS == 0:
                 passes.append([])
-            passes[-1].append(compared(rows, idf, space))
+            passes[-1].append(compared(own, idf, space))
             del space
             give_back_memory()
     results = None

@@ -284,3 +284,26 @@ def test_every_window_of_a_quotation_links(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["reply_to"] for r in quotations.link_quotations(df).filter("turn = 1").collect()}
     assert got == dict.fromkeys(range(33), 0)
+
+
+def test_space_is_fitted_on_every_document(spark):
+    """The strongest directions of 2,500 documents, more than DOCUMENTS, are those of a whole decomposition."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=6)) for _ in range(400)]
+    topics = [rng.sample(vocabulary, 30) for _ in range(12)]
+    texts = [" ".join(rng.choices(rng.choice(topics), k=40)) for _ in range(2500)] + [None, "", "..."]
+    rows = decontamination.term_rows(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    df, n = decontamination.document_frequencies(rows)
+    assert n == len(texts)
+    idf = decontamination.weights(df, n)
+    matrix = np.zeros((n, decontamination.TERMS))
+    for row, text in zip(matrix, texts, strict=True):
+        np.add.at(row, decontamination.known_terms(text), 1)
+    assert (df == (matrix > 0).sum(0)).all()
+    matrix *= idf[:-1]
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+    exact = matrix[:, matrix.any(0)]
+    values = np.linalg.eigvalsh(exact.T @ exact)[::-1][:12]
+    got = decontamination.strongest_directions(rows, idf, n).astype(np.float64)
+    weight = decontamination.DOCUMENT_WEIGHT**2 * decontamination.DOCUMENTS / n
+    assert np.allclose(np.sort((got**2).sum(1))[::-1][:12], values * weight, rtol=0.01)
