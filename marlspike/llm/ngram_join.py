@@ -7,7 +7,8 @@ shingle, an empty one has none). Documents of equal sets are copies and are join
    below it. Two sets share a prefix of length d with probability J ** d, so they meet in some trie with
    1 - (1 - J ** d) ** TREES. The tries are climbed from whole signatures to ever shorter prefixes until that estimate
    for SIMILARITY reaches the target recall. Only nodes whose members are still in several candidate classes are
-   climbed to, so a set stops where shorter prefixes show it nothing new.
+   climbed to, so a set stops where shorter prefixes show it nothing new. Such nodes are found by the smallest and largest
+   class of each, and a bitmap of them keeps all other rows out of the joins.
 2. Sets that share a prefix and whose one-bit sketches agree within four to five standard deviations
    fall into one candidate class. Of whole signatures every set is compared with the first one of its node; above,
    the members outside a node's largest class are compared with one member of it, and at the last length, where classes
@@ -44,6 +45,8 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.995
 BLOCK = 200
+#: Bits of the bitmap of nodes, at most.
+MOST_BITS = 1 << 26
 #: Agreeing bits, of TREES * DEPTH, below which a pair is not verified: at SIMILARITY 0.9 of them are expected.
 SKETCH_LEAST = 100
 WORDS = re.compile(r"\S+").findall
@@ -182,17 +185,35 @@ def nodes(depth: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(tree), F.slice("sig", tree * DEPTH + 1, depth)) for tree in range(TREES)])
 
 
+def in_several(members: DataFrame, of: str) -> DataFrame:
+    """Rows of members whose node k holds several values of a column, and a few others: a bitmap keeps the rest out of later shuffles."""
+    shared = materialise(members.groupBy("k").agg(F.min(of).alias("low"), F.max(of).alias("high")).filter("low != high").select("k"))
+    bits = min(MOST_BITS, 1 << max(20, (8 * shared.count()).bit_length()))
+    slot = slot_of("k", bits)
+    return marked(members, slot, materialise(bitmap(shared.select(slot.alias("slot")).distinct())))
+
+
+def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members and a column class, their own sid without one; only those that may have one are shuffled."""
+    marks = materialise(bitmap(classes.select(slot_of("sid").alias("slot")).distinct()))
+    maybe, other = (marked(members, slot_of("sid"), marks, hit) for hit in (True, False))
+    return maybe.join(classes, "sid", "left").select(*members.columns, F.coalesce("class", "sid").alias("class")).unionByName(other.withColumn("class", F.col("sid")))
+
+
 def candidate_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sid, class) of sets that have candidates, and pairs (x, y) of sets with the first of their whole signatures."""
     whole, *shorter = depths()
-    deep = sets.select("sid", "n", "b0", "b1", F.explode(nodes(whole)).alias("k"))
+    deep = materialise(in_several(sets.select("sid", "n", "b0", "b1", F.explode(nodes(whole)).alias("k")), "sid"))
     first = deep.groupBy("k").agg(F.min(F.struct("sid", "n", "b0", "b1")).alias("f"), F.count("*").alias("m")).filter("m > 1").select("k", "f.*")
     pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y")]
     stars = deep.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.sid != b.sid AND {sketch_agrees('a', 'b')}")).select(*pair).distinct()
     pairs = materialise(stars)
     classes = materialise(components(pairs))
     for depth, step in [(d, "main") for d in shorter] + [(d, "all") for d in shorter[-1:]]:
-        own = sets.join(classes, "sid", "left").select("sid", "n", "b0", "b1", F.coalesce("class", "sid").alias("class"), F.explode(nodes(depth)).alias("k"))
+        if step == "main":
+            kept = own = materialise(in_several(with_classes(sets, classes).select("sid", "n", "b0", "b1", "class", F.explode(nodes(depth)).alias("k")), "class"))
+        else:  # classes have only grown since: no other node holds several
+            own = with_classes(kept.drop("class"), classes)
         sizes = own.groupBy("k", "class").agg(F.count("*").alias("m"))
         several = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("m", "class")).alias("main")).filter("classes > 1").select("k", "main")
         own = materialise(own.join(several, "k"))

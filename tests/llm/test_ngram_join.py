@@ -101,3 +101,16 @@ def test_awkward(awkward, empty):
     kept = m.keep_one(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 2, 3, 4, 6]
     assert m.near_duplicates(empty).count() == 0
+
+
+def test_rows_of_other_nodes_are_not_shuffled(spark):
+    """Of 4,000 nodes every tenth holds two classes: none of its rows is lost, and few others are kept."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).select(F.col("id").alias("sid"), (F.col("id") % 4000).alias("k"))
+    rows = rows.withColumn("class", F.when((F.col("k") % 10 == 0) & (F.col("sid") >= 8000), F.col("sid")).otherwise(F.col("k")))
+    kept = m.in_several(rows, "class").collect()
+    assert {r["sid"] for r in rows.filter("k % 10 = 0").collect()} <= {r["sid"] for r in kept}
+    assert len(kept) < 1300
+    classes = m.with_classes(rows.drop("class"), spark.createDataFrame([(5, 1), (9000, 5), (70_000, 2)], "sid long, class long"))
+    assert {(r["sid"], r["class"]) for r in classes.collect()} == {(i, {5: 1, 9000: 5}.get(i, i)) for i in range(12_000)}
