@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlspike.llm import decontamination, license_scan, quotations
@@ -307,3 +308,33 @@ def test_space_is_fitted_on_every_document(spark):
     got = decontamination.strongest_directions(rows, idf, n).astype(np.float64)
     weight = decontamination.DOCUMENT_WEIGHT**2 * decontamination.DOCUMENTS / n
     assert np.allclose(np.sort((got**2).sum(1))[::-1][:12], values * weight, rtol=0.01)
+
+
+def test_rows_are_multiplied_one_by_one_only_where_that_takes_less_time(monkeypatch):
+    """Projections and products of entries() are those of every row alone; the last pass makes no product of the size of the basis."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(400, n, replace=False)).astype(np.uint16), rng.integers(1, 5, n).astype(np.int32)) for n in (1, 30, 0, 200, 7) * 9]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in part], pa.binary()) for k in (0, 1)], names=["terms", "often"]) for part in (rows[:13], rows[13:])]
+    idf = decontamination.weights(rng.integers(1, 45, decontamination.TERMS), 45)
+    basis = decontamination.random_basis(8)
+    expected = np.zeros_like(basis)
+    for at, count in rows:
+        if len(at):
+            decontamination.add_product(expected, basis, idf, at.astype(np.intp), count.astype(np.float32))
+    monkeypatch.setattr(decontamination, "ENTRIES", 700)
+    for frequent, block in ((np.arange(0), 64), (np.arange(0, 400, 3), 600), (np.arange(decontamination.TERMS), 1 << 16)):
+        monkeypatch.setattr(decontamination, "BLOCK", block)
+        projector, total, gram, parts = decontamination.Projector(basis, frequent), np.zeros_like(basis), 0, 0
+        for own in decontamination.entries(batches, idf):
+            projected = projector.project(*own, total)
+            assert np.allclose(projected, projector.project(*own), atol=1e-5)
+            gram, parts = gram + projected.T @ projected, parts + 1
+        assert parts > 1 and np.allclose(total, expected, atol=1e-5) and np.allclose(gram, basis.T @ expected, atol=1e-5)
+
+
+def test_long_runs_of_marks_around_words():
+    bare = decontamination.token_terms(["word other a-b"])[0].tolist()
+    for n in (1, decontamination.MARKS, decontamination.MARKS + 1, 50):
+        x = "-" * n
+        ids, counts = decontamination.token_terms([f"{x}word{x} {x}", f"other{x}", None, x, f"{x}a-b {x}{x}"])
+        assert ids.tolist() == [bare[0], decontamination.TERMS, bare[1], decontamination.TERMS, bare[2], decontamination.TERMS] and counts.tolist() == [2, 1, 0, 1, 2]
