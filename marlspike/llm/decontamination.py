@@ -51,6 +51,8 @@ DOCUMENT_WEIGHT = 0.05
 DOCUMENTS = 2000
 #: Buckets whose partial products are summed together.
 RANGE = 256
+#: Rows of a matrix that the driver has in double precision at once.
+ROWS = 1 << 10
 #: Buckets of documents, and numbers of a dense block, that a task multiplies at once.
 ENTRIES = 1 << 20
 BLOCK = 1 << 21
@@ -310,8 +312,31 @@ def products(rows: DataFrame, idf: np.ndarray, frequent: np.ndarray, basis: np.n
         held.destroy()
 
 
+def blocks_of(n: int):
+    return (slice(a, a + ROWS) for a in range(0, n, ROWS))
+
+
+def orthonormal(a: np.ndarray) -> np.ndarray:
+    """The left singular vectors of a tall matrix, the strongest first, in its own memory; 0 for those that it lacks.
+
+    By the matrix of products of its columns, since a decomposition of a itself takes several copies in double precision.
+    """
+    for straight in (False, True):  # the second time for what the first one rounds; it leaves their order
+        gram = np.zeros((a.shape[1], a.shape[1]))
+        for own in blocks_of(len(a)):
+            block = a[own].astype(np.float64)
+            gram += block.T @ block
+        values, turned = np.linalg.eigh(gram)
+        kept = values > 1e-12 * max(values[-1], 1e-30)
+        scaled = turned * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1)), 0)
+        scaled = scaled @ turned.T if straight else scaled[:, ::-1]
+        for own in blocks_of(len(a)):
+            a[own] = a[own] @ scaled
+    return a
+
+
 def random_basis(rank: int) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, rank + EXTRA), np.float32))[0]
+    return orthonormal(np.random.default_rng(7).standard_normal((TERMS, rank + EXTRA), np.float32))
 
 
 def strongest_directions(rows: DataFrame, idf: np.ndarray, n: int, rank: int = RANK) -> np.ndarray:
@@ -320,7 +345,7 @@ def strongest_directions(rows: DataFrame, idf: np.ndarray, n: int, rank: int = R
     frequent = np.flatnonzero(idf[:TERMS] <= weights(np.array([DENSE * n]), n)[0])
     basis = random_basis(rank)
     for _ in range(POWERS - 1):
-        basis = np.linalg.qr(products(rows, idf, frequent, basis))[0]
+        basis = orthonormal(products(rows, idf, frequent, basis))
         give_back_memory()
     both = products(rows, idf, frequent, basis, whole=False).astype(np.float64)
     values, turned = np.linalg.eigh((both + both.T) / 2)
@@ -336,27 +361,39 @@ def latent_space(texts: list[str], directions: np.ndarray, idf: np.ndarray, rank
         out = directions.T @ (directions @ basis)
         for at, count in items:
             add_product(out, basis, idf, at, count.astype(np.float32))
-        basis, r = np.linalg.qr(out)
+        basis = orthonormal(out)
         del out
-    u = np.linalg.svd(r)[0]
-    space = (basis @ u)[:, :rank]
-    return np.concatenate([space, np.zeros((1, rank), np.float32)]).astype(np.float32)
+    space = np.zeros((TERMS + 1, rank), np.float32)
+    space[:TERMS] = basis[:, :rank]
+    return space
 
 
 def covering(space: np.ndarray, idf: np.ndarray, texts: list[str]) -> np.ndarray:
     """The space with more directions, so that each of the texts keeps KEEP of its length."""
-    rows = np.zeros((len(texts), TERMS + 1), np.float32)
-    for row, text in zip(rows, texts, strict=True):
-        np.add.at(row, known_terms(text), 1)
-    rows *= idf
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    rest = rows - (rows @ space) @ space.T
-    rest = rest[np.linalg.norm(rest, axis=1) > np.sqrt(1 - KEEP**2)]
-    if not len(rest):
+    lacking = []
+    for text in texts:
+        at, count = np.unique(known_terms(text), return_counts=True)
+        row = (count * idf[at]).astype(np.float32)
+        row /= max(np.linalg.norm(row), 1e-9)
+        rest = -(space @ (row @ space[at]))
+        rest[at] += row
+        if np.linalg.norm(rest) > np.sqrt(1 - KEEP**2):
+            lacking.append(rest)
+    if not lacking:
         return space
-    _, s, more = np.linalg.svd(rest, full_matrices=False)
+    gram = np.zeros((len(lacking), len(lacking)))
+    for own in blocks_of(len(space)):
+        block = np.stack([x[own] for x in lacking]).astype(np.float64)
+        gram += block @ block.T
+    values, turned = np.linalg.eigh(gram)
     # what is left of copies of an item has no direction of its own
-    return np.concatenate([space, more[s > 1e-3 * s[0]].T], axis=1)
+    kept = values > 1e-6 * values[-1]
+    scaled = (turned[:, kept] / np.sqrt(values[kept])).astype(np.float32)[:, ::-1]
+    out = np.empty((len(space), space.shape[1] + scaled.shape[1]), np.float32)
+    out[:, : space.shape[1]] = space
+    for own in blocks_of(len(space)):
+        out[own, space.shape[1] :] = np.stack([x[own] for x in lacking], axis=1) @ scaled
+    return out
 
 
 def lcs(masks: dict[str, int], n: int, words: list[str]) -> int:
@@ -409,11 +446,14 @@ def compared(rows: list[tuple], idf: np.ndarray, space: np.ndarray) -> tuple[lis
     """(the items with words, those of equal windows one behind the other; what each bucket adds to the product with each)."""
     worded = [(len(words), k) for k, (_, text) in enumerate(rows) if (words := words_of(text))]
     rows = [rows[k] for _, k in sorted(worded)]
-    projected, vectors = space * idf[:, None], np.zeros((len(rows), space.shape[1]), np.float32)
+    vectors = np.zeros((len(rows), space.shape[1]), np.float32)
     for vector, (_, text) in zip(vectors, rows, strict=True):
-        vector += projected[known_terms(text)].sum(0)
+        known = known_terms(text)
+        vector += idf[known] @ space[known]
         vector /= max(np.linalg.norm(vector), 1e-9)  # the item as the space has it
-    return rows, projected @ vectors.T
+    near = space @ vectors.T
+    near *= idf[:, None]
+    return rows, near
 
 
 class Searcher:

@@ -338,3 +338,32 @@ def test_long_runs_of_marks_around_words():
         x = "-" * n
         ids, counts = decontamination.token_terms([f"{x}word{x} {x}", f"other{x}", None, x, f"{x}a-b {x}{x}"])
         assert ids.tolist() == [bare[0], decontamination.TERMS, bare[1], decontamination.TERMS, bare[2], decontamination.TERMS] and counts.tolist() == [2, 1, 0, 1, 2]
+
+
+def test_spaces_of_items_take_little_memory():
+    """The driver has no second copy of the items' rows, nor any in double precision; directions are those of a whole decomposition."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    few = np.zeros((decontamination.TERMS, 6), np.float32)
+    few[:900, :4] = rng.standard_normal((900, 4)) * [1, 1e-3, 30, 5]
+    few[:, 4] = few[:, 2] * 2
+    u, s, _ = np.linalg.svd(few.astype(np.float64), full_matrices=False)
+    got = decontamination.orthonormal(few.copy())
+    assert np.allclose(np.abs(u[:, :4].T @ got[:, :4]), np.eye(4), atol=1e-4) and not got[:, 4:].any()
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (4000, 6))]
+    items = [(i, " ".join(rng.choice(words, 30))) for i in range(300)]
+    texts, idf = [t for _, t in items], decontamination.weights(rng.integers(1, 90, decontamination.TERMS), 100)
+    directions = rng.standard_normal((144, decontamination.TERMS), np.float32) * 0.001
+    decontamination.random_basis(decontamination.RANK)
+    tracemalloc.start()
+    space = decontamination.latent_space(texts, directions, idf)
+    latent, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+    space = decontamination.covering(space, idf, texts)
+    cover = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert latent < 55e6 and cover < 75e6, (latent, cover)
+    assert np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-3)
+    for text in texts:
+        row = np.bincount(decontamination.known_terms(text), minlength=decontamination.TERMS + 1) * idf
+        assert np.linalg.norm(row @ space) >= decontamination.KEEP * np.linalg.norm(row) * 0.999
