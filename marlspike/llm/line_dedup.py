@@ -14,7 +14,8 @@ with need not be kept itself. Lines without a word always stay.
    times in all: that settles groups of near copies with as many comparisons as they have lines.
 4. Of two similar sets the smaller one has a common word among its |s| - ceil(2t / (1 + t) |s|) + 1 rarest
    ones, which are posted, and the larger one in its prefix, which is looked up. Words of a high level are
-   posted by classes of sizes besides, so that the length filter holds in the key. Two settled sets never meet.
+   posted by classes of sizes besides, so that the length filter holds in the key. A settled set meets only later
+   ones that are not: numbers of sets follow their places.
    Length, positional and parity-bitmap filters hold inside the join.
 5. Candidates are verified on their word sets, read again from the lines concerned.
 
@@ -165,7 +166,7 @@ def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels:
         # settled sets lead too: what is left is far from the middle of its group, and those are not
         led = every.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(4)) == 0) if turn else every
         first = led.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f")).select("k", "f.*")
-        pairs = left.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
+        pairs = left.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id > b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
         new = materialise(later_of_similar(pairs, read))
         found = new if found is None else found.union(new)
         left = materialise(left.join(new, "id", "left_anti"))
@@ -173,26 +174,26 @@ def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels:
 
 
 def posting_pairs(unsettled: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of sets of which one is not settled, that share a word within their prefixes and pass the filters."""
+    """Pairs (a, b), a < b, of sets of which b is not settled, that share a word within their prefixes and pass the filters."""
     posted = F.col("size") - F.ceil(F.col("size") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
-    rest = ["id", "size", "bits", "pos"]
+    rest = ["id", "size", "bits", "pos", "settled"]
     of_size = lambda n: F.floor(F.log(n) / F.lit(math.log(CLASS_RATIO))).cast("int")
     own_class = F.array(of_size(F.col("size")))
     classes = F.sequence(of_size(F.ceil(F.col("size") * SIMILARITY - 1e-9)), of_size(F.col("size")))
-    words = lambda df: df.select("id", "size", "bits", F.posexplode("prefix").alias("pos", "w"))
+    words = lambda df, is_settled: df.select("id", "size", "bits", F.lit(is_settled).alias("settled"), F.posexplode("prefix").alias("pos", "w"))
 
     def keyed(df: DataFrame, kind: int, classes: Column) -> DataFrame:
         classed = F.shiftright(F.col("w").cast("bigint") + (1 << 31), 26) >= CLASSED
         return df.withColumn("of", F.explode(F.when(classed, classes).otherwise(F.array(F.lit(-1))))).select(F.xxhash64(F.lit(kind), "w", "of").alias("k"), *rest)
 
-    looked_up, hidden = words(unsettled), words(settled)
-    every = words(unsettled.unionByName(settled))
+    looked_up, hidden = words(unsettled, False), words(settled, True)
+    every = looked_up.union(hidden)
     # settled sets look up words of unsettled ones too, of which only such words are posted again
     theirs = materialise(bitmap(hidden.select(slot_of("w").alias("slot")).distinct()))
     again = marked(looked_up.filter(F.col("pos") < posted), slot_of("w"), theirs)
-    left = keyed(looked_up, 0, classes).union(keyed(again, 1, own_class))
+    left = keyed(looked_up, 0, classes).union(keyed(again, 1, own_class)).drop("settled")
     right = keyed(every.filter(F.col("pos") < posted), 0, own_class).union(keyed(hidden, 1, classes))
-    pairs = left.alias("a").join(right.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND {FILTERS} AND {POSITIONS}"))
+    pairs = left.alias("a").join(right.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND (a.id > b.id OR NOT b.settled) AND {FILTERS} AND {POSITIONS}"))
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
@@ -209,6 +210,11 @@ def resembling(sets: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame
     return found.union(later_of_similar(pairs, read)).distinct()
 
 
+def numbered(sets: DataFrame) -> DataFrame:
+    """sets with an id that grows with their places."""
+    return sets.orderBy("place").withColumn("id", F.monotonically_increasing_id())
+
+
 def kept_places(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept and kept: the numbers, from 0, of the lines with words that stay, in order.
 
@@ -221,7 +227,7 @@ def kept_places(docs: DataFrame) -> DataFrame:
 def find_kept_places(docs: DataFrame) -> DataFrame:
     levels = word_levels(docs)
     sets = line_sets(docs, levels).groupBy("h").agg(F.min_by("own", "place").alias("own"), F.min("place").alias("place")).select("h", "place", "own.*")
-    sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()))
+    sets = materialise(numbered(sets))
     near = resembling(sets, docs, levels)
     firsts = sets.select("id", "place").join(near, "id", "left_anti").select("place.doc_id", "place.line_no")
     lines = F.split(cleaned(F.col("text")), "\n")

@@ -1,6 +1,6 @@
 import random
 
-from marlspike.llm.line_dedup import OP2_SQL, kept_places, op2_line_dedup, remove_later_lines
+from marlspike.llm.line_dedup import OP2_SQL, kept_places, numbered, op2_line_dedup, posting_pairs, remove_later_lines
 
 
 def brute(docs):
@@ -46,3 +46,18 @@ def test_awkward(awkward, empty):
 def test_text_without_later_lines(spark):
     df = spark.createDataFrame([(1, "a b c d e\n\nx\na b c d e"), (2, "x\ny y y")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in remove_later_lines(df).collect()} == {1: "a b c d e\n\nx", 2: "y y y"}
+
+
+def test_settled_lines_meet_only_later_ones(spark):
+    """A pair whose later line has gone decides nothing."""
+    for level in (1, 40):
+        sets = lambda ids, level=level: spark.createDataFrame([(i, 10, 0, [(level << 26) - (1 << 31) + w for w in range(3)]) for i in ids], "id long, size int, bits long, prefix array<int>")
+        pairs = posting_pairs(sets([0, 5, 8]), sets([3, 7, 9])).collect()
+        assert {(r["a"], r["b"]) for r in pairs} == {(0, 5), (0, 8), (5, 8), (3, 5), (3, 8), (7, 8)}
+
+
+def test_numbers_follow_places(spark):
+    places = [(d, n) for d in [None, *range(-3, 40)] for n in (0, 2, 10)]
+    rows = random.Random(2).sample(places, len(places))
+    got = numbered(spark.createDataFrame([(p,) for p in rows], "place struct<doc_id: long, line_no: int>").repartition(7)).collect()
+    assert [tuple(r["place"]) for r in sorted(got, key=lambda r: r["id"])] == places
