@@ -16,7 +16,9 @@ with need not be kept itself. Lines without a word always stay.
    ones, which are posted, and the larger one in its prefix, which is looked up. Words of a high level are
    posted by classes of sizes besides, so that the length filter holds in the key. A settled set meets only later
    ones that are not: numbers of sets follow their places.
-   Length, positional and parity-bitmap filters hold inside the join.
+   Length, positional and parity-bitmap filters hold inside the join; lines of LONG_SIZE words have bitmaps twice as wide.
+   Before all pairs are made, unsettled sets meet a few of the settled ones, WITNESSES: what resembles many of them is
+   settled by one, and all its other pairs are not made.
 5. Candidates are verified on their word sets, read again from the lines concerned.
 
 Joins are equi-joins that adaptive execution can split; nothing is collected. Broadcast are bitmaps of at most
@@ -47,6 +49,10 @@ LEADERS = 5
 COMMON = 8
 #: Words of 64 bits in the wide bitmap of a set that is a candidate.
 WIDE = 4
+#: Words from which a set has a second bitmap: of fewer, unlike ones differ in enough bits of 64.
+LONG_SIZE = 96
+#: One in so many settled sets is met, one after the other, before all are.
+WITNESSES = (64, 8)
 #: Level (four times the logarithm of the count) from which words are posted by classes of sizes.
 CLASSED = 24
 #: Ratio of sizes within a class.
@@ -93,21 +99,27 @@ def with_words(lines: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, levels: DataFrame) -> DataFrame:
-    """h, place, own (size, bits, prefix) of every line with words. A prefix holds 6 bits of level and 26 of the hash."""
+    """h, place, own (size, bits, more, prefix) of every line with words. A prefix holds 6 bits of level and 26 of the hash."""
     size = F.size("s")
     prefix = F.slice("s", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
     folded = F.transform(prefix, lambda w: (F.shiftleft(F.shiftright(w, 56), 26).bitwiseOR(w.bitwiseAND(F.lit((1 << 26) - 1))) - (1 << 31)).cast("int"))
     long = size >= LEAST_SIZE
+    more = parity(F.filter("s", lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == 1))
     return with_words(lines_of(docs), levels).select(
         F.xxhash64("s").alias("h"),
         F.struct("doc_id", "line_no").alias("place"),
-        F.struct(size.alias("size"), F.when(long, parity("s")).alias("bits"), F.when(long, folded).alias("prefix")).alias("own"),
+        F.struct(size.alias("size"), F.when(long, parity("s")).alias("bits"), F.when(size >= LONG_SIZE, more).otherwise(F.lit(0).cast("bigint")).alias("more"), F.when(long, folded).alias("prefix")).alias("own"),
     )
 
 
-FILTERS = f"""a.size >= {SIMILARITY} * b.size - 1e-9 AND b.size >= {SIMILARITY} * a.size - 1e-9
-    AND (a.size + b.size - bit_count(a.bits ^ b.bits)) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"""
-POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {SIMILARITY / (1 + SIMILARITY)!r} * (a.size + b.size) - 1e-9"
+# Doubles: a plain 0.8 is a decimal in SQL, and joins compare very many pairs.
+LEAST, LEAST_SHARED = f"{SIMILARITY!r}D", f"{SIMILARITY / (1 + SIMILARITY)!r}D"
+#: Bits that differ: of two long sets those of the words with a mark and of the words without, of others those of all words.
+DIFFERENT = f"""CASE WHEN a.size >= {LONG_SIZE} AND b.size >= {LONG_SIZE} THEN bit_count(a.more ^ b.more) + bit_count(a.bits ^ a.more ^ b.bits ^ b.more)
+    ELSE bit_count(a.bits ^ b.bits) END"""
+FILTERS = f"""a.size >= {LEAST} * b.size - 1e-9 AND b.size >= {LEAST} * a.size - 1e-9
+    AND (a.size + b.size - {DIFFERENT}) / 2 >= {LEAST_SHARED} * (a.size + b.size) - 1e-9"""
+POSITIONS = f"least(a.size - a.pos, b.size - b.pos) >= {LEAST_SHARED} * (a.size + b.size) - 1e-9"
 EARLIER = "(y_doc < x_doc OR (y_doc IS NULL AND x_doc IS NOT NULL) OR (y_doc <=> x_doc AND y_line < x_line))"
 
 
@@ -125,7 +137,7 @@ def words_of(ids: DataFrame, docs: DataFrame, sets: DataFrame, levels: DataFrame
     return materialise(own.join(read, "h").drop("h").withColumns({"size": F.size("s"), "wide": wide}))
 
 
-def parity(words: str, part_at: int = 0, bit_at: int = 0, part: int | None = None) -> Column:
+def parity(words: str | Column, part_at: int = 0, bit_at: int = 0, part: int | None = None) -> Column:
     """The parity of the words in each of 64 buckets, of those words alone, with a part, that it falls to among WIDE."""
 
     def flipped(acc: Column, w: Column) -> Column:
@@ -140,7 +152,7 @@ def later_of_similar(pairs: DataFrame, read: DataFrame) -> DataFrame:
     # long lines pass a bitmap of 64 bits by chance: a wider one is compared before their words are sent for
     slim = lambda x, key: read.select(F.col("id").alias(key), F.col("size").alias(f"{x}_size"), F.col("wide").alias(f"{x}_wide"))
     differ = " + ".join(f"bit_count(x_wide[{k}] ^ y_wide[{k}])" for k in range(WIDE))
-    pairs = pairs.join(slim("x", "a"), "a").join(slim("y", "b"), "b").filter(f"(x_size + y_size - ({differ})) / 2 >= {SIMILARITY / (1 + SIMILARITY)!r} * (x_size + y_size) - 1e-9").select("a", "b")
+    pairs = pairs.join(slim("x", "a"), "a").join(slim("y", "b"), "b").filter(f"(x_size + y_size - ({differ})) / 2 >= {LEAST_SHARED} * (x_size + y_size) - 1e-9").select("a", "b")
     pairs = materialise(pairs)
     side = lambda x, key: read.select(F.col("id").alias(key), F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("s").alias(x + "_s"))
     both = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
@@ -159,13 +171,13 @@ def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels:
     keys = F.array(F.xxhash64(F.lit(1), F.slice("common", 1, 3)), F.xxhash64(F.lit(2), F.slice("by_hash", 1, 3)), F.xxhash64(F.lit(3), F.slice(F.reverse("by_hash"), 1, 3)))
     keyed = sliced.withColumn("k", F.explode(keys))
     several = materialise(bitmap(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(slot_of("k").alias("slot")).distinct()))
-    every = left = materialise(marked(keyed.select("k", "place", "id", "size", "bits"), slot_of("k"), several))
+    every = left = materialise(marked(keyed.select("k", "place", "id", "size", "bits", "more"), slot_of("k"), several))
     read = words_of(left.select("id").distinct(), docs, sets, levels)
     found = None
     for turn in range(LEADERS):
         # settled sets lead too: what is left is far from the middle of its group, and those are not
         led = every.filter(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(4)) == 0) if turn else every
-        first = led.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits")).alias("f")).select("k", "f.*")
+        first = led.groupBy("k").agg(F.min(F.struct("place", "id", "size", "bits", "more")).alias("f")).select("k", "f.*")
         pairs = left.alias("a").join(first.alias("b"), F.expr(f"a.k = b.k AND a.id > b.id AND {FILTERS}")).selectExpr("a.id AS a", "b.id AS b").distinct()
         new = materialise(later_of_similar(pairs, read))
         found = new if found is None else found.union(new)
@@ -173,41 +185,52 @@ def settled_by_leaders(own: DataFrame, docs: DataFrame, sets: DataFrame, levels:
     return found.distinct()
 
 
-def posting_pairs(unsettled: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of sets of which b is not settled, that share a word within their prefixes and pass the filters."""
+def posting_pairs(unsettled: DataFrame, settled: DataFrame, among: bool = True) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of which b is not settled, that share a word within their prefixes and pass the filters.
+
+    Without among a is settled. Sets without the column more have a bitmap of 64 bits alone.
+    """
     posted = F.col("size") - F.ceil(F.col("size") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
-    rest = ["id", "size", "bits", "pos", "settled"]
+    rest = ["id", "size", "bits", "more", "pos", "settled"]
+    more = F.col("more") if "more" in unsettled.columns else F.lit(0).cast("bigint")
     of_size = lambda n: F.floor(F.log(n) / F.lit(math.log(CLASS_RATIO))).cast("int")
     own_class = F.array(of_size(F.col("size")))
     classes = F.sequence(of_size(F.ceil(F.col("size") * SIMILARITY - 1e-9)), of_size(F.col("size")))
-    words = lambda df, is_settled: df.select("id", "size", "bits", F.lit(is_settled).alias("settled"), F.posexplode("prefix").alias("pos", "w"))
+    words = lambda df, is_settled: df.select("id", "size", "bits", more.alias("more"), F.lit(is_settled).alias("settled"), F.posexplode("prefix").alias("pos", "w"))
 
     def keyed(df: DataFrame, kind: int, classes: Column) -> DataFrame:
         classed = F.shiftright(F.col("w").cast("bigint") + (1 << 31), 26) >= CLASSED
         return df.withColumn("of", F.explode(F.when(classed, classes).otherwise(F.array(F.lit(-1))))).select(F.xxhash64(F.lit(kind), "w", "of").alias("k"), *rest)
 
     looked_up, hidden = words(unsettled, False), words(settled, True)
-    every = looked_up.union(hidden)
     # settled sets look up words of unsettled ones too, of which only such words are posted again
     theirs = materialise(bitmap(hidden.select(slot_of("w").alias("slot")).distinct()))
-    again = marked(looked_up.filter(F.col("pos") < posted), slot_of("w"), theirs)
-    left = keyed(looked_up, 0, classes).union(keyed(again, 1, own_class)).drop("settled")
-    right = keyed(every.filter(F.col("pos") < posted), 0, own_class).union(keyed(hidden, 1, classes))
+    again = marked(looked_up, slot_of("w"), theirs)
+    left = keyed(looked_up if among else again, 0, classes).union(keyed(again.filter(F.col("pos") < posted), 1, own_class)).drop("settled")
+    right = keyed((looked_up.union(hidden) if among else hidden).filter(F.col("pos") < posted), 0, own_class).union(keyed(hidden, 1, classes))
     pairs = left.alias("a").join(right.alias("b"), F.expr(f"a.k = b.k AND a.id != b.id AND (a.id > b.id OR NOT b.settled) AND {FILTERS} AND {POSITIONS}"))
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
+def by_found(own: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets that are not found, sets that are)."""
+    marks = materialise(bitmap(found.select(slot_of("id").alias("slot")).distinct()))
+    maybe = marked(own, slot_of("id"), marks)
+    return marked(own, slot_of("id"), marks, False).union(maybe.join(found, "id", "left_anti")), maybe.join(found, "id", "left_semi")
+
+
 def resembling(sets: DataFrame, docs: DataFrame, levels: DataFrame) -> DataFrame:
     """The id of sets that resemble a set whose first place is earlier."""
-    own = sets.filter(F.col("prefix").isNotNull()).select("id", "place", "size", "bits", "prefix")
+    own = sets.filter(F.col("prefix").isNotNull()).select("id", "place", "size", "bits", "more", "prefix")
     found = materialise(settled_by_leaders(own, docs, sets, levels))
-    marks = materialise(bitmap(found.select(slot_of("id").alias("slot")).distinct()))
-    maybe = marked(own, slot_of("id"), marks)
-    settled = maybe.join(found, "id", "left_semi").drop("place")
-    unsettled = marked(own, slot_of("id"), marks, False).union(maybe.join(found, "id", "left_anti")).drop("place")
-    pairs = materialise(posting_pairs(unsettled, settled))
-    read = words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, sets, levels)
-    return found.union(later_of_similar(pairs, read)).distinct()
+    own = own.drop("place")
+    for share in (*WITNESSES, 1):
+        unsettled, settled = by_found(own, found)
+        met = settled.filter(F.pmod(F.xxhash64(F.lit(share), "id"), F.lit(share)) == 0)
+        pairs = materialise(posting_pairs(unsettled, met, among=share == 1))
+        read = words_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, sets, levels)
+        found = materialise(found.union(later_of_similar(pairs, read)).distinct())
+    return found
 
 
 def numbered(sets: DataFrame) -> DataFrame:
