@@ -69,8 +69,9 @@ class Frame:
     def visible(self) -> DataFrame:
         return self.df.drop(records.ORDER)
 
-    def to_dicts(self) -> list[dict]:
-        return records.to_dicts(self.df, self.order_by)
+    def to_dicts(self, lazy: bool = False):
+        """A list of all rows on the driver; with lazy an RDD of the same dicts in the same order."""
+        return records.to_dicts(self.df, self.order_by, lazy)
 
     def to_pandas(self):
         import pandas as pd

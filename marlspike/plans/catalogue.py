@@ -94,13 +94,13 @@ def sorted_part(s, d) -> Frame:
 
 
 def placed(frame: Frame) -> DataFrame:
-    """The rows and their places in the frame's order, as its own iterator yields them."""
-    rows = [r | {"at": i} for i, r in enumerate(frame)]
+    """The rows and their places in the frame's order, as its own records follow each other."""
+    rows = frame.to_dicts(lazy=True).zipWithIndex().map(lambda r: r[0] | {"at": r[1]})
     return frame.df.sparkSession.createDataFrame(rows, frame.visible().withColumn("at", F.lit(0).cast("bigint")).schema)
 
 
 SORTED = "SELECT *, row_number() OVER (ORDER BY size DESC NULLS FIRST, p_brand, p_partkey) - 1 AS at FROM (SELECT p_partkey, p_brand, nullif(p_size, 7) AS size FROM part)"
-# the places by the frame's order column, and as its iterator yields the rows
+# the places by the frame's order column, and as its records follow each other
 register("sort_multi", lambda s, d: (f := sorted_part(s, d)).df.select(*f.columns, (F.row_number().over(Window.orderBy(*f.order_by)) - 1).cast("bigint").alias("at")), SORTED)
 register("sort_iterated", lambda s, d: placed(sorted_part(s, d)), SORTED)
 register("sort_then_change", lambda s, d: placed(renamed(sorted_part(s, d))), SORTED.replace("SELECT *,", "SELECT p_partkey, size AS width,"))
@@ -121,7 +121,7 @@ register("except", lambda s, d: filters.except_rows(table(s, d, "nation").select
 register("distinct", lambda s, d: filters.distinct(table(s, d, "lineitem").select("l_returnflag", "l_linestatus")), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 register("isnull", lambda s, d: columns.isnull(prioritised(s, d)).groupBy("o_orderkey", "o_totalprice", "p").count(), f"SELECT o_orderkey IS NULL AS o_orderkey, o_totalprice IS NULL AS o_totalprice, p IS NULL AS p, count(*) AS count FROM {PRIORITISED} GROUP BY 1, 2, 3")
 register("cast_column", lambda s, d: columns.cast_column(columns.cast_column(table(s, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", int), "p_size", str), "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS p_retailprice, CAST(p_size AS VARCHAR) AS p_size FROM part")
-register("to_dicts", lambda s, d: s.createDataFrame(Frame(prioritised(s, d), "o_orderkey").to_dicts(), prioritised(s, d).schema), f"SELECT * FROM {PRIORITISED}")
+register("to_dicts", lambda s, d: s.createDataFrame(Frame(prioritised(s, d), "o_orderkey").to_dicts(lazy=True), prioritised(s, d).schema), f"SELECT * FROM {PRIORITISED}")
 register("head_tail", lambda s, d: s.createDataFrame([*ordered_orders(s, d).head(7), *ordered_orders(s, d).tail(5)], prioritised(s, d).schema), f"(SELECT * FROM {PRIORITISED} ORDER BY o_orderkey LIMIT 7) UNION ALL (SELECT * FROM {PRIORITISED} ORDER BY o_orderkey DESC LIMIT 5)")
 register("chunks", lambda s, d: events.process_in_chunks(table(s, d, "orders").select("o_orderkey", "o_totalprice"), doubled, "o_orderkey bigint, twice double"), "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
 

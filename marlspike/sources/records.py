@@ -78,8 +78,13 @@ def as_records(df: DataFrame, order_by: list[str] = ()):
         yield {n: decode(row[n], kinds[n]) for n in names}
 
 
-def to_dicts(df: DataFrame, order_by: list[str] = ()) -> list[dict]:
-    return list(as_records(df, order_by))
+def to_dicts(df: DataFrame, order_by: list[str] = (), lazy: bool = False):
+    """List of row dicts in order, on the driver; with lazy an RDD of them, whose rows stay with the executors."""
+    if not lazy:
+        return list(as_records(df, order_by))
+    kinds = {f.name: kind_of(f) for f in df.schema if f.name != ORDER}
+    rows = (df.orderBy(*order_by) if order_by else df).rdd
+    return rows.map(lambda row: {n: decode(row[n], kind) for n, kind in kinds.items()})
 
 
 def to_variant(df: DataFrame, name: str) -> DataFrame:

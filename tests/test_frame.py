@@ -259,3 +259,17 @@ def test_driver_rows_are_bounded(spark, monkeypatch):
         own.edit_column("n", lambda v: v + 1)
     own.edit_column("n", lambda v: v + 1, "bigint")
     assert [r["n"] for r in own] == [1, 2, 3, 4, 5]
+
+
+def test_lazy_dicts_stay_with_the_executors(spark, small, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from marlspike.plans import catalogue
+
+    rows = [{"k": i, "mixed": [None, 1, "x", 0.5][i % 4]} for i in range(40)]
+    frame = Frame.from_dicts(rows, spark).sort_values("k", False)
+    assert frame.to_dicts(lazy=True).collect() == frame.to_dicts() == rows[::-1]
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)  # brings all rows to the driver
+    for name, key in (("to_dicts", "o_orderkey"), ("sort_iterated", "at"), ("sort_then_change", "at")):
+        out = catalogue.QUERIES[name](spark, small)
+        assert out.select(key).distinct().count() == out.count() > 0
