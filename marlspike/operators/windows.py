@@ -63,9 +63,9 @@ def rank(df: DataFrame, c: str, method: str = "average", order_by=(), small_byte
     if method == "first":
         (place,) = fresh(df, "place_")
         # nulls come first in the order of the index
-        nulls = F.broadcast(df.agg(F.count_if(x.isNull()).alias(f"nulls of {place}")))
-        made = indexed(df, [c, *needs_order(order_by)], place).crossJoin(nulls)  # one row
-        return made.withColumn(out, F.when(x.isNotNull(), F.col(place) - F.col(f"nulls of {place}") + 1).cast("double")).drop(place, f"nulls of {place}")
+        nulls = df.agg(F.count_if(x.isNull())).scalar()
+        made = indexed(df, [c, *needs_order(order_by)], place)
+        return made.withColumn(out, F.when(x.isNotNull(), F.col(place) - nulls + 1).cast("double")).drop(place)
     # counts of the distinct values, their running sums, and back
     value_, ties_, upto_, dense_ = fresh(df, "value_", "ties_", "upto_", "dense_")
     values = df.filter(x.isNotNull()).groupBy(x.alias(value_)).agg(F.count(F.lit(1)).alias(ties_))

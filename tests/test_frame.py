@@ -1,9 +1,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlspike.frame import Frame
 from marlspike.operators import filters, joins, windows
+from marlspike.plans import order
 from marlspike.plans.order import indexed
 
 
@@ -273,3 +275,27 @@ def test_lazy_dicts_stay_with_the_executors(spark, small, monkeypatch):
     for name, key in (("to_dicts", "o_orderkey"), ("sort_iterated", "at"), ("sort_then_change", "at")):
         out = catalogue.QUERIES[name](spark, small)
         assert out.select(key).distinct().count() == out.count() > 0
+
+
+def test_windows_fall_away_where_they_are_not_needed(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 70).cast("double").alias("v"))
+    made = windows.expanding(windows.rolling(df, "v", 3, "sum", "id", small_bytes=0), "v", "sum", "id", small_bytes=0)
+    plan = made.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Union" not in plan
+
+
+def test_windows_are_cut_by_rows_not_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(order, "BLOCK_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.range(3000).select("id", F.lit(1.0).alias("v")).write.parquet(f"{tmp_path}/t")
+        df = spark.read.parquet(f"{tmp_path}/t")  # a few bytes a row and less
+        for out in (windows.expanding(df, "v", "sum", "id", small_bytes=0), windows.pct_change(df, "v", "id", small_bytes=0), order.indexed(df, ["id"], "at")):
+            made = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.count(out.columns[-1]))
+            most = max(r["count"] for r in made.collect())
+            assert most < 1500 and out.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    key = F.when(F.col("id") % 5 != 0, F.struct(F.col("id").cast("string").alias("a"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("b")))
+    held = order.indexed(df.withColumn("k", key), ["k", "id"], "at").orderBy("at").collect()
+    assert [r["at"] for r in held] == list(range(3000)) and [r["id"] for r in held] == [*range(0, 3000, 5), *sorted((i for i in range(3000) if i % 5), key=str)]
