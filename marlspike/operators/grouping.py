@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import NUMERIC, STR, field_of, fresh, kind_of
 from ..plans.order import SMALL_BYTES, growing, is_small
+from ..plans.places import values_at
 
 STRICT = "Only string columns can be used as group keys for now"
 
@@ -56,8 +57,11 @@ NUMERIC_AGGREGATES = {
 
 
 def medians(df: DataFrame, keys: list[str], name: str, small_bytes: int) -> DataFrame:
-    """keys and {name}_median, without a group's values in one task: counts of values get their places in the order of
-    keys and values over the whole table, from which those of the groups before are taken off."""
+    """keys and {name}_median, without a group's values in one task. With very many groups counts of values get their places in
+    the order of keys and values over the whole table, from which those of the groups before are taken off."""
+    found = values_at(df, keys, F.col(name), [0.5], lambda n: [F.floor((n - 1) / 2), F.floor(n / 2)])
+    if found is not None:
+        return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], ((F.col("v0") + F.col("v1")) / 2).alias(f"{name}_median"))
     x, n, upto, total, groups = fresh(df.select(*keys), "x_", "n_", "upto_", "total_", "groups_")
     counts = df.filter(F.col(name).isNotNull()).groupBy(*keys, F.col(name).cast("double").alias(x)).agg(F.count(F.lit(1)).alias(n))
     placed = growing(counts, [*keys, x], {upto: F.col(n)}, small_bytes).alias("p")

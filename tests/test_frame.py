@@ -299,3 +299,29 @@ def test_windows_are_cut_by_rows_not_by_bytes(spark, monkeypatch, tmp_path):
     key = F.when(F.col("id") % 5 != 0, F.struct(F.col("id").cast("string").alias("a"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("b")))
     held = order.indexed(df.withColumn("k", key), ["k", "id"], "at").orderBy("at").collect()
     assert [r["at"] for r in held] == list(range(3000)) and [r["id"] for r in held] == [*range(0, 3000, 5), *sorted((i for i in range(3000) if i % 5), key=str)]
+
+
+def test_places_of_groups_are_exact(spark, monkeypatch):
+    from marlspike.operators import grouping
+    from marlspike.plans import places
+
+    id_, groups = F.col("id"), F.col("id") % 5
+    when = F.timestamp_seconds(1698540000 + groups * 3600)
+    df = spark.range(4001).select(F.when(groups > 0, when).alias("t"), F.when(groups == 1, F.lit(float("nan"))).otherwise(groups / 2).alias("f"), F.encode(groups.cast("string"), "utf-8").alias("b"), F.when(id_ % 7 > 0, F.pow(-1.5, id_ % 300)).alias("x"))
+    median = lambda small: sorted(map(str, grouping.group_by(df, ["t", "f", "b"], [("median", "x"), ("count",)], small_bytes=small).collect()))
+    expected = median(1 << 40)
+    assert len(expected) == 5 and median(0) == expected
+    monkeypatch.setattr(places, "WIDTHS", (0.0, 1.0))
+    monkeypatch.setattr(places, "ACCURACY", 3)  # bounds miss their places
+    assert median(0) == expected
+    monkeypatch.setattr(places, "MOST_GROUPS", 4)
+    assert median(0) == expected
+
+
+def test_many_rows_of_few_bytes_are_not_one_task(spark, monkeypatch, tmp_path):
+    from marlspike.operators import stats
+
+    spark.range(1_200_000).select((F.col("id") % 9).alias("v")).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(stats, "at_place", None)  # exact percentiles of all values in one task
+    got = {r["statistic"]: r["v"] for r in stats.describe(spark.read.parquet(f"{tmp_path}/t")).collect()}
+    assert (got["25%"], got["50%"], got["75%"]) == (2.0, 4.0, 6.0)
