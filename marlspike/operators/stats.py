@@ -1,7 +1,7 @@
 """Statistics of whole columns: one aggregation each, percentiles exact.
 
 Spark's exact percentile holds all distinct values of a column in one task. Beyond small tables values are found by
-their places instead: counts of values, and running sums of the counts that are taken in buckets.
+their places instead (plans/places.py).
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import NUMERIC, PLAIN, fresh, kind_of, need
-from ..plans.order import SMALL_BYTES, growing, is_small
+from ..plans.order import SMALL_BYTES, is_small
+from ..plans.places import values_at as found_at
 
 MOMENTS = "Statistical operations only supported on numeric columns"
 PAIRS = "Correlation only supported on numeric columns"
@@ -26,15 +27,10 @@ def at_place(c: str, n: int, k: int) -> Column:
     return F.expr(f"percentile_disc({(k + 0.5) / n!r}D) WITHIN GROUP (ORDER BY `{c}`)").cast("double")
 
 
-def values_at(df: DataFrame, c: str, places: list[int], small_bytes: int) -> dict[int, float]:
-    """The values of a column at these places, from 0, of its sorted cells that are not null."""
-    counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    upto = growing(counts, ["x"], {"upto": F.col("n")}, small_bytes)
-    hit = F.lit(False)
-    for k in places:
-        hit = hit | ((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k))
-    found = [(r["upto"] - r["n"], r["upto"], r["x"]) for r in upto.filter(hit).collect()]  # a row for each place at most
-    return {k: next(x for low, high, x in found if low <= k < high) for k in places}
+def values_at(df: DataFrame, c: str, places: list[int], n: int) -> dict[int, float]:
+    """The values of a column at these places, from 0, of its n sorted cells that are not null."""
+    found = found_at(df, [], F.col(c), [k / n for k in places], lambda _: [F.lit(k) for k in places])
+    return dict(zip(places, found.first(), strict=True))
 
 
 def between(n: int, q: float) -> tuple[int, int, float]:
@@ -55,7 +51,7 @@ def describe(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
         n, x = counts[i], F.col(c).cast("double")
         if n and not small:
             low, high, share = between(n, 0.5)
-            at = values_at(df, c, sorted({n // 4, low, high, 3 * n // 4}), small_bytes)
+            at = values_at(df, c, sorted({n // 4, low, high, 3 * n // 4}), n)
             quarters = [F.lit(v) for v in (at[n // 4], at[low] * (1 - share) + at[high] * share, at[3 * n // 4])]
         else:
             quarters = [at_place(c, n, n // 4), F.median(x), at_place(c, n, 3 * n // 4)] if n else [F.lit(0.0)] * 3
@@ -142,7 +138,7 @@ def quantile(df: DataFrame, c: str, q: float, small_bytes: int = SMALL_BYTES) ->
     need(df, c, NUMERIC, MOMENTS)
     if not is_small(df, small_bytes) and (n := df.agg(F.count(c)).first()[0]):
         low, high, share = between(n, q)
-        at = values_at(df, c, sorted({low, high}), small_bytes)
+        at = values_at(df, c, sorted({low, high}), n)
         return at[low] * (1 - share) + at[high] * share
     found = df.agg(F.percentile(F.col(c).cast("double"), F.lit(q))).first()[0]
     if found is None:
